@@ -30,10 +30,15 @@ def details_json(**values) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]))
 
 
+def format_half_even(c, pattern: str) -> Column:
+    """A number in a decimal pattern, halves to even."""
+    return F.call_function("format_number", c, F.lit(pattern))
+
+
 def percent(part, whole, pattern: str = "0") -> Column:
     """`part` of `whole` in percent, 0 when the whole is empty."""
     share = F.when(whole == 0, F.lit(0.0)).otherwise(part / whole * 100)
-    return F.concat(F.format_number(share, pattern), F.lit("%"))
+    return F.concat(format_half_even(share, pattern), F.lit("%"))
 
 
 def contains_text(needle: str, *cols) -> Column:

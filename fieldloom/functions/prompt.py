@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.display import format_half_even
 from fieldloom.functions.text import text
 
 # The wording of the prompt.
@@ -44,7 +45,7 @@ Output ONLY valid JSON:
 
 
 def _score(c) -> Column:
-    return F.format_number(c, "0.0")
+    return format_half_even(c, "0.0")
 
 
 def _section(title: str, lines: Column) -> Column:

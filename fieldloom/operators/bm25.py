@@ -58,7 +58,7 @@ def _distinct_bags(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
 def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     """Index documents; the frames are written to the shared folder for reuse over many searches."""
     tokens = materialize(_tokens(docs, doc_id, text_col), "bm25-tokens")
-    named = materialize(_distinct_bags(tokens, doc_id, "bag"), "bm25-bags")
+    named = _distinct_bags(tokens, doc_id, "bag")
     members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content")
     bags = tokens.select(F.col(doc_id).alias("bag"), "tokens").join(named.select("bag", "copies"), "bag")
     length = F.size("tokens")

@@ -15,7 +15,8 @@ from fieldloom.session import materialize
 
 # A group is hot when it holds over 1/HOT_SHARE of all rows, so fewer than HOT_SHARE groups are.
 HOT_SHARE = 500
-SLICES = 256
+# Borders compared at a time when a row looks for its slice.
+STEP = 16
 PAGE_SIZE = 1000
 
 
@@ -66,15 +67,16 @@ def _prefixed(df: DataFrame, keys, prefix: str) -> DataFrame:
 def hot_groups(df: DataFrame, keys, floor: int, share: int = HOT_SHARE) -> DataFrame | None:
     """Groups with over `floor` rows and over 1/share of all rows, with their size; None if there are none.
 
-    At most `share` groups qualify, so the result is small whatever the size of the data.
+    At most `share` groups qualify, so the result is small whatever the size of the data. `_slices` is
+    how many parts bring a group down to ordinary size.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
     total, largest = sizes.agg(F.sum("_size"), F.max("_size")).first()
     limit = max(floor, (total or 0) // share)
     if not total or largest <= limit:
         return None
-    rows = sizes.filter(F.col("_size") > limit).limit(share).collect()
-    return df.sparkSession.createDataFrame(rows, sizes.schema)
+    hot = sizes.filter(F.col("_size") > limit).withColumn("_slices", F.ceil(F.col("_size") * 2 / limit))
+    return df.sparkSession.createDataFrame(hot.limit(share).collect(), hot.schema)
 
 
 def rank_in_group(
@@ -100,21 +102,23 @@ def rank_in_group(
         .drop(*[f"_hot_{k}" for k in keys])
     )
     # Slice borders: a sample chosen by hash, so that every run of every task picks the same rows.
-    every = F.greatest(F.lit(1), (F.col("_size") / SLICES).cast("bigint"))
+    every = F.greatest(F.lit(1), (F.col("_size") / F.col("_slices")).cast("bigint"))
     borders = (
         marked.filter(F.col("_size").isNotNull() & (F.pmod(F.xxhash64("_order"), every) == 0))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set("_order")).alias("_borders"))
+        .withColumn("_steps", F.filter("_borders", lambda b, i: i % STEP == STEP - 1))
     )
+    reached = lambda array: F.size(F.filter(array, lambda b: b <= F.col("_order")))
     sliced = (
         marked.join(F.broadcast(_prefixed(borders, keys, "_b_")), _on_keys(keys, "_b_"), "left")
+        .withColumn("_step", F.when(F.col("_steps").isNotNull(), reached("_steps")) * STEP)
+        .withColumn("_fine", F.slice("_borders", F.col("_step") + 1, F.lit(STEP)))
         .withColumn(
             "_slice",
-            F.when(F.col("_size").isNull(), -1).otherwise(
-                F.coalesce(F.size(F.filter("_borders", lambda b: b <= F.col("_order"))), F.lit(0))
-            ),
+            F.when(F.col("_size").isNull(), -1).otherwise(F.coalesce(F.col("_step") + reached("_fine"), F.lit(0))),
         )
-        .drop("_borders", *[f"_b_{k}" for k in keys])
+        .drop("_borders", "_steps", "_step", "_fine", "_slices", *[f"_b_{k}" for k in keys])
     )
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

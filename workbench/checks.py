@@ -25,7 +25,8 @@ def tidy(expr: str) -> str:
 
 def standardized(src: str, id_col: str, header: str, out: str, rules: bool = True) -> str:
     """WITH entries ending in `out`(id, header, std)."""
-    lookup = "coalesce((SELECT map(list(pattern), list(replacement)) FROM active_rules)[t], t)" if rules else "t"
+    lookup = "coalesce(dict[t], t)" if rules else "t"
+    dictionary = ", (SELECT map(list(pattern), list(replacement)) AS dict FROM active_rules)" if rules else ""
     reserved = ", ".join(f"'{w}'" for w in RESERVED_WORDS)
     stem = tidy(
         f"regexp_replace(regexp_replace(lower(regexp_replace(m, '\\([^)]+\\)', '', 'g')), '[{BLANKS}\\-./,;:]+', '_', 'g'), '[^a-z0-9_]', '', 'g')"
@@ -35,7 +36,7 @@ def standardized(src: str, id_col: str, header: str, out: str, rules: bool = Tru
 {out}_m AS (SELECT {id_col} AS id, {header} AS header,
    replace(regexp_replace(coalesce({header}, ''), '(?i)#[{BLANKS}]*of\\b', 'count_of', 'g'), '%', '_pct') AS m FROM {src}),
 {out}_s AS (SELECT id, header, {stem} AS s FROM {out}_m),
-{out}_e AS (SELECT id, header, {tidy(f"array_to_string(list_transform(string_split(s, '_'), lambda t: {lookup}), '_')")} AS s FROM {out}_s),
+{out}_e AS (SELECT id, header, {tidy(f"array_to_string(list_transform(string_split(s, '_'), lambda t: {lookup}), '_')")} AS s FROM {out}_s{dictionary}),
 {out}_n AS (SELECT id, header, rtrim(substr(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'n_' || s ELSE s END, 1, 30), '_') AS s FROM {out}_e),
 {out} AS (SELECT id, header, CASE WHEN s IN ({reserved}) THEN s || '_field' WHEN s = '' THEN substr(replace(lower(header), ' ', '_'), 1, 30)
    ELSE s END AS std FROM {out}_n)"""
@@ -174,8 +175,8 @@ docs AS (SELECT mapping_id, column_name, platform_id, canonical_id, canonical_na
 {bm25(FIELD_DOCS, "SELECT id AS qid, header || ' ' || std AS txt FROM named", "f_")},
 both_lists AS (SELECT qid, canonical_id, canonical_name, 1 AS lst, rank FROM a_hits JOIN docs ON mapping_id = doc_id WHERE rank <= 3
           UNION ALL SELECT qid, canonical_id, canonical_name, 2, rank FROM f_hits JOIN canonical_fields ON canonical_id = doc_id WHERE rank <= 3),
-firsts AS (SELECT qid, canonical_id, min_by(canonical_name, lst * 10 + rank) AS canonical_name, min(lst * 10 + rank) AS at FROM both_lists GROUP BY 1, 2),
-merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY at) AS place FROM firsts),
+firsts AS (SELECT qid, canonical_id, min_by(canonical_name, lst * 10 + rank) AS canonical_name, min(lst * 10 + rank) AS spot FROM both_lists GROUP BY 1, 2),
+merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY spot) AS place FROM firsts),
 ctx AS (SELECT canonical_id, platform_id, column_name, row_number() OVER (PARTITION BY canonical_id ORDER BY mapping_id) AS n FROM docs),
 sizes AS (SELECT canonical_id, count(*) AS columns FROM ctx GROUP BY 1),
 shown AS (SELECT qid AS header, canonical_name, max_by(canonical_id, place) AS canonical_id, min(place) AS place
