@@ -11,9 +11,11 @@ OPEN_STATUSES = ("pending_review", "approved")
 
 def new_columns(discovered: DataFrame, known: DataFrame) -> DataFrame:
     """Discovered columns not yet known, each once."""
-    once = discovered.groupBy(*COLUMN_KEY).agg(
-        *[F.min(c).alias(c) for c in discovered.columns if c not in COLUMN_KEY]
-    )
+    rest = [c for c in discovered.columns if c not in COLUMN_KEY]
+    if rest:
+        once = discovered.groupBy(*COLUMN_KEY).agg(F.min(F.struct(*rest)).alias("_r")).select(*COLUMN_KEY, "_r.*")
+    else:
+        once = discovered.distinct()
     condition = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in COLUMN_KEY]
     return once.alias("n").join(known.select(*COLUMN_KEY).alias("k"), condition, "left_anti").select(*discovered.columns)
 

@@ -2,7 +2,7 @@
 
 First and last are aggregates, combined before the shuffle. Top-k is a limited window, cut before
 the shuffle. A full rank uses a plain window for groups of ordinary size; groups that hold too
-large a share of the rows are cut into ordered slices first.
+large a share of the rows are sorted over many tasks instead.
 """
 
 from __future__ import annotations
@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.session import materialize
 
-# A group is hot when it holds over 1/HOT_SHARE of all rows, so fewer than HOT_SHARE groups are.
-HOT_SHARE = 500
-# Borders compared at a time when a row looks for its slice.
-STEP = 16
+# A group is hot when it has over HOT_FLOOR rows and holds over 1/HOT_SHARE of all, so fewer than HOT_SHARE are.
+HOT_FLOOR = 500_000
+HOT_SHARE = 5000
 PAGE_SIZE = 1000
 
 
@@ -64,7 +63,7 @@ def _prefixed(df: DataFrame, keys, prefix: str) -> DataFrame:
     return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
 
 
-def hot_groups(df: DataFrame, keys, floor: int, share: int = HOT_SHARE) -> DataFrame | None:
+def hot_groups(df: DataFrame, keys, floor: int = HOT_FLOOR, share: int = HOT_SHARE) -> DataFrame | None:
     """Groups with over `floor` rows and over 1/share of all rows, with their size; None if there are none.
 
     At most `share` groups qualify, so the result is small whatever the size of the data. `_slices` is
@@ -80,7 +79,7 @@ def hot_groups(df: DataFrame, keys, floor: int, share: int = HOT_SHARE) -> DataF
 
 
 def rank_in_group(
-    df: DataFrame, keys, order, rank: str = "rank", floor: int = PAGE_SIZE, share: int = HOT_SHARE, sizes: DataFrame | None = None
+    df: DataFrame, keys, order, rank: str = "rank", floor: int = HOT_FLOOR, share: int = HOT_SHARE, sizes: DataFrame | None = None
 ) -> DataFrame:
     """1-based position of every row of every group, whatever the group's size.
 
@@ -93,48 +92,37 @@ def rank_in_group(
         df = materialize(df, "ranked")
         hot = hot_groups(df, keys, floor, share)
     key = _order_key(order)
+    plain = F.row_number().over(W.partitionBy(*keys).orderBy(key)).cast("bigint")
     if hot is None:
-        return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(key)))
+        return df.withColumn(rank, plain)
+    condition = _on_keys(keys, "_hot_")
+    hot_keys = F.broadcast(_prefixed(hot.select(*keys), keys, "_hot_"))
+    cold_rows = df.join(hot_keys, condition, "left_anti").withColumn(rank, plain)
+    return cold_rows.unionByName(_sorted_rank(df.join(hot_keys, condition, "left_semi"), keys, key, rank, hot))
 
-    marked = (
+
+def _sorted_rank(df: DataFrame, keys, key: Column, rank: str, hot: DataFrame) -> DataFrame:
+    """Rank by one distributed sort: the place in the sort order, less the place where the group begins.
+
+    The sorted rows are written with their place, so a lost task cannot shift them.
+    """
+    tasks = hot.agg(F.sum("_slices")).first()[0]
+    # The id counts on within a task and holds the task's number, tasks being in sort order, above that.
+    placed = materialize(
         df.withColumn("_order", key)
-        .join(F.broadcast(_prefixed(hot, keys, "_hot_")), _on_keys(keys, "_hot_"), "left")
-        .drop(*[f"_hot_{k}" for k in keys])
-    )
-    # Slice borders: a sample chosen by hash, so that every run of every task picks the same rows.
-    every = F.greatest(F.lit(1), (F.col("_size") / F.col("_slices")).cast("bigint"))
-    borders = (
-        marked.filter(F.col("_size").isNotNull() & (F.pmod(F.xxhash64("_order"), every) == 0))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("_order")).alias("_borders"))
-        .withColumn("_steps", F.filter("_borders", lambda b, i: i % STEP == STEP - 1))
-    )
-    reached = lambda array: F.size(F.filter(array, lambda b: b <= F.col("_order")))
-    sliced = (
-        marked.join(F.broadcast(_prefixed(borders, keys, "_b_")), _on_keys(keys, "_b_"), "left")
-        .withColumn("_step", F.when(F.col("_steps").isNotNull(), reached("_steps")) * STEP)
-        .withColumn("_fine", F.slice("_borders", F.col("_step") + 1, F.lit(STEP)))
-        .withColumn(
-            "_slice",
-            F.when(F.col("_size").isNull(), -1).otherwise(F.coalesce(F.col("_step") + reached("_fine"), F.lit(0))),
-        )
-        .drop("_borders", "_steps", "_step", "_fine", "_slices", *[f"_b_{k}" for k in keys])
-    )
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        sliced.filter("_slice >= 0")
-        .groupBy(*keys, "_slice")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    local = W.partitionBy(*keys, "_slice").orderBy("_order")
-    return (
-        sliced.withColumn("_local", F.row_number().over(local))
-        .join(F.broadcast(_prefixed(offsets, keys + ["_slice"], "_o_")), _on_keys(keys + ["_slice"], "_o_"), "left")
-        .withColumn(rank, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint"))
-        .select(*df.columns, rank)
-    )
+        .repartitionByRange(tasks, *keys, "_order")
+        .sortWithinPartitions(*keys, "_order")
+        .drop("_order")
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "sorted",
+    ).withColumn("_task", F.shiftright("_place", 33))
+    # One row per task and hot group in it: at most the number of tasks plus that of hot groups.
+    spans = placed.groupBy(*keys, "_task").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    on = [*keys, "_task"]
+    joined = placed.join(F.broadcast(_prefixed(spans, on, "_s_")), _on_keys(on, "_s_"))
+    return joined.withColumn(rank, F.col("_offset") + F.col("_place") - F.col("_first") + 1).select(*df.columns, rank)
 
 
 def ordered_list(value, rank: str = "rank") -> Column:
@@ -144,7 +132,8 @@ def ordered_list(value, rank: str = "rank") -> Column:
 
 
 def ordered_pages(
-    df: DataFrame, keys, order, value, page_size: int = PAGE_SIZE, out: str = "items", share: int = HOT_SHARE, sizes: DataFrame | None = None
+    df: DataFrame, keys, order, value, page_size: int = PAGE_SIZE, out: str = "items", sizes: DataFrame | None = None,
+    floor: int = HOT_FLOOR, share: int = HOT_SHARE,
 ) -> DataFrame:
     """The ordered values of every group as arrays of at most `page_size`; page 0 first.
 
@@ -152,6 +141,6 @@ def ordered_pages(
     stays whole without any row or task having to hold it all.
     """
     keys = list(keys)
-    ranked = rank_in_group(df, keys, order, "_rank", page_size, share, sizes)
+    ranked = rank_in_group(df, keys, order, "_rank", floor, share, sizes)
     page = F.floor((F.col("_rank") - 1) / page_size).cast("int")
     return ranked.withColumn("page", page).groupBy(*keys, "page").agg(ordered_list(value, "_rank").alias(out))
