@@ -50,19 +50,28 @@ def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.select(id_col, F.sha2(F.array_join("tokens", " "), 256).alias("content"), "tokens")
 
 
+def _require_unique(df: DataFrame, id_col: str) -> int:
+    """The number of rows; ids name rows and must not repeat."""
+    rows, ids = df.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if rows != ids:
+        raise ValueError(f"{id_col} is not unique: {rows} rows, {ids} ids")
+    return rows
+
+
 def _distinct_bags(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
     """(content, name, copies): each bag of tokens once, named by the smallest id that has it."""
     return tokens.groupBy("content").agg(F.min(id_col).alias(name), F.count("*").alias("copies"))
 
 
 def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
-    """Index documents; the frames are written to the shared folder for reuse over many searches."""
+    """Index documents by unique id; the frames are written to the shared folder for reuse over many searches."""
     tokens = materialize(_tokens(docs, doc_id, text_col), "bm25-tokens")
     named = _distinct_bags(tokens, doc_id, "bag")
     members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content")
     bags = tokens.select(F.col(doc_id).alias("bag"), "tokens").join(named.select("bag", "copies"), "bag")
     length = F.size("tokens")
-    n_docs, n_tokens = tokens.agg(F.count("*"), F.sum(length)).first()
+    n_docs = _require_unique(tokens, doc_id)
+    n_tokens = tokens.agg(F.sum(length)).first()[0]
     norm = K1 * (1 - B + B * length / F.lit((n_tokens or 1) / (n_docs or 1)))
     counts = (
         bags.select("bag", "copies", norm.alias("norm"), F.explode("tokens").alias("term"))
@@ -204,12 +213,13 @@ def search_bags(queries: DataFrame, index: Index, k: int, direct_reads: int = DI
 
 
 def bm25_search(queries: DataFrame, query_id: str, query_col: str, index: Index, k: int = 5, direct_reads: int = DIRECT_READS) -> DataFrame:
-    """(query id, doc_id, score, rank): the k best documents of every query, ties by doc_id.
+    """(query id, doc_id, score, rank): the k best documents of every query, ties by doc_id. Query ids are unique.
 
     Scores are ranked at 9 decimals and given at 4; documents scoring 0 or less are no hits.
     """
     asked = _tokens(queries.select(query_id, query_col), query_id, query_col).filter(F.size("tokens") > 0)
     asked = materialize(asked, "bm25-asked")
+    _require_unique(asked, query_id)
     named = _distinct_bags(asked, query_id, "query")
     once = asked.withColumnRenamed(query_id, "query").join(named.select("query"), "query", "left_semi")
     scored = search_bags(once.select("query", "tokens"), index, k, direct_reads)

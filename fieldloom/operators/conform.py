@@ -17,6 +17,10 @@ from fieldloom.operators.retrieval import links, mapping_order
 MAX_RENAMES = 10_000
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class Conformed:
     source_table: str
@@ -110,7 +114,7 @@ def _select(df: DataFrame, source_table: str, renames: list[tuple[str, str]]) ->
         taken[name] = column
     if not renames:
         return None
-    return df.select(*[F.col(f"`{column}`").alias(name) for column, name in renames])
+    return df.select(*[F.col(quoted(column)).alias(name) for column, name in renames])
 
 
 def conform(df: DataFrame, source_table: str, pairs: DataFrame) -> DataFrame | None:

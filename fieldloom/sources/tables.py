@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fieldloom import schemas
-from fieldloom.operators.conform import Conformed
+from fieldloom.operators.conform import Conformed, quoted
 
 
 def create_tables(spark: SparkSession, schema: str) -> None:
@@ -81,16 +81,12 @@ def publish(
             if item.error:
                 raise ValueError(item.error)
             if gold:
-                columns = ", ".join(f"{_quoted(c)} AS {_quoted(n)}" for c, n in item.renames)
-                table = ".".join(_quoted(part) for part in item.source_table.split("."))
-                spark.sql(f"CREATE OR REPLACE VIEW {gold}.{_quoted(name)} AS SELECT {columns} FROM {table}")
+                columns = ", ".join(f"{quoted(c)} AS {quoted(n)}" for c, n in item.renames)
+                table = ".".join(quoted(part) for part in item.source_table.split("."))
+                spark.sql(f"CREATE OR REPLACE VIEW {gold}.{quoted(name)} AS SELECT {columns} FROM {table}")
             else:
                 item.frame.createOrReplaceTempView(name)
             done += 1
         except (PySparkException, ValueError) as exc:
             errors[item.source_table] = str(exc)
     return done, errors
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -125,3 +125,8 @@ def test_intake(spark, columns, approved):
     assert sorted(r.column_id for r in unmapped(columns, none, proposals).collect()) == ["sc_001", "sc_003"]
     assert unmapped(columns, approved, proposals).isEmpty()
     assert mapped_columns(columns, approved.filter(F.col("column_id") == "sc_001")).count() == 1
+
+
+def test_repeated_ids_are_refused(spark):
+    with pytest.raises(ValueError, match="not unique"):
+        bm25.build_index(spark.createDataFrame([(1, "a"), (1, "b")], "id int, text string"), "id", "text")

@@ -24,7 +24,8 @@ ROLES = {
                CASE WHEN p_size > 40 THEN false WHEN p_size > 20 THEN true END AS is_active
         FROM part""",
     "approved_mappings": """
-        SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS mapping_id, o_custkey AS column_id,
+        SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(l_quantity AS BIGINT), '-',
+                      CAST(CAST(l_shipdate AS DATE) AS STRING)) AS mapping_id, o_custkey AS column_id,
                l_partkey AS canonical_id, o_orderkey AS proposal_id, o_orderpriority AS approved_by,
                o_orderdate AS approved_at
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
