@@ -28,6 +28,9 @@ POSTINGS_PER_TASK = 200_000
 QUERIES_PER_TASK = 2_000
 # A term is split only when it also holds over 1/SPLIT_SHARE of all rows, so few terms are.
 SPLIT_SHARE = 500
+# Query terms up to this many rows are sent to every task; the postings are then spread by document.
+BROADCAST_ROWS = 200_000
+READS_PER_TASK = 2_000_000
 # Terms per query that seed the lower bound.
 SEED_TERMS = 3
 # Posting reads up to which a search scores outright, without bounds; never less than twice the index.
@@ -110,9 +113,19 @@ def _split_terms(queries: DataFrame, index: Index, postings_per_task: int, queri
 
 
 def join_postings(
-    queries: DataFrame, index: Index, postings_per_task: int = POSTINGS_PER_TASK, queries_per_task: int = QUERIES_PER_TASK
+    queries: DataFrame, index: Index, reads: int, broadcast_rows: int = BROADCAST_ROWS,
+    postings_per_task: int = POSTINGS_PER_TASK, queries_per_task: int = QUERIES_PER_TASK,
 ) -> DataFrame:
-    """Query terms with the postings of the term; a very common term is joined as a grid of tasks."""
+    """Query terms with the postings of the term, `reads` rows in all.
+
+    Few query terms go to every task, and the postings they name are spread by document, so that a
+    document's score adds up where it is found. Many are joined on the term, a very common term as a
+    grid of tasks.
+    """
+    if queries.count() <= broadcast_rows:
+        tasks = max(queries.sparkSession.sparkContext.defaultParallelism, reads // READS_PER_TASK)
+        wanted = index.postings.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
+        return wanted.repartition(tasks, "bag").join(F.broadcast(queries), "term")
     split = _split_terms(queries, index, postings_per_task, queries_per_task)
     if split is None:
         return queries.join(index.postings, "term")
@@ -148,7 +161,7 @@ def search_bags(queries: DataFrame, index: Index, k: int, direct_reads: int = DI
     reads = weighted.agg(F.sum("bags")).first()[0] or 0
     if reads <= (max(direct_reads, 2 * index.postings.count()) if direct_reads else 0):
         return (
-            join_postings(weighted.select("query", "term", "weight"), index)
+            join_postings(weighted.select("query", "term", "weight"), index, reads)
             .groupBy("query", "bag")
             .agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
         )
@@ -189,8 +202,9 @@ def search_bags(queries: DataFrame, index: Index, k: int, direct_reads: int = DI
     rest = ranked.groupBy("query").agg(
         F.first("bound").alias("bound"), F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("most"))).alias("rest")
     )
+    needed_reads = ranked.filter("needed").agg(F.sum("bags")).first()[0] or 0
     partial = (
-        join_postings(ranked.filter("needed").select("query", "term", "weight"), index)
+        join_postings(ranked.filter("needed").select("query", "term", "weight"), index, needed_reads)
         .groupBy("query", "bag")
         .agg(F.sum(F.col("weight") * F.col("impact")).alias("partial"))
         .join(rest, "query")

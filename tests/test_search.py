@@ -71,10 +71,12 @@ def test_common_terms_are_joined_as_a_grid(spark, corpus):
     docs, queries = corpus
     index = bm25.build_index(spark.createDataFrame(docs, "id int, text string"), "id", "text")
     q = spark.createDataFrame([(i, t) for i, text in queries for t in set(text.split())], "query int, term string")
-    plain = bm25.join_postings(q, index)
-    split = bm25.join_postings(q, index, 20, 7)
+    plain = bm25.join_postings(q, index, 100)
+    split = bm25.join_postings(q, index, 100, 0, 20, 7)
+    joined = bm25.join_postings(q, index, 100, 0)
     assert bm25._split_terms(q, index, 20, 7).count() > 0
     assert sorted(map(tuple, plain.select("query", "term", "bag").collect())) == sorted(map(tuple, split.select("query", "term", "bag").collect()))
+    assert plain.count() == joined.count()
 
 
 @pytest.mark.parametrize("docs", [[(1, "a b")], [(1, "a"), (2, "b")], [(1, ""), (2, "")], []])

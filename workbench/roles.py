@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.session import spread
 from fieldloom.settings import Platform
 
 # Each role is one SELECT that Spark and the check database both run.
@@ -93,8 +94,13 @@ TABLES = (
 ).split()
 
 
+# Tables of long texts: a single small file of them is worth spreading over the cores.
+LONG_TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in LONG_TEXTS else df
 
 
 def role(spark: SparkSession, folder: str, name: str) -> DataFrame:
