@@ -53,12 +53,12 @@ def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.select(id_col, F.sha2(F.array_join("tokens", " "), 256).alias("content"), "tokens")
 
 
-def _require_unique(df: DataFrame, id_col: str) -> int:
-    """The number of rows; ids name rows and must not repeat."""
-    rows, ids = df.agg(F.count("*"), F.count_distinct(id_col)).first()
+def _sizes(tokens: DataFrame, id_col: str) -> tuple[int, int]:
+    """Rows and tokens in all; the ids name rows and must not repeat."""
+    rows, ids, total = tokens.agg(F.count("*"), F.count_distinct(id_col), F.sum(F.size("tokens"))).first()
     if rows != ids:
         raise ValueError(f"{id_col} is not unique: {rows} rows, {ids} ids")
-    return rows
+    return rows, total or 0
 
 
 def _distinct_bags(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -73,8 +73,7 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content")
     bags = tokens.select(F.col(doc_id).alias("bag"), "tokens").join(named.select("bag", "copies"), "bag")
     length = F.size("tokens")
-    n_docs = _require_unique(tokens, doc_id)
-    n_tokens = tokens.agg(F.sum(length)).first()[0]
+    n_docs, n_tokens = _sizes(tokens, doc_id)
     norm = K1 * (1 - B + B * length / F.lit((n_tokens or 1) / (n_docs or 1)))
     counts = (
         bags.select("bag", "copies", norm.alias("norm"), F.explode("tokens").alias("term"))
@@ -233,7 +232,7 @@ def bm25_search(queries: DataFrame, query_id: str, query_col: str, index: Index,
     """
     asked = _tokens(queries.select(query_id, query_col), query_id, query_col).filter(F.size("tokens") > 0)
     asked = materialize(asked, "bm25-asked")
-    _require_unique(asked, query_id)
+    _sizes(asked, query_id)
     named = _distinct_bags(asked, query_id, "query")
     once = asked.withColumnRenamed(query_id, "query").join(named.select("query"), "query", "left_semi")
     scored = search_bags(once.select("query", "tokens"), index, k, direct_reads)
