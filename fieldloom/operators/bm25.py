@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import tokenize
 from fieldloom.operators.ordering import top_k
-from fieldloom.session import materialize, spread
+from fieldloom.session import materialize
 
 K1 = 1.5
 B = 0.75
@@ -48,7 +48,7 @@ class Index:
 
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, content, tokens): the tokens of every text and a digest that equal bags of tokens share."""
-    tokens = spread(df.select(id_col, text_col)).select(F.col(id_col), F.sort_array(tokenize(text_col)).alias("tokens"))
+    tokens = df.select(F.col(id_col), F.sort_array(tokenize(text_col)).alias("tokens"))
     # Tokens hold no blank, so the joined text tells bags apart.
     return tokens.select(id_col, F.sha2(F.array_join("tokens", " "), 256).alias("content"), "tokens")
 

@@ -46,6 +46,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few splits; inputs with enough splits are left as they are."""
+    """Use all cores on a scan of few splits; scans with enough splits are left as they are.
+
+    For plain scans only: counting the splits of a frame that shuffles would run its shuffles.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -124,3 +124,12 @@ def test_long_rationales_are_cut(spark, vocabulary, columns, approved, platforms
     none = spark.createDataFrame([], "column_id string, status string")
     row = run_mapping(fresh, approved, vocabulary, None, none, platforms[1], "b", responses=responses).proposals.first()
     assert row.reasoning == "é" * 500 and row.confidence_level == "low"
+
+
+def test_first_run_without_any_mapping(spark, vocabulary, columns, approved, platforms):
+    headers = columns.select("column_id", "column_name", "platform_id")
+    built = build_prompts(headers, columns, approved.limit(0), vocabulary, None, platforms[1]).collect()
+    assert len(built) == 3 and all(r.context_pages == 0 for r in built)
+    assert not any("SIMILAR APPROVED" in r.prompt or "CROSS-PLATFORM" in r.prompt or "ABBREVIATION" in r.prompt for r in built)
+    bare = build_prompts(headers, columns, approved.limit(0), vocabulary.limit(0), None, platforms[1]).collect()
+    assert all("CANDIDATE CANONICAL FIELDS:" not in r.prompt for r in bare)
