@@ -1,4 +1,4 @@
-"""Every registered query on the smallest tables against its check SQL."""
+"""Every query of the workbench on the smallest tables against its check SQL."""
 
 import os
 
@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import canonical
+from workbench.queries import QUERIES
 from workbench.roles import TABLES
 
 FOLDER = entry_points.SMALL
@@ -21,9 +22,9 @@ def database():
     return base
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
-    df = entry_points.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     rows = df.collect()
     sql = entry_points.oracle_sql().get(name)
     if sql is None:
