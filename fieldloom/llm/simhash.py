@@ -180,7 +180,7 @@ def near_links(distinct: DataFrame, rows: int) -> DataFrame:
                     columns = [np.full(len(at), number, np.int32), np.full(len(at), leaf, np.int32), points[at].view(np.int64), home[at] == leaf]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree", "leaf", "fingerprint", "home"])
 
-    def links(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def links(key, rows):
         points = rows["fingerprint"].to_numpy().view(np.uint64)
         order = np.argsort(points, kind="stable")
         points, home = points[order], rows["home"].to_numpy()[order]
