@@ -51,7 +51,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     full = F.sha2("_text", 256)
     hashed = joined.select("doc_id", survives.alias("_survives"), (full if hash_all else F.when(survives, full)).alias("sha256"))
     groups = hashed.where("_survives").groupBy("sha256").agg(F.count("*").alias("_size"), F.max("doc_id").alias("_keep"))
-    groups = groups.where("_size > 1").withColumnRenamed("sha256", "_sha")
+    # Written, so that both sides of the join are shuffled for it and a hot group's rows can be split.
+    groups = materialize(groups.where("_size > 1").withColumnRenamed("sha256", "_sha"), "groups")
     found = hashed.join(groups, F.col("sha256") == F.col("_sha"), "left")
     size = F.coalesce("_size", F.lit(1).cast("long"))
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))

@@ -85,6 +85,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", id_c
     exact = possible.join(F.broadcast(listed) if n <= BROADCAST_ENTRIES else listed, F.col("_candidate") == F.col("entry"))
     best = F.max_by(F.struct("entry", "kind", "verdict"), F.struct((-F.col("kind")).alias("k"), F.char_length("entry").alias("n"), F.col("entry").alias("e")))
     fits = exact.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(best.alias("_fit"))
+    # Written, so that both sides of the join are shuffled for it and a hot URL's rows can be split.
+    fits = materialize(fits, "fits")
     on = (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))
     return judged.join(fits, on, "left").select(
         "page_id", "host", "path", F.col("_fit.entry").alias("entry"), F.col("_fit.kind").alias("kind"),
