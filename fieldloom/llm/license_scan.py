@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.session import materialize
+
 #: Words of a gram.
 K = 3
 #: Diagonals this far apart belong to one span.
@@ -87,6 +89,8 @@ def license_spans(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col
     votes = found.groupBy("doc_id", "text_hash", "_template", (F.col("_pos") - F.col("_at")).alias("_diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, _at)")).alias("_mask"), F.min("_pos").alias("_first"), F.max("_pos").alias("_last")
     )
+    # Written, as two searches read it and the words should be hashed once.
+    votes = materialize(votes, "votes")
     facts = ", ".join(f"({n}, '{t.label}', {str(t.base).lower()}, {len(t.words.split()) - K + 1})" for n, t in enumerate(templates))
     listed = docs.sparkSession.sql(f"SELECT * FROM VALUES {facts} AS t(_template, label, base, _grams)")
     votes = votes.join(F.broadcast(listed), "_template")
