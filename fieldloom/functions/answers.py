@@ -23,6 +23,7 @@ def _whole_number(raw: Column) -> Column:
     as_text = F.trim(F.try_variant_get(raw, "$", "string"))
     return (
         F.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("bigint"))
+        .when(kind == "BIGINT", F.try_variant_get(raw, "$", "bigint"))
         .when(kind == "STRING", F.when(as_text.rlike(r"^[+-]?[0-9]+\z"), as_text.try_cast("bigint")))
         .otherwise(F.try_variant_get(raw, "$", "double").try_cast("bigint"))
     )
@@ -37,10 +38,12 @@ def parse_answers(df, raw: str = "raw_text", fallback: str | None = None):
     fall = F.col(fallback) if fallback else F.lit("")
     keep = df.columns
     found = df.withColumn("_json", extract_json(raw))
-    # In brackets, so that anything after the first object makes the text invalid or a longer array.
+    # In brackets, so that anything after the first object makes the text invalid or a longer array; once more before
+    # an end mark, as the parser stops where the brackets close and would overlook what follows.
     found = found.withColumn("_doc", F.try_parse_json(F.concat(F.lit("["), "_json", F.lit("]"))))
-    found = found.withColumn(
-        "_ok", (F.col("_json") != "") & F.col("_doc").isNotNull() & F.try_variant_get("_doc", "$[1]", "variant").isNull()
+    marked = F.try_parse_json(F.concat(F.lit('{"d":'), "_json", F.lit(',"end":0}')))
+    found = found.withColumn("_end", F.try_variant_get(marked, "$.end", "bigint")).withColumn(
+        "_ok", (F.col("_json") != "") & F.col("_end").isNotNull() & F.col("_doc").isNotNull() & F.try_variant_get("_doc", "$[1]", "variant").isNull()
     ).withColumn("_conf", _field("confidence"))
     found = found.withColumn(
         "confidence", F.when(F.col("_conf").isNull(), F.lit(0).cast("bigint")).otherwise(_whole_number(F.col("_conf")))

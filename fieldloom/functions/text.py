@@ -49,9 +49,9 @@ def query_text(header, standardized) -> Column:
 
 
 def stable_id(*cols) -> Column:
-    """12 hex digits that depend only on the given columns, so reruns give the same id."""
+    """32 hex digits (128 bits) that depend only on the given columns, so reruns give the same id."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\u0000")) for c in cols]
-    return F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 12)
+    return F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 32)
 
 
 def match_rationale(header, standardized, name, kind) -> Column:

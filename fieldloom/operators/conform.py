@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.display import leaf_name
@@ -34,15 +34,22 @@ def _table_links(approved: DataFrame, source: DataFrame) -> DataFrame:
     return links(approved, source, order).filter(text("source_table") != "")
 
 
+def _owner() -> Column:
+    """The platform of a table's first mapping."""
+    return F.min_by("platform_id", F.struct("_newest", "mapping_id")).alias("platform_id")
+
+
+def _dated(linked: DataFrame, approved: DataFrame) -> DataFrame:
+    return linked.withColumn("_newest", F.lit(0) if len(mapping_order(approved)) == 1 else mapping_order(approved)[0])
+
+
 def conform_plan(
     approved: DataFrame, source: DataFrame, fields: DataFrame, platforms: DataFrame, shown: int = 3
 ) -> DataFrame:
     """Per source table its platform, mapped columns, and the first renames; an unknown field shows as `?`."""
     linked = _table_links(approved, source)
     order = mapping_order(approved)
-    counts = linked.groupBy("source_table").agg(
-        F.count("*").alias("mapped_columns"), F.min_by("platform_id", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])).alias("platform_id")
-    )
+    counts = _dated(linked, approved).groupBy("source_table").agg(F.count("*").alias("mapped_columns"), _owner())
     first = top_k(linked, ["source_table"], order, shown, "_r").join(fields.select("canonical_id", "canonical_name"), "canonical_id", "left")
     pair = F.concat(text("column_name"), F.lit(" -> "), F.coalesce("canonical_name", F.lit("?")))
     renames = first.groupBy("source_table").agg(F.sort_array(F.collect_list(F.struct("_r", pair.alias("t")))).alias("_p"))
@@ -71,7 +78,7 @@ def rename_text(
     item = F.concat(F.lit("    `"), "column_name", F.lit("` AS `"), "canonical_name", F.lit("`"))
     pages = ordered_pages(pairs, ["source_table"], mapping_order(approved), item, page_size, "items")
     ends = pages.groupBy("source_table").agg(F.max("page").alias("last"))
-    owner = _table_links(approved, source).groupBy("source_table").agg(F.min("platform_id").alias("platform_id"))
+    owner = _dated(_table_links(approved, source), approved).groupBy("source_table").agg(_owner())
     view = F.concat(F.lit(f"{gold}."), F.col("platform_id").cast("string"), F.lit("__"), leaf_name("source_table"))
     head = F.concat(F.lit("CREATE OR REPLACE VIEW "), view, F.lit(" AS\nSELECT\n"))
     tail = F.concat(F.lit("\nFROM "), "source_table")
@@ -88,25 +95,25 @@ def rename_text(
     )
 
 
-def _collect_renames(pairs: DataFrame, tables: dict[str, list[str]]) -> dict[str, list[tuple[str, str]]]:
-    """Distinct renames of the given tables' own columns, in column order."""
+def _collect_renames(pairs: DataFrame, tables: dict[str, list[str]]) -> dict[str, list[tuple[str, str]] | None]:
+    """Distinct renames of the given tables' own columns, in column order; None for a table with over MAX_RENAMES."""
     spark = pairs.sparkSession
     rows = [(t, c, i) for t, columns in tables.items() for i, c in enumerate(columns)]
     known = spark.createDataFrame(rows, "source_table string, column_name string, _i int")
-    limit = MAX_RENAMES * max(1, len(tables))
-    found = (
-        pairs.select("source_table", "column_name", "canonical_name").distinct()
-        .join(known, ["source_table", "column_name"]).limit(limit + 1).collect()
-    )
-    if len(found) > limit:
-        raise ValueError(f"over {limit} renames for {len(tables)} tables")
-    result: dict[str, list[tuple[str, str]]] = {t: [] for t in tables}
+    wanted = pairs.select("source_table", "column_name", "canonical_name").distinct().join(known, ["source_table", "column_name"])
+    # One table over the limit is that table's error; nothing of it is collected.
+    counts = wanted.groupBy("source_table").agg(F.count("*").alias("_n"))
+    over = {r[0] for r in counts.where(F.col("_n") > MAX_RENAMES).select("source_table").collect()}
+    found = wanted.join(counts.where(F.col("_n") <= MAX_RENAMES), "source_table", "left_semi").collect()
+    result: dict[str, list[tuple[str, str]] | None] = {t: None if t in over else [] for t in tables}
     for r in sorted(found, key=lambda r: (r["_i"], r.canonical_name)):
         result[r.source_table].append((r.column_name, r.canonical_name))
     return result
 
 
-def _select(df: DataFrame, source_table: str, renames: list[tuple[str, str]]) -> DataFrame | None:
+def _select(df: DataFrame, source_table: str, renames: list[tuple[str, str]] | None) -> DataFrame | None:
+    if renames is None:
+        raise ValueError(f"{source_table}: over {MAX_RENAMES} renames")
     taken: dict[str, str] = {}
     for column, name in renames:
         if name in taken:

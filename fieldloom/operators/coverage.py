@@ -152,10 +152,11 @@ def sort_matrix(matrix: DataFrame) -> DataFrame:
 
 
 def filter_matrix(matrix: DataFrame, platforms: list[Platform], search: str = "", platform: str | None = None) -> DataFrame:
-    """Rows whose field or any cell holds the text, and whose cell of one platform is filled."""
-    if search:
-        matrix = matrix.filter(contains_text(search, "canonical_field", *[F.col(f"`{p.name}`") for p in platforms]))
-    return matrix.filter(F.col(f"`{platform}`") != "") if platform else matrix
+    """All pages of the fields that hold the text in their name or any cell, and have a filled cell of one platform."""
+    found = contains_text(search, "canonical_field", *[F.col(f"`{p.name}`") for p in platforms]) if search else F.lit(True)
+    filled = F.col(f"`{platform}`") != "" if platform else F.lit(True)
+    fields = matrix.groupBy(F.col("canonical_id").alias("_field")).agg(F.max(found).alias("_found"), F.max(filled).alias("_filled"))
+    return matrix.join(fields.where("_found and _filled"), F.col("canonical_id").eqNullSafe(F.col("_field")), "left_semi")
 
 
 def matrix_totals(approved: DataFrame, source: DataFrame, platforms: DataFrame) -> DataFrame:

@@ -62,8 +62,9 @@ def links(approved: DataFrame, source: DataFrame, order=("mapping_id",)) -> Data
 
 
 def mapping_order(approved: DataFrame) -> list[Column]:
-    """Newest approval first where the time is known, then the mapping id."""
-    newest = [-F.unix_micros(F.col("approved_at").cast("timestamp"))] if "approved_at" in approved.columns else []
+    """Newest approval first, unknown times last, then the mapping id."""
+    oldest = F.lit((1 << 63) - 1)
+    newest = [F.coalesce(-F.unix_micros(F.col("approved_at").cast("timestamp")), oldest)] if "approved_at" in approved.columns else []
     return [*newest, F.col("mapping_id")]
 
 
@@ -121,10 +122,11 @@ def merge_ranked(similar: DataFrame, candidates: DataFrame, query_id: str, top:
 
 
 def retrieval_context(merged: DataFrame, context: DataFrame, query_id: str) -> DataFrame:
-    """Join first context pages to the merged ids; ids without context drop out, of equal names the last wins
+    """Join whole contexts to the merged ids; ids without context drop out, of equal names the last wins
     at the place of the first."""
-    first_page = context.filter("page = 0").select("canonical_id", "context")
-    found = merged.join(first_page, "canonical_id")
+    pages = F.sort_array(F.collect_list(F.struct("page", "context")))
+    whole = context.groupBy("canonical_id").agg(F.flatten(F.transform(pages, lambda p: p.context)).alias("context"))
+    found = merged.join(whole, "canonical_id")
     place = F.min("place").over(W.partitionBy(query_id, "canonical_name"))
     kept = last_wins(found.withColumn("_first", place), [query_id, "canonical_name"], ["place"])
     return kept.drop("place").withColumnRenamed("_first", "place")

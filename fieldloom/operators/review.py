@@ -11,15 +11,16 @@ from fieldloom.operators.similar import similar_fields
 
 
 def audit_events(df: DataFrame, entity_type, entity_id, action, actor, details: Column | None = None, at: Column | None = None) -> DataFrame:
-    """One audit row per input row."""
+    """One audit row per input row. A given time is part of the id: the same event at another time is another one."""
     as_column = lambda v: F.lit(v) if isinstance(v, str) else v
     details = F.lit(None).cast("string") if details is None else details
     rows = df.select(
         as_column(entity_type).alias("entity_type"), entity_id.cast("string").alias("entity_id"), as_column(action).alias("action"),
         as_column(actor).alias("actor"), details.alias("details"), (F.current_timestamp() if at is None else at).alias("created_at"),
     )
+    dated = [] if at is None else ["created_at"]
     return rows.select(
-        stable_id("entity_type", "entity_id", "action", "actor", "details").alias("event_id"), *rows.columns
+        stable_id("entity_type", "entity_id", "action", "actor", "details", *dated).alias("event_id"), *rows.columns
     )
 
 
@@ -96,11 +97,20 @@ def apply_decisions(proposals: DataFrame, decisions: DataFrame) -> tuple[DataFra
     return after, approved, audit
 
 
+def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of every row, equal rows told apart by `_copy`, so that each gets an id of its own."""
+    copies = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    return copies.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
+
+
 def register_fields(new: DataFrame, fields: DataFrame, actor: str, threshold: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new vocabulary rows, similar existing names as warnings, audit rows). Similar names only warn."""
-    named = new.filter(F.coalesce(F.col("canonical_name"), F.lit("")) != "")
+    named = _numbered(
+        new.filter(F.coalesce(F.col("canonical_name"), F.lit("")) != ""),
+        ["canonical_name", "data_type", "business_definition", "domain_category"],
+    )
     created = named.select(
-        stable_id("canonical_name", "data_type", "business_definition", "domain_category").alias("canonical_id"),
+        stable_id("canonical_name", "data_type", "business_definition", "domain_category", "_copy").alias("canonical_id"),
         "canonical_name", "data_type", "business_definition", "domain_category",
         F.lit(True).alias("is_active"), F.lit(actor).alias("created_by"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
@@ -113,8 +123,8 @@ def register_fields(new: DataFrame, fields: DataFrame, actor: str, threshold: fl
 def register_rules(new: DataFrame, actor: str) -> tuple[DataFrame, DataFrame]:
     """(new abbreviation rules, audit rows); pattern and replacement must be filled."""
     filled = (F.coalesce(F.col("pattern"), F.lit("")) != "") & (F.coalesce(F.col("replacement"), F.lit("")) != "")
-    created = new.filter(filled).select(
-        stable_id(F.lit("abbreviation"), "pattern", "replacement", "description").alias("rule_id"),
+    created = _numbered(new.filter(filled), ["pattern", "replacement", "description"]).select(
+        stable_id(F.lit("abbreviation"), "pattern", "replacement", "description", "_copy").alias("rule_id"),
         F.lit("abbreviation").alias("rule_type"), "pattern", "replacement", "description", F.lit(True).alias("is_active"),
     )
     details = details_json(pattern=F.col("pattern"), replacement=F.col("replacement"))

@@ -46,11 +46,10 @@ def platform_cells(approved: DataFrame, source: DataFrame, platforms: list[Platf
 def worklist(joined: DataFrame, cells: DataFrame, platform_labels: DataFrame, platforms: list[Platform]) -> DataFrame:
     """Display rows: what is proposed, and what every platform already calls the suggested field.
 
-    The cells are the field's first page; `cell_pages` tells how many pages `cells` holds for it.
+    A proposal has one row per page of its field's cells, numbered by `page` from 0; without cells it has page 0 only.
     """
-    pages = cells.groupBy("canonical_id").agg(F.max("page").alias("_last"))
-    first = cells.filter("page = 0").join(pages, "canonical_id").withColumnRenamed("canonical_id", "_cid").drop("page")
-    rows = with_label(joined, platform_labels).join(first, F.col("suggested_canonical_id") == F.col("_cid"), "left")
+    named = cells.withColumnRenamed("canonical_id", "_cid").withColumnRenamed("page", "_page")
+    rows = with_label(joined, platform_labels).join(named, F.col("suggested_canonical_id") == F.col("_cid"), "left")
     return rows.select(
         "proposal_id",
         text(F.coalesce("canonical_name", "suggested_canonical_name")).alias("suggested_match"),
@@ -60,5 +59,5 @@ def worklist(joined: DataFrame, cells: DataFrame, platform_labels: DataFrame, pl
         leaf_name("source_table").alias("source_table"),
         title_words("status").alias("status"),
         *[text(F.col(f"`{p.name}`")).alias(p.name) for p in platforms],
-        (F.coalesce("_last", F.lit(-1)) + 1).alias("cell_pages"),
+        F.coalesce("_page", F.lit(0)).alias("page"),
     )

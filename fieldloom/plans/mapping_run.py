@@ -42,8 +42,8 @@ def answer(prompts: DataFrame, complete: Callable[[pd.Series], pd.Series]) -> Da
 
 
 def join_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """Answers back to their prompts; answers to unknown columns are skipped."""
-    return prompts.join(responses.select("column_id", "raw_text"), "column_id")
+    """Answers back to their prompts; answers to unknown columns are skipped, of several to one column the greatest text counts."""
+    return prompts.join(responses.groupBy("column_id").agg(F.max("raw_text").alias("raw_text")), "column_id")
 
 
 def to_proposals(matches: DataFrame, batch_id: str, settings: Settings = Settings()) -> DataFrame:

@@ -80,8 +80,8 @@ def build_prompts(
 ) -> DataFrame:
     """The prompt of every header row (column_id, column_name, platform_id).
 
-    `rules` are (pattern, replacement). `context_pages` tells how many pages the longest context of a
-    prompt has; the prompt holds the first, `retrieve(..).context` all of them.
+    `rules` are (pattern, replacement). A prompt holds the whole context of its fields; `context_pages`
+    tells how many pages the longest has in `retrieve(..).context`.
     """
     found = retrieve(headers, source, approved, fields, rules, k, indexes, page_size)
     context = found.context

@@ -42,8 +42,11 @@ def load_metadata(spark: SparkSession, schema: str, name: str, limit: int | None
 
 
 def append(df: DataFrame, table: str) -> None:
-    """Add rows to a table in one distributed write; columns are matched by name."""
+    """Add rows to a table in one distributed write; columns are matched by name, and one the table lacks is an error."""
     target = df.sparkSession.table(table).columns
+    unknown = [c for c in df.columns if c not in target]
+    if unknown:
+        raise ValueError(f"{table} has no column {', '.join(unknown)}")
     missing = [F.lit(None).alias(c) for c in target if c not in df.columns]
     df.select("*", *missing).select(*target).write.mode("append").insertInto(table)
 

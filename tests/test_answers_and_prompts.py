@@ -133,3 +133,9 @@ def test_first_run_without_any_mapping(spark, vocabulary, columns, approved, pla
     assert not any("SIMILAR APPROVED" in r.prompt or "CROSS-PLATFORM" in r.prompt or "ABBREVIATION" in r.prompt for r in built)
     bare = build_prompts(headers, columns, approved.limit(0), vocabulary.limit(0), None, platforms[1]).collect()
     assert all("CANDIDATE CANONICAL FIELDS:" not in r.prompt for r in bare)
+
+
+def test_text_after_the_object_is_an_error(spark):
+    texts = ['{"confidence": 5}] junk }', '{"confidence": 5}] [{"x":1}', '{"confidence": 5}, {"x":1}', '{"a": 1}, "end": 0}', '{"confidence": 9007199254740993}']
+    rows = parsed(spark, texts)
+    assert all(r.error for r in rows[:4]) and rows[4].error is None and rows[4].confidence == 9007199254740993

@@ -25,7 +25,8 @@ def test_matrix(spark, columns, approved, vocabulary, platforms):
     matrix = coverage.coverage_matrix(links, columns, vocabulary, listed)
     rows = {r.canonical_field: r for r in matrix.collect()}
     assert set(rows) == {"fund_identifier", "net_asset_value", "cf_x"}
-    # Unknown approval times come first, as unknown sorts before known.
+    # Unknown approval times come last.
+    assert rows["fund_identifier"].Ledger == "FND_ID, NAV_AMT"
     one = rows["fund_identifier"]
     assert (sorted(one.Ledger.split(", ")), one.Books, one.Empty, one.coverage) == (["FND_ID", "NAV_AMT"], "fund_id", "", "2/3")
     assert (rows["cf_x"].domain, rows["cf_x"].coverage) == ("", "1/3")
@@ -34,6 +35,9 @@ def test_matrix(spark, columns, approved, vocabulary, platforms):
     assert coverage.filter_matrix(matrix, listed, platform="Empty").isEmpty()
     small = coverage.coverage_matrix(links, columns, vocabulary, listed, page_size=1).filter("canonical_field = 'fund_identifier'")
     assert sorted((r.page, r.Ledger != "", r.Books) for r in small.collect()) == [(0, True, "fund_id"), (1, True, "")]
+    paged = coverage.coverage_matrix(links, columns, vocabulary, listed, page_size=1)
+    found = coverage.filter_matrix(paged, listed, "nav", "Books").collect()
+    assert sorted((r.canonical_field, r.page) for r in found) == [("fund_identifier", 0), ("fund_identifier", 1)]
     total = coverage.matrix_totals(links, columns, labels).first()
     assert (total.mapped_fields, total.total_links, total.platforms, total.best_platform, total.best_covered) == (3, 5, 3, "Ledger", 2)
     none = coverage.matrix_totals(links.limit(0), columns, labels).first()

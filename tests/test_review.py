@@ -1,3 +1,4 @@
+from fieldloom.operators.review import register_rules
 import datetime as dt
 
 import pytest
@@ -69,11 +70,17 @@ def test_worklist(spark, proposals, columns, approved, vocabulary, platforms):
     cells = platform_cells(approved, columns, listed)
     rows = {r.proposal_id: r for r in worklist(joined, cells, labels, listed).collect()}
     assert (rows["p1"].suggested_match, rows["p1"].header, rows["p1"].platform, rows["p1"].source_table) == ("fund_identifier", "FND_ID", "Ledger", "positions")
-    assert (rows["p1"].Ledger, rows["p1"].Books, rows["p1"].Empty, rows["p1"].cell_pages) == ("FND_ID", "fund_id", "", 1)
-    assert (rows["p2"].suggested_match, rows["p2"].Ledger, rows["p2"].cell_pages) == ("something", "", 0)
+    assert (rows["p1"].Ledger, rows["p1"].Books, rows["p1"].Empty, rows["p1"].page) == ("FND_ID", "fund_id", "", 0)
+    assert (rows["p2"].suggested_match, rows["p2"].Ledger, rows["p2"].page) == ("something", "", 0)
     assert (rows["p4"].suggested_match, rows["p4"].header, rows["p4"].platform, rows["p1"].status) == ("left", "", "", "Pending Review")
     found = lambda **k: sorted(r.proposal_id for r in filter_worklist(joined, **k).collect())
     assert found() == ["p1", "p2", "p3", "p4"]
     assert found(status="pending_review") == ["p1", "p2"] and found(platform="books") == ["p3"]
     assert found(search="EXACT") == ["p1"] and found(search="positions") == ["p1", "p2"] and found(search="fund_name") == ["p3"]
     assert found(status="pending_review", search="nav_") == ["p2"]
+
+
+def test_equal_new_rows_get_ids_of_their_own(spark):
+    rules = spark.createDataFrame([("fnd", "fund", "d")] * 3 + [("acct", "account", None)], "pattern string, replacement string, description string")
+    created, audit = register_rules(rules, "ann")
+    assert created.count() == 4 and created.select("rule_id").distinct().count() == 4 and audit.select("event_id").distinct().count() == 4

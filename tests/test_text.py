@@ -74,7 +74,7 @@ def test_joined_rules_equal_literal_rules(spark):
 
 def test_ids_are_stable(spark):
     a, b = (run(spark, ["x", None], lambda c: T.stable_id(c, F.lit("k"))) for _ in range(2))
-    assert a == b and a[0] != a[1] and all(len(x) == 12 and set(x) <= set("0123456789abcdef") for x in a)
+    assert a == b and a[0] != a[1] and all(len(x) == 32 and set(x) <= set("0123456789abcdef") for x in a)
 
 
 @settings(max_examples=10, deadline=None)

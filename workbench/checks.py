@@ -277,8 +277,7 @@ FROM n JOIN c USING (pattern, replacement)""")
 
 # ---- review ----
 
-_PIVOT = LISTS + f""", cells AS (SELECT canonical_id, page, {cells('names')} FROM lists GROUP BY 1, 2),
-last_pages AS (SELECT canonical_id, max(page) AS last FROM cells GROUP BY 1)"""
+_PIVOT = LISTS + f""", cells AS (SELECT canonical_id, page, {cells('names')} FROM lists GROUP BY 1, 2)"""
 _CELL_COLUMNS = ", ".join(f"coalesce(c.\"{n}\", '') AS \"{n}\"" for _, n in PLATFORM_NAMES)
 _WORKLIST = LINKS + f""", {_PIVOT},
 w AS (SELECT p.*, s.platform_id, s.column_name, s.source_table, f.canonical_name
@@ -287,9 +286,8 @@ SELECT proposal_id, coalesce(w.canonical_name, suggested_canonical_name, '') AS
   upper(confidence_level[1]) || confidence_level[2:] AS confidence, coalesce(column_name, '') AS header,
   coalesce(pl.name, CAST(w.platform_id AS VARCHAR), '') AS platform, coalesce(string_split(source_table, '.')[-1], '') AS source_table,
   CASE status WHEN 'pending_review' THEN 'Pending Review' ELSE upper(status[1]) || status[2:] END AS status,
-  {_CELL_COLUMNS}, CAST(coalesce(l.last, -1) + 1 AS BIGINT) AS cell_pages
-FROM w LEFT JOIN platforms pl USING (platform_id) LEFT JOIN cells c ON c.canonical_id = suggested_canonical_id AND c.page = 0
-  LEFT JOIN last_pages l ON l.canonical_id = suggested_canonical_id"""
+  {_CELL_COLUMNS}, coalesce(c.page, 0) AS page
+FROM w LEFT JOIN platforms pl USING (platform_id) LEFT JOIN cells c ON c.canonical_id = suggested_canonical_id"""
 
 check("worklist_all", _WORKLIST)
 check("worklist_filtered", _WORKLIST + """
@@ -417,7 +415,7 @@ check("rename_text", LINKS + f""",
 o AS (SELECT source_table, '    `' || column_name || '` AS `' || canonical_name || '`' AS item,
         row_number() OVER (PARTITION BY source_table ORDER BY approved_at DESC, mapping_id) AS n FROM links JOIN canonical_fields USING (canonical_id)),
 g AS (SELECT source_table, (n - 1) // {PAGE} AS page, string_agg(item, ',' || chr(10) ORDER BY n) AS body FROM o GROUP BY 1, 2),
-e AS (SELECT source_table, max(page) AS last FROM g GROUP BY 1), w AS (SELECT source_table, min(platform_id) AS pid FROM links GROUP BY 1)
+e AS (SELECT source_table, max(page) AS last FROM g GROUP BY 1), w AS (SELECT DISTINCT source_table, first_value(platform_id) OVER (PARTITION BY source_table ORDER BY approved_at DESC NULLS LAST, mapping_id) AS pid FROM links)
 SELECT source_table, page, CASE WHEN page = 0 THEN 'CREATE OR REPLACE VIEW gold.' || pid || '__' || string_split(source_table, '.')[-1] || ' AS' || chr(10) || 'SELECT' || chr(10)
     ELSE '' END || body || CASE WHEN page = last THEN chr(10) || 'FROM ' || source_table ELSE ',' || chr(10) END AS text
 FROM g JOIN e USING (source_table) JOIN w USING (source_table)""")

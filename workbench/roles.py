@@ -113,7 +113,7 @@ def role(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def platform_list(spark: SparkSession, folder: str) -> list[Platform]:
     """The platform configuration; a list by nature, so it may be read to the driver."""
-    rows = role(spark, folder, "platforms").orderBy("ord").limit(1000).collect()
+    rows = role(spark, folder, "platforms").orderBy("ord").collect()
     return [Platform(r.platform_id, r.name, r.description) for r in rows]
 
 
