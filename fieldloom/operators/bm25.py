@@ -9,7 +9,7 @@ other terms brought up.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import tokenize
 from fieldloom.operators.ordering import top_k
-from fieldloom.session import materialize
+from fieldloom.session import drop_written, materialize, recorded
 
 K1 = 1.5
 B = 0.75
@@ -44,6 +44,11 @@ class Index:
     members: DataFrame  # bag, doc_id: the documents sharing a bag of tokens; a bag is named by its first document
     postings: DataFrame  # bag, term, impact: the term's share of its highest possible weight there
     terms: DataFrame  # term, bags, idf, peak
+    written: tuple[str, ...] = ()  # the folders of the frames above
+
+    def drop(self) -> None:
+        """Remove the written index; neither it nor results of its searches can be read afterwards."""
+        drop_written(self.terms.sparkSession, self.written)
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,9 +73,16 @@ def _distinct_bags(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
 
 def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     """Index documents by unique id; the frames are written to the shared folder for reuse over many searches."""
+    with recorded() as written:
+        built = _written_index(docs, doc_id, text_col)
+    return replace(built, written=tuple(written))
+
+
+def _written_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     tokens = materialize(_tokens(docs, doc_id, text_col), "bm25-tokens")
     named = _distinct_bags(tokens, doc_id, "bag")
     members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content")
+    members = materialize(members.select("bag", "doc_id"), "bm25-members")
     bags = tokens.select(F.col(doc_id).alias("bag"), "tokens").join(named.select("bag", "copies"), "bag")
     length = F.size("tokens")
     n_docs, n_tokens = _sizes(tokens, doc_id)
@@ -90,7 +102,7 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     terms = materialize(found.withColumn("raw_idf", raw_idf), "bm25-terms")
     mean_idf = terms.agg(F.avg("raw_idf")).first()[0] or 0.0
     idf = F.when(F.col("raw_idf") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw_idf"))
-    return Index(members.select("bag", "doc_id"), postings.select("bag", "term", "impact"), terms.select("term", "bags", "peak", idf.alias("idf")))
+    return Index(members, postings.select("bag", "term", "impact"), terms.select("term", "bags", "peak", idf.alias("idf")))
 
 
 def _split_terms(queries: DataFrame, index: Index, postings_per_task: int, queries_per_task: int) -> DataFrame | None:

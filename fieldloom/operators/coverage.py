@@ -11,7 +11,7 @@ from fieldloom.functions.display import contains_text, leaf_name, percent, previ
 from fieldloom.functions.text import text
 from fieldloom.operators.intake import mapped_columns
 from fieldloom.operators.ordering import PAGE_SIZE, ordered_pages
-from fieldloom.operators.retrieval import links, mapping_order
+from fieldloom.operators.retrieval import links, mapping_order, one_per_column, one_per_field
 from fieldloom.settings import Platform
 
 
@@ -47,12 +47,18 @@ def with_label(df: DataFrame, platforms: DataFrame, id_col: str = "platform_id",
 
 def run_kpis(source: DataFrame, proposals: DataFrame) -> DataFrame:
     """Columns, columns without any proposal, pending and approved proposals."""
-    status = lambda s: proposals.agg(F.count(F.when(F.col("status") == s, 1)).alias("n"))
-    return one_row(
-        source_columns=_count(source),
-        unmapped=_count(source.join(proposals.select("column_id"), "column_id", "left_anti")),
-        pending_review=status("pending_review"),
-        approved=status("approved"),
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    status = lambda s: F.count(F.when(F.col("status") == s, 1))
+    # One row per column id from either side, so each table is read once.
+    columns = source.groupBy("column_id").agg(F.count("*").alias("columns"))
+    asked = proposals.groupBy(F.col("column_id").alias("_asked")).agg(
+        F.count("*").alias("proposals"), status("pending_review").alias("pending"), status("approved").alias("done")
+    )
+    return columns.join(asked, F.col("column_id") == F.col("_asked"), "full").agg(
+        count("columns").alias("source_columns"),
+        count(F.when(F.col("proposals").isNull(), F.col("columns"))).alias("unmapped"),
+        count("pending").alias("pending_review"),
+        count("done").alias("approved"),
     )
 
 
@@ -60,7 +66,7 @@ def platform_profile(
     platforms: DataFrame, source: DataFrame, proposals: DataFrame, approved: DataFrame, page_size: int = PAGE_SIZE
 ) -> DataFrame:
     """Per configured platform its tables, columns, proposals and approvals."""
-    owner = source.select("column_id", "platform_id")
+    owner = one_per_column(source).select("column_id", "platform_id")
     columns = source.groupBy("platform_id").agg(F.count("*").alias("columns"))
     # Pre-aggregated per column, so a column with very many rows is one row in the join.
     per_column = (
@@ -130,7 +136,7 @@ def coverage_matrix(
     )
     # Distinct pairs first: the count of platforms then never sees a field's mappings.
     covered = linked.select("canonical_id", "platform_id").distinct().groupBy("canonical_id").agg(F.count("*").alias("_covered"))
-    names = fields.select("canonical_id", "canonical_name", "domain_category", "data_type")
+    names = one_per_field(fields, "domain_category", "data_type")
     return (
         cells.join(covered, "canonical_id").join(names, "canonical_id", "left")
         .select(
@@ -292,7 +298,7 @@ def field_detail(approved: DataFrame, proposals: DataFrame, source: DataFrame, p
     pending = (
         proposals.filter(F.col("status") == "pending_review")
         .select(F.col("suggested_canonical_id").alias("canonical_id"), "column_id", "proposal_id", "confidence_level")
-        .join(source.select("column_id", "platform_id", "column_name", "source_table"), "column_id")
+        .join(one_per_column(source), "column_id")
         .join(pairs, ["canonical_id", "platform_id"], "left_semi")
     )
     shared = ["canonical_id", "platform_id", text("column_name").alias("column_name"), leaf_name("source_table").alias("source_table")]

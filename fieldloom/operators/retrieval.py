@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import search_text, text
 from fieldloom.operators.bm25 import Index, bm25_search, build_index
-from fieldloom.operators.ordering import PAGE_SIZE, last_wins, ordered_list, ordered_pages
+from fieldloom.operators.ordering import PAGE_SIZE, last_wins, ordered_pages
+from fieldloom.session import materialize
 
 FIELD_COLUMNS = ["canonical_name", "data_type", "business_definition", "domain_category"]
 
 
+def one_per_column(source: DataFrame) -> DataFrame:
+    """Platform, name and table of every column id; of a repeated id the last in the column table's order counts."""
+    return source.groupBy("column_id").agg(F.max(F.struct("platform_id", "source_table", "column_name")).alias("_c")).select("column_id", "_c.*")
+
+
+def one_per_field(fields: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of every field id; of a repeated id the one with the last name counts."""
+    row = F.struct("canonical_name", *[c for c in columns if c != "canonical_name"])
+    return fields.groupBy("canonical_id").agg(F.max(row).alias("_f")).select("canonical_id", "_f.*")
+
+
 def approved_documents(source: DataFrame, approved: DataFrame, fields: DataFrame, doc_id: str = "mapping_id") -> DataFrame:
     """Approved mappings with their column and field; a mapping without column is dropped, a missing field is blank."""
-    columns = source.select("column_id", *[text(c).alias(c) for c in ("platform_id", "column_name", "source_table")])
-    canon = fields.select("canonical_id", *FIELD_COLUMNS)
+    columns = one_per_column(source).select("column_id", *[text(c).alias(c) for c in ("platform_id", "column_name", "source_table")])
+    canon = one_per_field(fields, *FIELD_COLUMNS)
     joined = approved.select(F.col(doc_id).alias("doc_id"), "column_id", "canonical_id").join(columns, "column_id")
     docs = joined.join(canon, "canonical_id", "left").select(
         "doc_id", "column_id", "platform_id", "column_name", "source_table", "canonical_id",
@@ -38,9 +50,11 @@ def search_approved(
     k: int = 5, prebuilt: Index | None = None,
 ) -> DataFrame:
     """The k best approved mappings for every query, with their columns."""
-    docs = approved_documents(source, approved, fields)
-    index = prebuilt or build_index(docs, "doc_id", "search_text")
-    hits = bm25_search(queries, query_id, query_col, index, k)
+    index = prebuilt or build_index(approved_documents(source, approved, fields), "doc_id", "search_text")
+    hits = materialize(bm25_search(queries, query_id, query_col, index, k), "hits")
+    # Only mappings that were hit are joined to their columns and fields again.
+    found = approved.join(hits.select(F.col("doc_id").alias("mapping_id")).distinct(), "mapping_id", "left_semi")
+    docs = approved_documents(source, found, fields)
     return hits.join(docs.drop("search_text"), "doc_id").withColumnRenamed("doc_id", "mapping_id")
 
 
@@ -56,9 +70,7 @@ def search_fields(
 
 def links(approved: DataFrame, source: DataFrame, order=("mapping_id",)) -> DataFrame:
     """Approved mappings joined to their columns, one row per mapping."""
-    return approved.select("canonical_id", "column_id", *order).join(
-        source.select("column_id", "platform_id", "column_name", "source_table"), "column_id"
-    )
+    return approved.select("canonical_id", "column_id", *order).join(one_per_column(source), "column_id")
 
 
 def mapping_order(approved: DataFrame) -> list[Column]:

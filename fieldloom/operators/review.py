@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.display import details_json
 from fieldloom.functions.text import stable_id
-from fieldloom.operators.similar import similar_fields
+from fieldloom.operators.similar import best_similar, similar_fields
 
 
 def audit_events(df: DataFrame, entity_type, entity_id, action, actor, details: Column | None = None, at: Column | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def register_fields(new: DataFrame, fields: DataFrame, actor: str, threshold: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new vocabulary rows, similar existing names as warnings, audit rows). Similar names only warn."""
+    """(new vocabulary rows, the five most similar existing names as warnings, audit rows). Similar names only warn."""
     named = _numbered(
         new.filter(F.coalesce(F.col("canonical_name"), F.lit("")) != ""),
         ["canonical_name", "data_type", "business_definition", "domain_category"],
@@ -115,7 +115,8 @@ def register_fields(new: DataFrame, fields: DataFrame, actor: str, threshold: fl
         F.lit(True).alias("is_active"), F.lit(actor).alias("created_by"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
     )
-    warnings = similar_fields(named.select(F.col("canonical_name").alias("new_name")), fields, threshold, "new_name")
+    found = similar_fields(named.select(F.col("canonical_name").alias("new_name")), fields, threshold, "new_name")
+    warnings = best_similar(found, 5, "new_name")
     audit = audit_events(created, "canonical", F.col("canonical_id"), "created", actor, details_json(name=F.col("canonical_name")))
     return created, warnings, audit
 

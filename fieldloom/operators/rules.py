@@ -20,10 +20,16 @@ def active_abbreviations(rules: DataFrame, order: str = "rule_id") -> DataFrame:
     return last_wins(active.select("pattern", "replacement", order), ["pattern"], [order]).select("pattern", "replacement")
 
 
-def abbreviation_map(abbreviations: DataFrame, limit: int = LITERAL_RULES) -> dict[str, str] | None:
-    """The abbreviations as a mapping, or None when there are more than `limit`."""
-    rows = abbreviations.select("pattern", "replacement").filter("pattern is not null").limit(limit + 1).collect()
-    return None if len(rows) > limit else {r.pattern: r.replacement for r in sorted(rows)}
+def abbreviation_map(abbreviations: DataFrame, limit: int | None = LITERAL_RULES) -> dict[str, str] | None:
+    """The abbreviations as a mapping, or None when there are more than `limit`; without a limit all of them."""
+    query = _one_per_pattern(abbreviations)
+    rows = (query if limit is None else query.limit(limit + 1)).collect()
+    return None if limit is not None and len(rows) > limit else {r.pattern: r.replacement for r in rows}
+
+
+def _one_per_pattern(abbreviations: DataFrame) -> DataFrame:
+    """Of rules that repeat a pattern the greatest replacement counts, however many rules there are."""
+    return abbreviations.filter("pattern is not null").groupBy("pattern").agg(F.max("replacement").alias("replacement"))
 
 
 def standardize_headers(
@@ -39,9 +45,7 @@ def standardize_headers(
         return df.withColumn(out, T.standardize(header, table))
     stems = df.select(F.col(header).alias("_header")).distinct().withColumn("_stem", T.header_stem("_header"))
     tokens = stems.select("_header", F.posexplode(F.split("_stem", "_")).alias("_pos", "_token"))
-    rules = abbreviations.filter("pattern is not null").select(
-        F.col("pattern").alias("_token"), F.col("replacement").alias("_replacement")
-    )
+    rules = _one_per_pattern(abbreviations).select(F.col("pattern").alias("_token"), F.col("replacement").alias("_replacement"))
     expanded = (
         tokens.join(rules, "_token", "left")
         .groupBy("_header")

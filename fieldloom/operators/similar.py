@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.similarity import name_tokens, overlap_share, sequence_ratio, similarity_bound
+from fieldloom.operators.ordering import top_k
 
 SLACK = 1e-9
 # Names sharing one token that a task joins; more are split over several.
@@ -87,10 +88,16 @@ def candidate_pairs(
 def similar_fields(
     names: DataFrame, fields: DataFrame, threshold: float = 0.6, name: str = "name", field: str = "canonical_name"
 ) -> DataFrame:
-    """(name, canonical name, score, fields): similar distinct names, and how many fields bear the name."""
+    """(name, canonical name, score, fields): similar distinct names, best first, and how many fields bear the name."""
     scored = candidate_pairs(names, fields, threshold, name, field).withColumn(
         "_score", F.col("overlap") * 0.5 + sequence_ratio("a", "b") * 0.5
     )
-    return scored.filter(F.col("_score") >= threshold).select(
+    found = scored.filter(F.col("_score") >= threshold).select(
         F.col("a").alias(name), F.col("b").alias(field), F.bround("_score", 2).alias("score"), F.col("b_rows").alias("fields")
     )
+    return found.orderBy(name, F.desc("score"), field)
+
+
+def best_similar(similar: DataFrame, k: int = 5, name: str = "name", field: str = "canonical_name") -> DataFrame:
+    """The k best similar names of every name with their rank; equal scores in order of the field's name."""
+    return top_k(similar, [name], [F.desc("score"), F.asc(field)], k)

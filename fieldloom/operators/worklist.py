@@ -9,15 +9,14 @@ from fieldloom.functions.display import contains_text, leaf_name, title_words
 from fieldloom.functions.text import text
 from fieldloom.operators.coverage import with_label
 from fieldloom.operators.ordering import PAGE_SIZE
-from fieldloom.operators.retrieval import platform_lists
+from fieldloom.operators.retrieval import one_per_column, one_per_field, platform_lists
 from fieldloom.settings import Platform
 
 
 def joined_proposals(proposals: DataFrame, source: DataFrame, fields: DataFrame) -> DataFrame:
-    """Proposals with their column and suggested field."""
-    columns = source.select("column_id", "platform_id", "column_name", "source_table")
-    names = fields.select(F.col("canonical_id").alias("suggested_canonical_id"), "canonical_name")
-    return proposals.join(columns, "column_id", "left").join(names, "suggested_canonical_id", "left")
+    """Proposals with their column and suggested field, one row per proposal."""
+    names = one_per_field(fields).withColumnRenamed("canonical_id", "suggested_canonical_id")
+    return proposals.join(one_per_column(source), "column_id", "left").join(names, "suggested_canonical_id", "left")
 
 
 def filter_worklist(joined: DataFrame, status: str | None = None, platform=None, search: str = "") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +17,7 @@ from fieldloom.operators.match import fast_match
 from fieldloom.operators.review import audit_events
 from fieldloom.operators.rules import active_abbreviations, standardize_headers
 from fieldloom.plans.prompts import SearchIndexes, build_prompts
-from fieldloom.session import materialize
+from fieldloom.session import drop_written, materialize, recorded
 from fieldloom.settings import Settings
 
 MATCH = ["column_id", "column_name", "canonical_id", "canonical_name", "confidence", "rationale", "agent_model"]
@@ -28,6 +28,11 @@ class Run:
     proposals: DataFrame
     audit: DataFrame
     prompts: DataFrame | None = None
+    written: tuple[str, ...] = ()
+
+    def drop(self) -> None:
+        """Remove what the run wrote to the shared folder, once its frames are stored elsewhere."""
+        drop_written(self.proposals.sparkSession, self.written)
 
 
 def answer(prompts: DataFrame, complete: Callable[[pd.Series], pd.Series]) -> DataFrame:
@@ -71,6 +76,16 @@ def proposal_audit(matches: DataFrame, batch_id: str) -> DataFrame:
     return audit_events(matches, "proposal", stable_id(F.lit(batch_id), "column_id"), "created", "agent_batch", details)
 
 
+def typed_answers(answers: DataFrame, id_type) -> DataFrame:
+    """Answers with the field id in the vocabulary's type; an id that is none of that type is the row's error."""
+    raw, cast = F.col("recommended_canonical_id"), F.col("recommended_canonical_id").try_cast(id_type)
+    bad = (text(raw) != "") & cast.isNull()
+    error = F.coalesce("error", F.when(bad, F.concat(F.lit("field id is not of type "), F.lit(id_type.simpleString()), F.lit(": "), raw)))
+    return answers.withColumns(
+        {"error": error, "confidence": F.when(bad, 0).otherwise(F.col("confidence")), "recommended_canonical_id": cast}
+    )
+
+
 def answer_matches(answers: DataFrame, settings: Settings, keep_errors: bool) -> DataFrame:
     """Parsed answers as matches; rows in error are left for the next run, or kept at confidence 0."""
     if not keep_errors:
@@ -102,6 +117,18 @@ def run_mapping(
     of prompts to a series of texts. With a table at hand no prompts are built. With neither, the run
     proposes the name matches and returns the prompts. A column without answer stays unmapped.
     """
+    with recorded() as written:
+        run = _mapped(
+            source, approved, fields, rules, proposals, platforms, batch_id, responses, complete, settings, use_fast_path,
+            keep_errors, order, indexes, k,
+        )
+    return replace(run, written=tuple(written))
+
+
+def _mapped(
+    source, approved, fields, rules, proposals, platforms, batch_id, responses, complete, settings, use_fast_path, keep_errors,
+    order, indexes, k,
+) -> Run:
     abbreviations = active_abbreviations(rules) if rules is not None else None
     pending = unmapped(source, approved, proposals)
     matches = None
@@ -121,9 +148,7 @@ def run_mapping(
             responses = materialize(answer(prompts, complete), "responses")
     if responses is not None:
         answers = parse_answers(join_responses(open_columns.select("column_id", "column_name"), responses))
-        found = answer_matches(answers, settings, keep_errors).withColumn(
-            "canonical_id", F.col("canonical_id").try_cast(fields.schema["canonical_id"].dataType)
-        )
+        found = answer_matches(typed_answers(answers, fields.schema["canonical_id"].dataType), settings, keep_errors)
         matches = found if matches is None else matches.unionByName(found)
     if matches is None:
         matches = open_columns.limit(0).select(

@@ -24,9 +24,6 @@ from fieldloom.operators.retrieval import (
 from fieldloom.operators.rules import abbreviation_map, standardize_headers
 from fieldloom.session import materialize
 
-# A rule set longer than this does not fit a prompt.
-PROMPT_RULES = 1000
-
 
 @dataclass(frozen=True)
 class SearchIndexes:
@@ -90,9 +87,8 @@ def build_prompts(
         found.merged.join(context.groupBy("canonical_id").agg((F.max("page") + 1).alias("_pages")), "canonical_id")
         .groupBy("header").agg(F.max("_pages").alias("context_pages"))
     )
-    table = abbreviation_map(rules, PROMPT_RULES) if rules is not None else {}
-    if table is None:
-        raise ValueError(f"over {PROMPT_RULES} active abbreviation rules do not fit a prompt")
+    # Every prompt holds all active rules: a set that fits a prompt fits the driver.
+    table = abbreviation_map(rules, None) if rules is not None else {}
     per_header = (
         found.headers
         .join(_listed(found.similar, "header", "rank", ["column_name", "platform_id", "canonical_name", "score"], "similar"), "header", "left")

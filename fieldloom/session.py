@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_RECORDS: ContextVar[tuple[list[str], ...]] = ContextVar("records", default=())
+
+
 def build_session(app: str = "fieldloom", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -41,10 +47,30 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the frame once to the shared folder and read it back, cutting its lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for record in _RECORDS.get():
+        record.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that `materialize` writes to inside the block, for `drop_written`."""
+    paths: list[str] = []
+    token = _RECORDS.set((*_RECORDS.get(), paths))
+    try:
+        yield paths
+    finally:
+        _RECORDS.reset(token)
+
+
+def drop_written(spark: SparkSession, paths) -> None:
+    """Remove written frames; whatever reads them fails from then on."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a scan of few splits; scans with enough splits are left as they are.
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fieldloom import schemas
+from fieldloom.functions.display import details_json
 from fieldloom.operators.conform import Conformed, quoted
+from fieldloom.operators.review import audit_events
 
 
 def create_tables(spark: SparkSession, schema: str) -> None:
@@ -93,3 +95,9 @@ def publish(
         except (PySparkException, ValueError) as exc:
             errors[item.source_table] = str(exc)
     return done, errors
+
+
+def publication_event(spark: SparkSession, published: int, actor: str) -> DataFrame:
+    """The audit row of a publication, to append to the log; no row where nothing was published."""
+    counted = spark.range(min(published, 1)).select(F.lit(published).alias("n"), F.current_timestamp().alias("at"))
+    return audit_events(counted, "gold_views", F.lit("batch"), "created", actor, details_json(count=F.col("n")), F.col("at"))

@@ -81,4 +81,4 @@ def test_register(spark, vocabulary):
     rules, log = register_rules(spark.createDataFrame([("amt", "amount", ""), ("x", "", "")], "pattern string, replacement string, description string"), "ann")
     assert [(r.pattern, r.rule_type) for r in rules.collect()] == [("amt", "abbreviation")]
     assert log.first().details == '{"pattern":"amt","replacement":"amount"}'
-    assert rules.select(F.length("rule_id")).first()[0] == 12
+    assert rules.select(F.length("rule_id")).first()[0] == 32

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fieldloom.functions.text import RESERVED_WORDS
-from workbench.roles import role_sql
+from workbench.roles import TABLES, role_sql
 
 CHECKS: dict[str, str] = {}
 
@@ -111,6 +111,13 @@ SELECT id AS column_id, canonical_id, canonical_name FROM named JOIN by_name ON
 check("near_matches", _PLAIN + """
 SELECT id AS column_id, canonical_id, canonical_name FROM named JOIN near ON squashed = replace(std, '_', '')""")
 
+# Fixed: how the two engines name the types of the given tables.
+_TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT": "float", "DATE": "date",
+               "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>"}
+_TYPE_CASE = "CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPE_NAMES.items()) + " ELSE column_type END"
+check("discover_columns", " UNION ALL ".join(
+    f"SELECT 'given' AS platform_id, '{t}' AS source_table, column_name, {_TYPE_CASE} AS data_type FROM (DESCRIBE {t})" for t in TABLES))
+
 check("discover_new_columns", role_sql("intake_columns", "source_columns", "intake_approved") + """
 SELECT DISTINCT platform_id, source_table, column_name, data_type
 FROM (SELECT * EXCLUDE (column_id) FROM intake_columns UNION ALL SELECT * EXCLUDE (column_id) FROM source_columns) d
@@ -152,6 +159,23 @@ LINKS = role_sql(
 ) + """, links AS (SELECT a.*, s.platform_id, s.column_name, s.source_table FROM approved_mappings a JOIN source_columns s USING (column_id)),
 fields AS (SELECT * FROM canonical_fields WHERE coalesce(is_active, true))"""
 
+# The last row in the column table's order stands for a repeated id.
+_LAST = """(SELECT * FROM repeated_columns
+  QUALIFY row_number() OVER (PARTITION BY column_id ORDER BY platform_id DESC, source_table DESC, column_name DESC) = 1)"""
+BUSY = role_sql("repeated_columns", "busy_mappings", "approved_mappings", "canonical_fields", "platforms") + f""",
+links AS (SELECT a.*, s.platform_id, s.column_name, s.source_table FROM busy_mappings a JOIN {_LAST} s USING (column_id)),
+fields AS (SELECT * FROM canonical_fields WHERE coalesce(is_active, true))"""
+
+check("repeated_documents", BUSY + f"""
+SELECT mapping_id AS doc_id, column_id, CAST(platform_id AS VARCHAR) AS platform_id, column_name, source_table, canonical_id,
+  coalesce(canonical_name, '') AS canonical_name
+FROM approved_mappings JOIN {_LAST} s USING (column_id) LEFT JOIN canonical_fields USING (canonical_id)""")
+check("busy_context", BUSY + f""",
+r AS (SELECT canonical_id, concat_ws('|', platform_id, column_name, source_table) AS line,
+        row_number() OVER (PARTITION BY canonical_id ORDER BY mapping_id) AS n
+      FROM links WHERE canonical_id IN (SELECT canonical_id FROM canonical_fields))
+SELECT canonical_id, (n - 1) // {PAGE} AS page, string_agg(line, '; ' ORDER BY n) AS context FROM r GROUP BY 1, 2""")
+
 check("cross_platform_context", LINKS + f""",
 r AS (SELECT canonical_id, concat_ws('|', platform_id, column_name, source_table) AS line,
         row_number() OVER (PARTITION BY canonical_id ORDER BY mapping_id) AS n
@@ -340,11 +364,13 @@ SELECT s.platform_id, count(DISTINCT s.column_id) AS total_columns, count(DISTIN
 FROM source_columns s LEFT JOIN (SELECT DISTINCT column_id FROM approved_mappings) a USING (column_id)
   LEFT JOIN (SELECT DISTINCT column_id FROM mapping_proposals WHERE status = 'pending_review') p USING (column_id) GROUP BY 1""")
 
-_MATRIX = LINKS + f""", {_PIVOT}, cov AS (SELECT canonical_id, count(DISTINCT platform_id) AS k FROM links GROUP BY 1),
+_CELLS = f""", {_PIVOT}, cov AS (SELECT canonical_id, count(DISTINCT platform_id) AS k FROM links GROUP BY 1),
 m AS (SELECT canonical_id, coalesce(f.canonical_name, CAST(canonical_id AS VARCHAR)) AS canonical_field, coalesce(f.domain_category, '') AS domain,
   coalesce(f.data_type, '') AS type, page, c.* EXCLUDE (canonical_id, page), k || '/25' AS coverage
   FROM cells c JOIN cov USING (canonical_id) LEFT JOIN fields f USING (canonical_id))"""
+_MATRIX = LINKS + _CELLS
 check("coverage_matrix", _MATRIX + " SELECT * FROM m")
+check("busy_matrix", BUSY + _CELLS + " SELECT * FROM m")
 check("matrix_filtered", _MATRIX + " SELECT * FROM m WHERE (contains(lower(canonical_field), 'bolt') OR "
       + " OR ".join(f"contains(lower(\"{n}\"), 'bolt')" for _, n in PLATFORM_NAMES) + ") AND \"NATION_3\" <> ''")
 

@@ -10,7 +10,9 @@ from fieldloom.functions.display import confidence_band
 from fieldloom.functions.text import query_text, tokenize
 from fieldloom.operators import audit, bm25, conform, coverage, intake, match, retrieval, review, rules, similar, worklist
 from fieldloom.plans import mapping_run, prompts
-from workbench.roles import platform_list, role, table
+from fieldloom.settings import Platform
+from fieldloom.sources import discovery
+from workbench.roles import TABLES, platform_list, role, table
 
 QUERIES = {}
 
@@ -87,6 +89,13 @@ def near_matches(spark, folder):
     return match.near_match(rules.standardize_headers(columns, "column_name"), fields).select("column_id", "canonical_id", "canonical_name")
 
 
+@query
+def discover_columns(spark, folder):
+    """S3: the columns of all test tables as rows."""
+    given = Platform("given", "Given tables")
+    return discovery.discover_columns(spark, {(given, t): spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES})
+
+
 @query
 def discover_new_columns(spark, folder):
     """All columns of two systems against those registered so far."""
@@ -158,6 +167,22 @@ def cross_platform_names(spark, folder):
     )
 
 
+@query
+def repeated_documents(spark, folder):
+    """The documents of approved mappings whose column ids repeat."""
+    source, approved, fields = _roles(spark, folder, "repeated_columns", "approved_mappings", "canonical_fields")
+    docs = retrieval.approved_documents(source, approved, fields)
+    return docs.select("doc_id", "column_id", "platform_id", "column_name", "source_table", "canonical_id", "canonical_name")
+
+
+@query
+def busy_context(spark, folder):
+    """Fields of very many mappings, over columns whose ids repeat."""
+    source, approved, fields = _roles(spark, folder, "repeated_columns", "busy_mappings", "canonical_fields")
+    line = F.transform("context", lambda c: F.concat_ws("|", c.platform_id, c.column_name, c.source_table))
+    return retrieval.cross_platform(fields, approved, source).select("canonical_id", "page", F.array_join(line, "; ").alias("context"))
+
+
 def _retrieved(spark, folder):
     source, approved, fields = _roles(spark, folder, "intake_columns", "intake_approved", "canonical_fields")
     return prompts.retrieve(source, source, approved, fields, _abbreviations(spark, folder))
@@ -358,6 +383,14 @@ def coverage_matrix(spark, folder):
     return coverage.sort_matrix(_matrix(spark, folder)[0])
 
 
+@query
+def busy_matrix(spark, folder):
+    """Fields of very many mappings, over columns whose ids repeat."""
+    approved, source, fields = _roles(spark, folder, "busy_mappings", "repeated_columns", "canonical_fields")
+    matrix = coverage.coverage_matrix(approved, source, coverage.active_fields(fields), platform_list(spark, folder))
+    return coverage.sort_matrix(matrix)
+
+
 @query
 def matrix_filtered(spark, folder):
     """P6."""

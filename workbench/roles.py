@@ -30,6 +30,18 @@ ROLES = {
                l_partkey AS canonical_id, o_orderkey AS proposal_id, o_orderpriority AS approved_by,
                o_orderdate AS approved_at
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    # Columns whose ids repeat: a supplier may bear the id of a customer.
+    "repeated_columns": """
+        SELECT c_custkey AS column_id, CAST(c_nationkey AS BIGINT) AS platform_id,
+               concat('cat.seg.', c_mktsegment) AS source_table, c_name AS column_name, 'STRING' AS data_type
+        FROM customer
+        UNION ALL SELECT s_suppkey, CAST(s_nationkey AS BIGINT), 'cat.buy.supplier', s_name, 'STRING' FROM supplier""",
+    # Five fields share all mappings, so each has very many on every platform.
+    "busy_mappings": """
+        SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(l_quantity AS BIGINT), '-',
+                      CAST(CAST(l_shipdate AS DATE) AS STRING)) AS mapping_id, o_custkey AS column_id,
+               l_partkey % 5 + 1 AS canonical_id, o_orderdate AS approved_at
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "mapping_proposals": """
         SELECT o_orderkey AS proposal_id, o_custkey AS column_id, s.suggested AS suggested_canonical_id,
                concat('proposed ', o_orderpriority) AS suggested_canonical_name, o_totalprice % 100 AS confidence,
