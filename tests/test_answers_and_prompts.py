@@ -139,3 +139,24 @@ def test_text_after_the_object_is_an_error(spark):
     texts = ['{"confidence": 5}] junk }', '{"confidence": 5}] [{"x":1}', '{"confidence": 5}, {"x":1}', '{"a": 1}, "end": 0}', '{"confidence": 9007199254740993}']
     rows = parsed(spark, texts)
     assert all(r.error for r in rows[:4]) and rows[4].error is None and rows[4].confidence == 9007199254740993
+
+
+def test_field_ids_of_another_type_are_row_errors(spark):
+    from pyspark.sql.types import LongType
+
+    from fieldloom.functions.answers import parse_answers
+    from fieldloom.plans.mapping_run import typed_answers
+
+    texts = ['{"recommended_canonical_id": "12", "confidence": 80}', '{"recommended_canonical_id": "cf", "confidence": 70}', '{"confidence": 60}', "x"]
+    answers = parse_answers(spark.createDataFrame(list(enumerate(texts)), "column_id int, raw_text string"))
+    got = [(r.recommended_canonical_id, r.confidence, r.error) for r in typed_answers(answers, LongType()).orderBy("column_id").collect()]
+    assert got[:3] == [(12, 80, None), (None, 0, "field id is not of type bigint: cf"), (None, 60, None)]
+    assert got[3][2].startswith("Failed to parse LLM response")
+
+
+def test_a_prompt_may_hold_over_a_thousand_rules(spark, columns, approved, vocabulary, platforms):
+    from fieldloom.plans.prompts import build_prompts
+
+    rules = spark.range(1500).selectExpr("concat('zz', id) AS pattern", "concat('word', id) AS replacement")
+    text = build_prompts(columns.limit(1), columns, approved, vocabulary, rules, platforms[1]).first().prompt
+    assert sum(f"  zz{i} -> word{i}\n" in text for i in range(1500)) == 1500

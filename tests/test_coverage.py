@@ -111,3 +111,35 @@ def test_audit(spark):
     assert [r.event_id for r in audit.filter_audit(log, action="created", actor="ann").collect()] == [3]
     assert [tuple(r) for r in audit.facets(log, ["action", "actor"]).collect()] == [
         ("action", "approved"), ("action", "created"), ("actor", "ann"), ("actor", "bot")]
+
+
+def test_repeated_ids_count_once(spark, columns, approved, vocabulary, platforms):
+    from fieldloom.operators import coverage, retrieval, worklist
+
+    listed, frame = platforms
+    # The later row in the order of platform, table and name stands for the id.
+    repeated = columns.unionByName(spark.createDataFrame([("sc_001", "aaa", "OLD", "main.aaa.t")], columns.schema))
+    fields = vocabulary.unionByName(spark.createDataFrame([("cf_001", "an_older_name", "STRING", "old", "Fund")], vocabulary.schema))
+    docs = retrieval.approved_documents(repeated, approved, fields).collect()
+    assert sorted((d.doc_id, d.column_name, d.canonical_name) for d in docs) == [
+        ("am_001", "FND_ID", "fund_identifier"), ("am_002", "NAV_AMT", "net_asset_value"), ("am_003", "fund_id", "fund_identifier"),
+    ]
+    assert retrieval.links(approved, repeated).count() == 3
+    matrix = coverage.coverage_matrix(approved, repeated, fields, listed).collect()
+    assert sorted((r.canonical_field, r.Ledger, r.Books, r.coverage) for r in matrix) == [
+        ("fund_identifier", "FND_ID", "fund_id", "2/3"), ("net_asset_value", "NAV_AMT", "", "1/3"),
+    ]
+    proposals = spark.createDataFrame([("p1", "sc_001", "cf_001")], "proposal_id string, column_id string, suggested_canonical_id string")
+    rows = worklist.joined_proposals(proposals, repeated, fields).collect()
+    assert [(r.column_name, r.canonical_name) for r in rows] == [("FND_ID", "fund_identifier")]
+
+
+def test_run_kpis_with_null_and_repeated_ids(spark):
+    from fieldloom.operators import coverage
+
+    source = spark.createDataFrame([(1,), (1,), (2,), (None,)], "column_id int")
+    proposals = spark.createDataFrame(
+        [(1, "approved"), (1, "pending_review"), (7, "pending_review"), (None, "approved")], "column_id int, status string"
+    )
+    assert tuple(coverage.run_kpis(source, proposals).first()) == (4, 2, 2, 2)
+    assert tuple(coverage.run_kpis(source.limit(0), proposals.limit(0)).first()) == (0, 0, 0, 0)

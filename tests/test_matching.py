@@ -82,3 +82,21 @@ def test_register(spark, vocabulary):
     assert [(r.pattern, r.rule_type) for r in rules.collect()] == [("amt", "abbreviation")]
     assert log.first().details == '{"pattern":"amt","replacement":"amount"}'
     assert rules.select(F.length("rule_id")).first()[0] == 32
+
+
+def test_similar_names_come_best_first_and_five_warn(spark):
+    taken = [f"fund_name_{c}" for c in "abcdefg"] + ["fund_name"]
+    fields = spark.createDataFrame([(n,) for n in taken], "canonical_name string")
+    found = similar.similar_fields(spark.createDataFrame([("fund_name",)], "name string"), fields)
+    rows = [(r.canonical_name, r.score) for r in found.collect()]
+    assert rows[0] == ("fund_name", 1.0) and len(rows) == 8
+    assert rows == sorted(rows, key=lambda r: (-r[1], r[0]))
+    best = similar.best_similar(found).orderBy("rank").collect()
+    assert [(r.canonical_name, r["rank"]) for r in best] == [(n, i + 1) for i, (n, _) in enumerate(rows[:5])]
+
+
+def test_repeated_patterns_give_one_name_either_way(spark):
+    headers = spark.createDataFrame([("FND_ID",)], "column_name string")
+    repeated = spark.createDataFrame([("fnd", "fonds"), ("fnd", "fund"), (None, "x")], "pattern string, replacement string")
+    for limit in (0, 1, 1000):
+        assert [r.standardized for r in standardize_headers(headers, "column_name", repeated, limit=limit).collect()] == ["fund_id"]

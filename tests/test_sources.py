@@ -104,3 +104,26 @@ def test_shared_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     df = materialize(spark.range(5).withColumn("x", F.lit(None).cast("array<string>")), "t")
     assert df.count() == 5 and df.inputFiles()[0].find("/t-") > 0
+
+
+def test_publication_event(spark):
+    from fieldloom.sources.tables import publication_event
+
+    row = publication_event(spark, 3, "ann").first()
+    assert (row.entity_type, row.entity_id, row.action, row.actor, row.details) == ("gold_views", "batch", "created", "ann", '{"count":3}')
+    assert publication_event(spark, 0, "ann").count() == 0
+
+
+def test_written_frames_can_be_dropped(spark):
+    from pathlib import Path
+
+    from fieldloom.operators.bm25 import bm25_search, build_index
+
+    docs = spark.createDataFrame([(1, "fund name"), (2, "net asset value"), (3, "trade date")], "id int, text string")
+    index = build_index(docs, "id", "text")
+    paths = [Path(p) for p in index.written]
+    assert len(paths) == 4 and all(p.exists() for p in paths)
+    asked = spark.createDataFrame([(9, "asset")], "q int, text string")
+    assert [r.doc_id for r in bm25_search(asked, "q", "text", index).collect()] == [2]
+    index.drop()
+    assert not any(p.exists() for p in paths)
