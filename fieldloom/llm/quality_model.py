@@ -39,12 +39,12 @@ def features(text: str | None) -> list[float]:
     lines = [line.strip() for line in text.split("\n")]
     lines = [line for line in lines if line]
     n, rows = max(1, len(words)), max(1, len(lines))
-    letters = max(1, sum(map(str.isalpha, text[:: max(1, size // 4000)])))
+    letters = max(1, sum(map(str.isalpha, text)))
     triples = list(zip(words, words[1:], words[2:], strict=False))
     share = lambda chars: sum(map(text.count, chars)) / size
     return [
         np.log1p(len(words)), sum(map(len, words)) / n, share(SYMBOLS), share(PIPES), share("!"),
-        sum(map(str.isupper, text[:: max(1, size // 4000)])) / letters, share("0123456789"), len(set(words)) / n,
+        sum(map(str.isupper, text)) / letters, share("0123456789"), len(set(words)) / n,
         np.log1p(len(lines)), len(words) / rows, 1 - len(set(lines)) / rows, sum(line[-1] in ".!?…" for line in lines) / rows,
         (text.count(",") + text.count(".")) / n, (len(text.encode()) - len(text)) / size,
         1 - len(set(triples)) / max(1, len(triples)), np.log1p(max(map(len, words), default=0)),
