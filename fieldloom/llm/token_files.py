@@ -152,7 +152,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         if place is not None:
             writer.close()
             out.close()
-            files.move(place, f"{path}/{shard:08d}.ids.zst")
+            target = f"{path}/{shard:08d}.ids.zst"
+            # A lost attempt of this task may have come as far as here; not every file system renames onto a file.
+            if files.get_file_info(target).type == arrow_fs.FileType.File:
+                files.delete_file(target)
+            files.move(place, target)
             row = [[shard], [len(writer.ids)], [sum(writer.lengths)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in row], ["file", "documents", "ids"])
 

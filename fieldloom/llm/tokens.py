@@ -17,8 +17,9 @@ from tokenizers import Tokenizer
 
 #: Code points whose classes all Unicode versions since 6 agree on.
 PLAIN = [*range(0x180), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]
-#: Distinct pieces kept in a worker; beyond this the memory starts anew.
-KEPT_PIECES = 1_000_000
+#: Distinct pieces kept in a worker; beyond this the memory starts anew. Longer pieces than KEPT_LENGTH characters, which
+#: hardly repeat, are not kept.
+KEPT_PIECES, KEPT_LENGTH = 1_000_000, 64
 #: Fixed: the contractions both public tokenizers split off.
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 
@@ -49,10 +50,12 @@ class Pieces(dict):
         self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
         written = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-        found = self[piece] = packed([t.id for t in self.model.tokenize(written)])
+        found = packed([t.id for t in self.model.tokenize(written)])
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = found
         return found
 
 
