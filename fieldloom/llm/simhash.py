@@ -9,7 +9,8 @@ half, with radius 1; what they bring together is checked on all 64 bits. A node
 fingerprints with the same half) measures all bits with radius 3 instead. No pair is lost.
 
 The upper part of each tree is fitted on a bounded sample and makes the shards: each distinct fingerprint lives in one
-shard of each tree and asks in all that overlap its radius. Each shard continues the tree over all its fingerprints.
+shard of each tree and asks in all that overlap its radius. Each shard continues the tree over all its fingerprints;
+a shard too crowded for one task is cut into cells, in which each two of its parts meet.
 A shard gives back a forest that links what it found, no more rows than it has, and the forests are joined to
 components by Spark.
 """
@@ -38,6 +39,8 @@ SAMPLE = 1 << 16
 SHARD_ROWS, LEAF_ROWS = 1 << 14, 96
 HALVES = [np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)]
 WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows of a shard that one task takes; a shard that no vantage point splits may have more, and is cut into cells.
+CELL_ROWS = 1 << 19
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -188,8 +191,23 @@ def near_links(distinct: DataFrame, rows: int) -> DataFrame:
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[root[moved]].view(np.int64)})
 
-    routed = distinct.select("fingerprint").mapInArrow(shards, "tree int, leaf int, fingerprint long, home boolean")
-    return routed.groupBy("tree", "leaf").applyInPandas(links, "a long, b long")
+    routed = materialize(distinct.select("fingerprint").mapInArrow(shards, "tree int, leaf int, fingerprint long, home boolean"), "routed")
+    return cells(routed).groupBy("tree", "leaf", "_lives", "_asks").applyInPandas(links, "a long, b long")
+
+
+def cells(routed: DataFrame) -> DataFrame:
+    """Shards of over CELL_ROWS rows cut into parts by hash, and each pair of parts made a cell of its own.
+
+    In the cell (_lives, _asks) the fingerprints that live in the one part meet those of the other, so all meet.
+    """
+    # At most one row per leaf of the upper trees, whose number SAMPLE bounds.
+    crowded = routed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+    parted = routed.join(F.broadcast(crowded), ["tree", "leaf"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    parted = parted.withColumn("_part", F.pmod(F.xxhash64("fingerprint", F.lit("part")), F.col("_parts")).cast("int"))
+    asks = "transform(sequence(0, _parts - 1), i -> struct(i AS _lives, _part AS _asks, home AND i = _part AS _home))"
+    lives = "transform(filter(sequence(0, _parts - 1), j -> home AND j != _part), j -> struct(_part AS _lives, j AS _asks, true AS _home))"
+    placed = parted.select("tree", "leaf", "fingerprint", F.explode(F.expr(f"concat({asks}, {lives})")).alias("_cell"))
+    return placed.select("tree", "leaf", "_cell._lives", "_cell._asks", "fingerprint", F.col("_cell._home").alias("home"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

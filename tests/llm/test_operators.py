@@ -55,6 +55,8 @@ def test_encoder_equals_the_library(name):
         assert made.encode(text) == whole(text)
     for _, text, _ in ROWS:
         assert made.encode(text) == whole(text or "")
+    long = "ab" * 500
+    assert made.encode(f"{long} {long}") == whole(f"{long} {long}") and max(map(len, made.pieces)) <= tokens.KEPT_LENGTH
     assert made.encode("a <|endoftext|> b") == whole("a <|endoftext|> b")
 
 
@@ -258,13 +260,15 @@ def test_fingerprints():
         assert simhash.fingerprint(text) == _brute_fingerprint(text)
 
 
-def test_vantage_point_trees_lose_no_pair(spark, monkeypatch):
+@pytest.mark.parametrize("cell_rows", [simhash.CELL_ROWS, 300])
+def test_vantage_point_trees_lose_no_pair(spark, monkeypatch, cell_rows):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 40).astype(np.uint64)
     near = [c ^ (np.uint64(1) << rng.integers(0, 64, (n, k)).astype(np.uint64)).sum(axis=1).astype(np.uint64) for n, c in zip(range(20, 420, 10), centres, strict=True) for k in (1, 2, 4)]
     points = np.unique(np.concatenate([*near, np.arange(800, dtype=np.uint64) << np.uint64(33), rng.integers(0, 2**63, 3000).astype(np.uint64)]))
     want, root = _brute_roots(points), np.arange(len(points))
     monkeypatch.setattr(simhash, "SHARD_ROWS", 700)
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
     distinct = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fingerprint long")
     found = rows(simhash.near_links(distinct, len(points)))
     number = {int(p): i for i, p in enumerate(points.view(np.int64))}
