@@ -26,8 +26,8 @@ EPSILON = 0.25
 # Postings of one term, and queries holding it, that one task joins; more are split over several.
 POSTINGS_PER_TASK = 200_000
 QUERIES_PER_TASK = 2_000
-# A term is split only when it also holds over 1/SPLIT_SHARE of all rows, so few terms are.
-SPLIT_SHARE = 500
+# Terms whose parts are sent to every task; more are joined.
+SPLIT_TERMS = 100_000
 # Query terms up to this many rows are sent to every task; the postings are then spread by document.
 BROADCAST_ROWS = 200_000
 READS_PER_TASK = 2_000_000
@@ -107,20 +107,19 @@ def _written_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
 
 def _split_terms(queries: DataFrame, index: Index, postings_per_task: int, queries_per_task: int) -> DataFrame | None:
     """How many parts the postings and the queries of a very common term fall into; None when no term needs it."""
-    row_limit = max(postings_per_task, index.postings.count() // SPLIT_SHARE)
-    use_limit = max(queries_per_task, queries.count() // SPLIT_SHARE)
     uses = queries.groupBy("term").agg(F.count("*").alias("uses"))
     parts = (
         index.terms.join(uses, "term")
         .select(
             "term",
-            F.ceil(F.col("bags") / row_limit).cast("int").alias("row_parts"),
-            F.ceil(F.col("uses") / use_limit).cast("int").alias("use_parts"),
+            F.ceil(F.col("bags") / postings_per_task).cast("int").alias("row_parts"),
+            F.ceil(F.col("uses") / queries_per_task).cast("int").alias("use_parts"),
         )
         .filter("row_parts > 1 or use_parts > 1")
     )
-    rows = parts.limit(2 * SPLIT_SHARE).collect()
-    return queries.sparkSession.createDataFrame(rows, parts.schema) if rows else None
+    parts = materialize(parts, "bm25-split")
+    terms = parts.count()
+    return (F.broadcast(parts) if terms <= SPLIT_TERMS else parts) if terms else None
 
 
 def join_postings(
@@ -142,13 +141,13 @@ def join_postings(
         return queries.join(index.postings, "term")
     row_parts, use_parts = (F.coalesce(c, F.lit(1)) for c in ("row_parts", "use_parts"))
     left = (
-        queries.join(F.broadcast(split), "term", "left")
+        queries.join(split, "term", "left")
         .withColumn("_use", F.pmod(F.hash("query"), use_parts))
         .withColumn("_row", F.explode(F.sequence(F.lit(0), row_parts - 1)))
         .drop("row_parts", "use_parts")
     )
     right = (
-        index.postings.join(F.broadcast(split), "term", "left")
+        index.postings.join(split, "term", "left")
         .withColumn("_row", F.pmod(F.hash("bag"), row_parts))
         .withColumn("_use", F.explode(F.sequence(F.lit(0), use_parts - 1)))
         .drop("row_parts", "use_parts")

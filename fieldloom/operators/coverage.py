@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.functions.display import contains_text, leaf_name, percent, preview, title_words
 from fieldloom.functions.text import text
-from fieldloom.operators.intake import mapped_columns
 from fieldloom.operators.ordering import PAGE_SIZE, ordered_pages
 from fieldloom.operators.retrieval import links, mapping_order, one_per_column, one_per_field
 from fieldloom.settings import Platform
@@ -20,17 +18,6 @@ def active_fields(fields: DataFrame) -> DataFrame:
     return fields.filter(F.coalesce(F.col("is_active"), F.lit(True)))
 
 
-def one_row(**frames: DataFrame) -> DataFrame:
-    """Single-value frames side by side as one row."""
-    tall = [df.select(F.lit(name).alias("name"), F.col(df.columns[0]).cast("string").alias("value")) for name, df in frames.items()]
-    values = reduce(DataFrame.unionByName, tall)
-    typed = [
-        F.max(F.when(F.col("name") == name, F.col("value"))).cast(df.schema[0].dataType).alias(name)
-        for name, df in frames.items()
-    ]
-    return values.agg(*typed)
-
-
 def _count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 
@@ -168,19 +155,19 @@ def filter_matrix(matrix: DataFrame, platforms: list[Platform], search: str = ""
 def matrix_totals(approved: DataFrame, source: DataFrame, platforms: DataFrame) -> DataFrame:
     """Mapped fields, links, platforms, and the platform covering most fields (the first listed on ties)."""
     linked = _matrix_links(approved, source).groupBy("canonical_id", "platform_id").agg(F.count("*").alias("n"))
-    per_platform = linked.groupBy("platform_id").agg(F.count("*").alias("covered"))
-    best = platforms.join(per_platform, "platform_id", "left").agg(
-        F.max_by(
-            F.struct("name", F.coalesce("covered", F.lit(0)).alias("covered")),
-            F.struct(F.coalesce("covered", F.lit(0)), -F.col("ord")),
-        ).alias("best")
+    # A field counts where its first platform does, so one pass over the pairs gives all figures.
+    first = F.row_number().over(W.partitionBy("canonical_id").orderBy("platform_id")) == 1
+    per_platform = linked.withColumn("_first", first).groupBy(F.col("platform_id").alias("_linked")).agg(
+        F.count("*").alias("_covered"), F.sum("n").alias("_links"), F.count_if("_first").alias("_fields")
     )
-    return one_row(
-        mapped_fields=linked.agg(F.countDistinct("canonical_id").alias("n")),
-        total_links=linked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")),
-        platforms=_count(platforms),
-        best_platform=best.select("best.name"),
-        best_covered=best.select("best.covered"),
+    listed = platforms.select("platform_id", "name", "ord", F.lit(True).alias("_listed"))
+    both = listed.join(per_platform, F.col("platform_id") == F.col("_linked"), "full")
+    covered = F.coalesce("_covered", F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    best = F.max_by(F.struct("name", covered.alias("covered")), F.when(F.col("_listed"), F.struct(covered, -F.col("ord"))))
+    return both.agg(total("_fields"), total("_links"), F.count("_listed").alias("platforms"), best.alias("_best")).select(
+        F.col("_fields").alias("mapped_fields"), F.col("_links").alias("total_links"), "platforms",
+        F.col("_best.name").alias("best_platform"), F.col("_best.covered").alias("best_covered"),
     )
 
 
@@ -206,10 +193,18 @@ def platform_coverage(approved: DataFrame, source: DataFrame, platforms: DataFra
 
 def registry_kpis(fields: DataFrame, approved: DataFrame, source: DataFrame) -> DataFrame:
     """Fields, mappings, unmapped columns and coverage of the registry."""
-    counts = one_row(
-        fields=_count(fields), mappings=_count(approved), mapped=_count(mapped_columns(source, approved)), total=_count(source)
+    columns = source.groupBy("column_id").agg(F.count("*").alias("columns"))
+    mapped = approved.groupBy(F.col("column_id").alias("_mapped")).agg(F.count("*").alias("mappings"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    # One row per column id from either side, so each table is read once.
+    counts = columns.join(mapped, F.col("column_id") == F.col("_mapped"), "full").agg(
+        total("mappings").alias("mappings"), total("columns").alias("total"),
+        total(F.when(F.col("mappings").isNotNull(), F.col("columns"))).alias("mapped"),
     )
-    return counts.select(
+    # Both sides are one row.
+    return counts.unionByName(_count(fields).withColumnRenamed("n", "fields"), allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("fields", "mappings", "mapped", "total")]
+    ).select(
         "fields", "mappings", (F.col("total") - F.col("mapped")).alias("unmapped"),
         percent(F.col("mapped"), F.col("total"), "0.0").alias("coverage"),
     )

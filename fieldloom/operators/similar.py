@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.similarity import name_tokens, overlap_share, sequence_ratio, similarity_bound
 from fieldloom.operators.ordering import top_k
+from fieldloom.session import materialize
 
 SLACK = 1e-9
 # Names sharing one token that a task joins; more are split over several.
 NAMES_PER_TASK = 20_000
-SPLIT_SHARE = 500
+# Tokens whose parts are sent to every task; more are joined.
+SPLIT_TOKENS = 100_000
 
 
 def _distinct_names(df: DataFrame, name: str, prefix: str) -> DataFrame:
@@ -28,12 +30,11 @@ def _exploded(names: DataFrame, prefix: str) -> DataFrame:
 
 
 def _grid(left: DataFrame, right: DataFrame, limit: int) -> DataFrame | None:
-    """Tokens so common on a side that their pairs are spread over several tasks; few by construction."""
+    """Tokens so common on a side that their pairs are spread over several tasks; None when there are none."""
     sizes = (
         left.groupBy("token").agg(F.count("*").alias("n")).withColumn("side", F.lit(0))
         .unionByName(right.groupBy("token").agg(F.count("*").alias("n")).withColumn("side", F.lit(1)))
     )
-    limit = max(limit, (sizes.agg(F.sum("n")).first()[0] or 0) // SPLIT_SHARE)
     parts = (
         sizes.filter(F.col("n") > limit)
         .groupBy("token")
@@ -42,8 +43,9 @@ def _grid(left: DataFrame, right: DataFrame, limit: int) -> DataFrame | None:
             F.coalesce(F.max(F.when(F.col("side") == 1, F.ceil(F.col("n") / limit))), F.lit(1)).cast("int").alias("right_parts"),
         )
     )
-    rows = parts.limit(2 * SPLIT_SHARE).collect()
-    return left.sparkSession.createDataFrame(rows, parts.schema) if rows else None
+    parts = materialize(parts, "similar-split")
+    tokens = parts.count()
+    return (F.broadcast(parts) if tokens <= SPLIT_TOKENS else parts) if tokens else None
 
 
 def candidate_pairs(
@@ -63,13 +65,13 @@ def candidate_pairs(
     if grid is not None:
         l_parts, r_parts = F.coalesce("left_parts", F.lit(1)), F.coalesce("right_parts", F.lit(1))
         left = (
-            left.join(F.broadcast(grid), "token", "left")
+            left.join(grid, "token", "left")
             .withColumn("_l", F.pmod(F.hash("a"), l_parts))
             .withColumn("_r", F.explode(F.sequence(F.lit(0), r_parts - 1)))
             .drop("left_parts", "right_parts")
         )
         right = (
-            right.join(F.broadcast(grid), "token", "left")
+            right.join(grid, "token", "left")
             .withColumn("_r", F.pmod(F.hash("b"), r_parts))
             .withColumn("_l", F.explode(F.sequence(F.lit(0), l_parts - 1)))
             .drop("left_parts", "right_parts")

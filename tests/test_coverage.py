@@ -59,6 +59,19 @@ def test_run_reports(spark, columns, approved, platforms):
     assert summary == {"ledger": (2, 2, 1), "books": (1, 1, 0)}
 
 
+def test_reports_scan_each_table_once(spark, columns, approved, vocabulary, platforms, tmp_path):
+    def written(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    columns, approved, fields = written("columns", columns), written("approved", approved), written("fields", vocabulary)
+    asked, labels = written("proposals", proposals(spark)), written("platforms", platforms[1])
+    assert scans(coverage.run_kpis(columns, asked)) == 2
+    assert scans(coverage.registry_kpis(fields, approved, columns)) == 3
+    assert scans(coverage.matrix_totals(approved, columns, labels)) == 3
+
+
 def test_registry(spark, columns, approved, vocabulary, platforms):
     _, labels = platforms
     kpis = coverage.registry_kpis(vocabulary, approved.filter("column_id != 'sc_003'"), columns).first()
