@@ -18,7 +18,7 @@ from bisect import bisect_left, insort
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.ranks import spread_rank
@@ -26,6 +26,8 @@ from fieldloom.llm.tokens import encoder, packed
 from fieldloom.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
+#: Runs whose sequences are summed up by one task.
+LOT_RUNS = 4096
 
 
 class Placement(NamedTuple):
@@ -45,29 +47,34 @@ def piece_lengths(tokens: int, capacity: int) -> list[int]:
     return [tokens - capacity * (count - 1)] + [capacity] * (count - 1)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """The pieces of all documents with their ids, as bytes of little-endian unsigned 32-bit integers.
 
     Null text counts as empty; each document ends with `end_id`, so an empty one has one id. Texts are encoded whole,
-    however long. Null and repeated document ids are kept as they are; columns besides the two are not read.
+    however long. Null and repeated document ids are kept as they are. The columns `also` come along with each piece;
+    no others are read.
     """
     end = packed([end_id])
+    texts = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"), *also)
+    schema = ", ".join([PIECES, *(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[2:])])
 
     def cut(batches):
         encode = encoder(tokenizer).encode
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out, of = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}, []
+            for row_at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 ids, at = encode(text.as_py()) + end, 0
                 for number, length in enumerate(piece_lengths(len(ids) // 4, capacity)):
                     row = (doc, number, at, length, ids[4 * at : 4 * (at + length)])
                     for column, value in zip(out.values(), row, strict=True):
                         column.append(value)
+                    of.append(row_at)
                     at += length
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+            made = [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *(c.take(pa.array(of, pa.int64())) for c in batch.columns[2:])], [*out, *also])
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(cut, PIECES)
+    return texts.mapInArrow(cut, schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Placement]:
@@ -123,3 +130,44 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", key: Column |
         (F.col("_sequence") + F.floor(place / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + place % F.col("_each") * F.col(length)).cast("long").alias("offset"),
     )
+
+
+def pack_runs(pieces: DataFrame, capacity: int, run: str, order: tuple[str, ...]) -> DataFrame:
+    """Pack the pieces of each run by themselves; sequences are numbered run after run, from 0 without gaps.
+
+    Within a run this is best fit as in `pack`, with pieces of equal length taken in `order`, and its sequences are
+    numbered in the order of their first piece. A run is packed by one task, so runs must be of bounded size, whatever
+    their number; `run` is a whole number from 0. A piece without tokens, or longer than `capacity`, is an error. An
+    empty input gives no rows. Adds `sequence_id` and `offset`; the other columns come along.
+    """
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*kept).schema) + ", _sequence long, offset long"
+
+    def place(frame: pa.Table) -> pa.Table:
+        lengths = frame.column("length").to_pylist()
+        if min(lengths) < 1 or max(lengths) > capacity:
+            raise ValueError(f"a piece without tokens or longer than {capacity}")
+        rows = frame.append_column("_row", pa.array(range(len(lengths)), pa.int64())).sort_by([(c, "ascending") for c in order])
+        by: dict[int, list[int]] = {}
+        rank = rows.column("_row").to_pylist()
+        for row in rank:
+            by.setdefault(lengths[row], []).append(row)
+        sequence, offset = [0] * len(lengths), [0] * len(lengths)
+        for p in best_fit({n: len(v) for n, v in by.items()}, capacity):
+            for i in range(p.pieces):
+                row = by[p.length][p.rank + i]
+                sequence[row], offset[row] = p.sequence + i // p.each, p.offset + i % p.each * p.length
+        first: dict[int, int] = {}
+        for row in rank:
+            first.setdefault(sequence[row], len(first))
+        return frame.append_column("_sequence", pa.array([first[s] for s in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+    local = materialize(pieces.select(*kept).groupBy(run).applyInArrow(place, schema), "runs")
+    # Sums over lots of runs first, so that no task goes through all runs.
+    used = local.groupBy(F.col(run).alias("_run")).agg((F.max("_sequence") + 1).alias("_used")).withColumn("_lot", F.expr(f"_run div {LOT_RUNS}"))
+    lots = used.groupBy(F.col("_lot").alias("_of")).agg(F.sum("_used").alias("_all"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select("_of", F.coalesce(F.sum("_all").over(before(Window.orderBy("_of"))), F.lit(0)).alias("_from"))
+    within = F.coalesce(F.sum("_used").over(before(Window.partitionBy("_lot").orderBy("_run"))), F.lit(0))
+    starts = used.withColumn("_in", within).join(lots, F.col("_lot") == F.col("_of")).select("_run", (F.col("_from") + F.col("_in")).alias("_start"))
+    return local.join(starts, F.col(run) == F.col("_run")).select(*kept, (F.col("_start") + F.col("_sequence")).alias("sequence_id"), "offset")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import exact_dedup, license_scan, line_rules, mixing, packing, quality_model, simhash, token_files, toxicity, url_filter
-from fieldloom.session import shared_folder
+from fieldloom.session import materialize, shared_folder
 
 #: Fixed: rules of hosts and paths, and hosts listed as spam.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -73,6 +73,27 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, PARTS, BLOCK_ROWS, docs.count())
 
 
+def op4_mixing_passes(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix whose scarce sources go round again, at the target weights to its end."""
+    return mixing.mix_passes(table(spark, folder, "documents"), PARTS, BLOCK_ROWS)
+
+
+def mixed_sequences(docs: DataFrame) -> DataFrame:
+    """The pieces of the mix in its order, each period of the schedule packed by itself: its sequences have the target weights.
+
+    One row per piece and pass; slot and place are those of its document.
+    """
+    numbered = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("_text_row"))
+    pieces = packing.token_pieces(numbered, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, PACK_END, also=("source", "_text_row"))
+    pieces = materialize(pieces.select("_text_row", "doc_id", "source", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "digest")
+    # Each row of docs has one piece 0; from here on no text is read.
+    order = mixing.mix_passes(pieces.where("piece = 0"), PARTS, BLOCK_ROWS, also=("_text_row",))
+    order = order.select(F.col("_text_row").alias("_of"), "pass", "period", "slot", "place")
+    runs = pieces.join(order, F.col("_text_row") == F.col("_of")).drop("_text_row", "_of")
+    packed = packing.pack_runs(runs, CAPACITY, "period", ("slot", "place", "piece"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "source", "pass", "slot", "place")
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     files = token_files.write_token_files(table(spark, folder, "documents"), place, public_tokenizers.path("word_bpe_49k.json"), FILE_END)
@@ -107,7 +128,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_quality, op3_packing, op4_mixing, op5_token_files, op6_license_scan, op7_simhash, op8_line_rules,
+        op1_url_filter, op2_quality, op3_packing, op4_mixing, op4_mixing_passes, op5_token_files, op6_license_scan, op7_simhash, op8_line_rules,
         op9_exact_dedup, op10_toxicity,
     )
 }

@@ -15,6 +15,7 @@ def spread_rank(df: DataFrame, groups: list[str], key: Column, ties: list[str],
     The first hex digits of the md5 deal a group out to many tasks; each ranks its share, and a running sum over the
     shares' counts gives where the share starts. The number of digits follows `rows`, the number of rows of `df`; it
     changes the tasks, never the ranks. `df` is read twice. Rows equal in key and ties are ranked in any order.
+    Columns of `df` must not be named `_md5`, `_share` or `_row`.
     """
     digits, shares = 1, max(1, rows // RANK_ROWS)
     while 16**digits < shares:
