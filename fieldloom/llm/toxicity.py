@@ -3,7 +3,8 @@
 A logistic model over the words and word beginnings of a text that tell the labels apart. Words that name a group of people are evidence of
 nothing by themselves, yet a plain fit gives them weight wherever abuse is aimed at groups. So each labelled text with
 such a term is paired with counterfactuals that swap the term for another of its kind or leave it out, and the fit adds
-a penalty on the squared change of the score's logit over these pairs.
+a penalty on the squared change of the score's logit over these pairs. Both sides of a pair have the features of their
+whole texts: a term's beginnings go with it, unless another word of the text has them too, and come with the other.
 
 Words are counted by Spark over the labelled sample, FIT_ROWS rows; the driver gets the words that pass a test and, for
 each sampled text, which of them it has.
@@ -30,7 +31,7 @@ WORDS, Z = 4_000, 4.0
 COUNTERFACTUAL, RIDGE, STEPS = 4.0, 1e-4, 60
 #: Letters of the beginnings that count as words of their own.
 BEGINNINGS = (4, 5)
-#: Fixed: terms that name groups of people, by kind.
+#: Fixed: terms that name groups of people, by kind and language. A term is swapped for others of its list.
 IDENTITY = {
     "gender": ["woman", "women", "man", "men", "female", "male", "girl", "boy", "transgender", "nonbinary"],
     "faith": ["muslim", "muslims", "christian", "christians", "jew", "jews", "jewish", "hindu", "hindus", "buddhist", "buddhists", "sikh", "atheist", "atheists"],
@@ -38,6 +39,24 @@ IDENTITY = {
     "origin": ["african", "american", "asian", "arab", "arabs", "european", "mexican", "mexicans", "chinese", "indian", "latino", "latina", "immigrant", "immigrants", "refugee", "refugees", "black", "white"],
     "ability": ["disabled", "deaf", "blind", "autistic"],
     "age": ["old", "young", "elderly", "teenager"],
+    "gender_fr": ["femme", "femmes", "homme", "hommes", "fille", "filles", "garçon", "garçons", "transgenre", "transgenres"],
+    "faith_fr": ["musulman", "musulmans", "musulmane", "musulmanes", "chrétien", "chrétiens", "chrétienne", "juif", "juifs", "juive", "juives", "hindou", "hindous", "bouddhiste", "bouddhistes", "athée", "athées"],
+    "orientation_fr": ["gai", "gais", "gay", "lesbienne", "lesbiennes", "bisexuel", "bisexuels", "homosexuel", "homosexuels", "hétérosexuel", "hétérosexuels"],
+    "origin_fr": ["africain", "africains", "africaine", "américain", "américains", "asiatique", "asiatiques", "arabe", "arabes", "européen", "européens", "mexicain", "mexicains", "chinois", "indien", "indiens", "immigré", "immigrés", "réfugié", "réfugiés", "noir", "noirs", "blanc", "blancs"],
+    "ability_fr": ["handicapé", "handicapés", "sourd", "sourds", "aveugle", "aveugles", "autiste", "autistes"],
+    "age_fr": ["vieux", "vieille", "jeune", "jeunes", "âgé", "âgés", "adolescent", "adolescents"],
+    "gender_de": ["frau", "frauen", "mann", "männer", "mädchen", "junge", "jungen", "weiblich", "männlich", "transgender"],
+    "faith_de": ["muslim", "muslime", "muslimin", "moslem", "moslems", "christ", "christen", "jude", "juden", "jüdin", "jüdisch", "hindu", "hindus", "buddhist", "buddhisten", "atheist", "atheisten"],
+    "orientation_de": ["schwul", "schwule", "schwulen", "lesbisch", "lesbe", "lesben", "bisexuell", "homosexuell", "homosexuelle", "heterosexuell", "heterosexuelle"],
+    "origin_de": ["afrikaner", "amerikaner", "asiate", "asiaten", "araber", "europäer", "mexikaner", "chinese", "chinesen", "inder", "türke", "türken", "einwanderer", "migrant", "migranten", "flüchtling", "flüchtlinge", "schwarze", "schwarzen", "weiße", "weißen"],
+    "ability_de": ["behindert", "behinderte", "behinderten", "gehörlos", "gehörlose", "taub", "blind", "blinde", "autist", "autisten"],
+    "age_de": ["alt", "alte", "alten", "jugendliche", "jugendlichen", "senior", "senioren", "rentner"],
+    "gender_es": ["mujer", "mujeres", "hombre", "hombres", "niña", "niñas", "niño", "niños", "transgénero"],
+    "faith_es": ["musulmán", "musulmanes", "musulmana", "musulmanas", "cristiano", "cristianos", "cristiana", "judío", "judíos", "judía", "judías", "hindú", "hindúes", "budista", "budistas", "ateo", "ateos"],
+    "orientation_es": ["gay", "gais", "lesbiana", "lesbianas", "bisexual", "bisexuales", "homosexual", "homosexuales", "heterosexual", "heterosexuales"],
+    "origin_es": ["africano", "africanos", "americano", "americanos", "asiático", "asiáticos", "árabe", "árabes", "europeo", "europeos", "mexicano", "mexicanos", "chino", "chinos", "indio", "indios", "latino", "latinos", "inmigrante", "inmigrantes", "refugiado", "refugiados", "negro", "negros", "blanco", "blancos"],
+    "ability_es": ["discapacitado", "discapacitados", "sordo", "sordos", "ciego", "ciegos", "autista", "autistas"],
+    "age_es": ["viejo", "viejos", "vieja", "joven", "jóvenes", "anciano", "ancianos", "adolescente", "adolescentes"],
 }
 TERMS = {term for kind in IDENTITY.values() for term in kind}
 _WORD = re.compile(r"[^\W_]+")
@@ -48,7 +67,10 @@ def words(text: str | None) -> set[str]:
 
     Abuse is inflected and compounded, so a beginning of four or five letters of a longer word is a feature too.
     """
-    found = set(_WORD.findall((text or "").lower()))
+    return with_beginnings(set(_WORD.findall((text or "").lower())))
+
+
+def with_beginnings(found: set[str]) -> set[str]:
     return found.union(*({w[:n] + "~" for w in found if len(w) > n} for n in BEGINNINGS))
 
 
@@ -57,20 +79,28 @@ class Model(NamedTuple):
     weights: dict[str, float]
 
 
-def _swaps(row: list[int], number: dict[str, int], kinds: list[list[str]]) -> list[tuple[list[int], list[int]]]:
-    """(words that go, words that come) for each counterfactual of a text."""
-    here = set(row)
-    out = []
-    for kind in kinds:
-        listed = [number[t] for t in kind if t in number]
-        for term in here.intersection(listed):
-            out.append(([term], []))
-            out += [([term], [other]) for other in listed if other not in here]
+def leaving(features: set[str]) -> dict[str, set[str]]:
+    """For each term of a text with these features: the features that the text loses if the term is left out."""
+    full = {w for w in features if not w.endswith("~")}
+    return {term: features - with_beginnings(full - {term}) for term in full & TERMS}
+
+
+def _swaps(row: list[int], gone: dict[str, list[int]], number: dict[str, int]) -> list[tuple[list[int], list[int]]]:
+    """(features that go, features that come) for each counterfactual of a text; `gone` says what goes with a term."""
+    here, out = set(row), []
+    for kind in IDENTITY.values():
+        for term in gone.keys() & set(kind):
+            rest = here.difference(gone[term])
+            out.append((gone[term], []))
+            out += [
+                (gone[term], [number[w] for w in sorted(with_beginnings({other})) if w in number and number[w] not in rest])
+                for other in kind if other != term and number[other] not in here
+            ]
     return out
 
 
-def fit(texts: list[list[int]], label: np.ndarray, listed: list[str]) -> Model:
-    """Learn from texts as numbers of the words in `listed`. Without texts of both labels the model is a constant."""
+def fit(texts: list[list[int]], gone: list[dict[str, list[int]]], label: np.ndarray, listed: list[str]) -> Model:
+    """Learn from texts as numbers of the words in `listed`; `gone` has what each text loses with a term. Without texts of both labels the model is a constant."""
     positive = (label.sum() + 0.5) / (len(label) + 1)
     base = float(np.log(positive / (1 - positive)))
     if len(label) == 0 or label.min() == label.max() or not listed:
@@ -78,7 +108,7 @@ def fit(texts: list[list[int]], label: np.ndarray, listed: list[str]) -> Model:
     size, number = len(listed), {w: i for i, w in enumerate(listed)}
     rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     columns = np.fromiter((w for t in texts for w in t), np.int64, len(rows))
-    pairs = [s for t in texts for s in _swaps(t, number, list(IDENTITY.values()))]
+    pairs = [s for t, g in zip(texts, gone, strict=True) if g for s in _swaps(t, g, number)]
     at = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
     word = np.fromiter((w for a, b in pairs for w in [*a, *b]), np.int64, len(at))
     sign = np.fromiter((s for a, b in pairs for s in [1.0] * len(a) + [-1.0] * len(b)), float, len(at))
@@ -154,8 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
     def numbered(lists: pd.Series) -> pd.Series:
         return pd.Series([[number[w] for w in ws if w in number] for ws in lists])
 
-    sample = rows.select("_label", numbered("_words").alias("_w")).collect()
-    return fit([list(r[1]) for r in sample], np.array([r[0] for r in sample], float), listed)
+    @F.pandas_udf("map<string,array<int>>")
+    def going(lists: pd.Series) -> pd.Series:
+        return pd.Series([{t: sorted(number[w] for w in ws if w in number) for t, ws in leaving(set(some)).items()} for some in lists])
+
+    sample = rows.select("_label", numbered("_words").alias("_w"), going("_words").alias("_g")).collect()
+    return fit([list(r[1]) for r in sample], [r[2] for r in sample], np.array([r[0] for r in sample], float), listed)
 
 
 def chance(model: Model, texts) -> list[float]:
