@@ -59,15 +59,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fingerprint), the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint) and the columns `also`, the fingerprint as a signed 64-bit integer."""
 
     def each(batches):
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fingerprint", *also])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column)).mapInArrow(each, "doc_id long, fingerprint long")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("_text"), *also)
+    schema = ["doc_id long", "fingerprint long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[2:])]
+    return texts.mapInArrow(each, ", ".join(schema))
 
 
 class Node(NamedTuple):
@@ -210,14 +212,14 @@ def cells(routed: DataFrame) -> DataFrame:
     return placed.select("tree", "leaf", "_cell._lives", "_cell._asks", "fingerprint", F.col("_cell._home").alias("home"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, fingerprint (signed 64-bit), component_id.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, fingerprint (signed 64-bit), component_id, and the columns `also`.
 
     component_id is the smallest doc_id that links reach; documents of equal fingerprint are linked too, also the empty
     ones. Repeated rows are documents like any other; null ids get their component's id and are never the smallest,
     so a component of null ids only has a null id. An empty table gives no rows. Other columns are not read.
     """
-    marked = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
+    marked = materialize(fingerprints(docs, id_column, text_column, also), "fingerprints")
     distinct = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("_doc")), "distinct")
     found = components(near_links(distinct, distinct.count()))
     rooted = distinct.join(found, distinct.fingerprint == found.node, "left").select(
@@ -225,4 +227,4 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     least = rooted.groupBy(F.col("_root").alias("_group")).agg(F.min("_doc").alias("component_id"))
     named = rooted.join(least, F.col("_root") == F.col("_group")).select(F.col("fingerprint").alias("_f"), "component_id")
-    return marked.join(named, marked.fingerprint == F.col("_f"), "left").select("doc_id", "fingerprint", "component_id")
+    return marked.join(named, marked.fingerprint == F.col("_f"), "left").select("doc_id", "fingerprint", "component_id", *also)
