@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact_dedup, license_scan, line_rules, mixing, packing, quality_model, simhash, token_files, toxicity, url_filter
+from fieldloom.llm import exact_dedup, license_scan, line_rules, mixing, packing, periodic_runs, quality_model, simhash, token_files, toxicity, url_filter
 from fieldloom.session import materialize, shared_folder
 
 #: Fixed: rules of hosts and paths, and hosts listed as spam.
@@ -125,14 +125,61 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _predicted(toxicity.score_toxicity(docs, model), TOXIC)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32(doc_id) ends in 0 repeat their words from place a on with period p; others are as they were.
+
+    A null id has no crc32 and changes nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")
+
+    def repeated(w: Column) -> Column:
+        # Each value is bound once by a transform over one element.
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        bound = F.struct(w.alias("w"), n.alias("n"), (g % n).alias("a"), (3 + g % 8).alias("parts"))
+        place = lambda b, i: F.when(i < b.a, i).otherwise(b.a + (i - b.a) % (1 + F.floor((b.n - b.a) / b.parts)))
+        joined = lambda b: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), b.n - 1), lambda i: F.get(b.w, place(b, i).cast("int"))), " ")
+        return F.get(F.transform(F.array(bound), joined), F.lit(0))
+
+    there = F.filter(F.array(words), lambda w: F.size(w) > 0)
+    planted = F.coalesce(F.get(F.transform(there, repeated), F.lit(0)), F.col("text"))
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    # Runs are in order of start and period, so the first of the greatest stays.
+    best = F.aggregate(
+        "runs", F.expr("cast(null as struct<start: long, length: long, period: long>)"),
+        lambda b, r: F.when(b.isNull() | (r.length * b.period > b.length * r.period), r).otherwise(b),
+    )
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed").select(
+        "doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality, op3_packing, op4_mixing, op4_mixing_passes, op5_token_files, op6_license_scan, op7_simhash, op8_line_rules,
-        op9_exact_dedup, op10_toxicity,
+        op9_exact_dedup, op10_toxicity, op13_periodic_runs,
     )
 }
 
+#: crc32 of a text of ASCII characters in the check database: WITH entries, and the value of an expression.
+CRC32_TABLE = """crc_steps AS (
+            SELECT list(list_reduce(range(8), lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS steps
+            FROM range(256) t(n)
+        )"""
+
+
+def check_crc32(expr: str) -> str:
+    codes = f"list_transform(string_split({expr}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
 CHECKS: dict[str, str] = {
     "op1_url_filter": """
         WITH cut AS (
@@ -184,4 +231,29 @@ CHECKS: dict[str, str] = {
             doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_periodic_runs": f"""
+        WITH {CRC32_TABLE}, hashed AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {check_crc32("doc_id::VARCHAR")} AS h FROM documents, crc_steps
+        ), cut AS (
+            SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM hashed
+        ), texts AS (
+            SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+                ELSE list_transform(range(n), lambda i: w[(CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END) + 1]) END AS w FROM cut
+        ), placed AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts), lagged AS (
+            SELECT x.doc_id, y.i - x.i AS q, x.i, row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS r
+            FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+        ), stretches AS (
+            SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM lagged GROUP BY doc_id, q, i - r HAVING count(*) + q >= greatest(6, 4 * q)
+        ), runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length), listed AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+        ), best AS (
+            SELECT DISTINCT ON (doc_id) doc_id, start, length, period FROM runs r
+            ORDER BY doc_id, (SELECT count(*) FROM runs o WHERE o.doc_id = r.doc_id AND o.length * r.period > r.length * o.period), start, period
+        ), gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs), collapsed AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM texts t LEFT JOIN listed l USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN collapsed c USING (doc_id)
+    """,
 }
