@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact_dedup, license_scan, line_rules, mixing, packing, periodic_runs, quality_model, simhash, token_files, toxicity, url_filter
+from fieldloom.llm import conversation_repair, exact_dedup, license_scan, line_rules, mixing, packing, periodic_runs, quality_model, simhash, token_files, toxicity, url_filter
 from fieldloom.session import materialize, shared_folder
 
 #: Fixed: rules of hosts and paths, and hosts listed as spam.
@@ -125,6 +125,26 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _predicted(toxicity.score_toxicity(docs, model), TOXIC)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults by crc32(conv_id:turn) % 20; a null in either counts as one blank there."""
+    blank = F.lit(" ")
+    fault = F.crc32(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank)).cast("binary")) % 20
+    kept = rows.where(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1))).alias("_copy"),
+    )
+    return kept.drop("_copy")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    after = damaged(rows)
+    reports = conversation_repair.repair_reports(after, rows)
+    hashes = conversation_repair.repaired_hashes(after, reports).select(F.col("conv_id").alias("_of"), F.col("sha256").alias("repaired_sha256"))
+    return reports.join(hashes, F.col("conv_id").eqNullSafe(F.col("_of"))).drop("_of")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Documents whose crc32(doc_id) ends in 0 repeat their words from place a on with period p; others are as they were.
 
@@ -164,7 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality, op3_packing, op4_mixing, op4_mixing_passes, op5_token_files, op6_license_scan, op7_simhash, op8_line_rules,
-        op9_exact_dedup, op10_toxicity, op13_periodic_runs,
+        op9_exact_dedup, op10_toxicity, op11_conversation_repair, op13_periodic_runs,
     )
 }
 
