@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import conversation_repair, exact_dedup, license_scan, line_rules, mixing, packing, periodic_runs, quality_model, simhash, token_files, toxicity, url_filter
+from fieldloom.llm import conversation_repair, exact_dedup, license_scan, line_rules, mixing, packing, periodic_runs, quality_model, simhash, token_files, toxicity, url_filter, warc
 from fieldloom.session import materialize, shared_folder
 
 #: Fixed: rules of hosts and paths, and hosts listed as spam.
@@ -145,6 +145,14 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return reports.join(hashes, F.col("conv_id").eqNullSafe(F.col("_of"))).drop("_of")
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = warc.write_pages(table(spark, folder, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    columns = "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long"
+    # Payloads are read and held against their digests, but not handed on.
+    read = warc.read_archives(spark, place, columns, verify="true").where(F.col("record_type").isin("response", "revisit"))
+    return read.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Documents whose crc32(doc_id) ends in 0 repeat their words from place a on with period p; others are as they were.
 
@@ -184,7 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality, op3_packing, op4_mixing, op4_mixing_passes, op5_token_files, op6_license_scan, op7_simhash, op8_line_rules,
-        op9_exact_dedup, op10_toxicity, op11_conversation_repair, op13_periodic_runs,
+        op9_exact_dedup, op10_toxicity, op11_conversation_repair, op12_warc, op13_periodic_runs,
     )
 }
 
@@ -251,6 +259,67 @@ CHECKS: dict[str, str] = {
             doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_conversation_repair": f"""
+        WITH RECURSIVE {CRC32_TABLE}, hashed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                {check_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations, crc_steps
+        ), damaged AS (
+            SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+            FROM damaged
+        ), faulty AS (
+            SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                    WHEN right(bare, 1) IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS fault,
+                lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM numbered
+        ), figures AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id
+        ), rests AS (
+            -- The cheapest rest before row i: after nothing (e), after s, after u and after a.
+            SELECT conv_id, n + 1 AS i, {{'c': 0, 'a': ''}} AS e, {{'c': 4, 'a': 'II'}} AS s, {{'c': 2, 'a': 'I'}} AS u, {{'c': 0, 'a': ''}} AS a FROM figures
+            UNION ALL
+            SELECT conv_id, i,
+                list_sort([e, {{'c': 2 + u.c, 'a': 'I' || u.a}}, {{'c': 4 + a.c, 'a': 'II' || a.a}}])[1], list_sort([s, {{'c': 2 + u.c, 'a': 'I' || u.a}}, {{'c': 4 + a.c, 'a': 'II' || a.a}}])[1],
+                list_sort([u, {{'c': 2 + a.c, 'a': 'I' || a.a}}])[1], list_sort([a, {{'c': 2 + u.c, 'a': 'I' || u.a}}])[1]
+            FROM (
+                SELECT r.conv_id, r.i - 1 AS i,
+                    list_sort([{{'c': 3 + e.c, 'a': 'D' || e.a}}] || CASE WHEN must THEN [] ELSE [{{'c': more + 2 + u.c, 'a': 'R' || u.a}}] END
+                        || CASE WHEN must THEN [] WHEN initial = 'u' THEN [{{'c': more + u.c, 'a': 'K' || u.a}}] WHEN initial = 's' THEN [{{'c': more + s.c, 'a': 'K' || s.a}}] ELSE [] END)[1] AS e,
+                    list_sort([{{'c': 3 + s.c, 'a': 'D' || s.a}}] || CASE WHEN must THEN [] WHEN initial = 'u' THEN [{{'c': more + u.c, 'a': 'K' || u.a}}] ELSE [{{'c': more + 2 + u.c, 'a': 'R' || u.a}}] END)[1] AS s,
+                    list_sort([{{'c': 3 + u.c, 'a': 'D' || u.a}}] || CASE WHEN must THEN [] WHEN initial = 'a' THEN [{{'c': more + a.c, 'a': 'K' || a.a}}] ELSE [{{'c': more + 2 + a.c, 'a': 'R' || a.a}}] END)[1] AS u,
+                    list_sort([{{'c': 3 + a.c, 'a': 'D' || a.a}}] || CASE WHEN must THEN [] WHEN initial = 'u' THEN [{{'c': more + u.c, 'a': 'K' || u.a}}] ELSE [{{'c': more + 2 + u.c, 'a': 'R' || u.a}}] END)[1] AS a
+                FROM rests r JOIN (SELECT conv_id, i, left(role, 1) AS initial, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS more FROM faulty) f
+                    ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i - 1
+            )
+        ), audits AS (SELECT conv_id, e.c AS cost, e.a AS audit FROM rests WHERE i = 1), edits AS (
+            SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(len(audit))) AS j FROM audits WHERE audit <> ''
+        ), placed AS (
+            SELECT conv_id, j, edit, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i FROM edits
+        ), made AS (
+            SELECT p.conv_id, j, edit, role, text, row_number() OVER (PARTITION BY p.conv_id ORDER BY j) - 1 AS m
+            FROM placed p LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND edit <> 'I' WHERE edit <> 'D'
+        ), opened AS (
+            SELECT *, max(CASE WHEN m = 0 AND edit = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS opening FROM made
+        ), repaired AS (
+            SELECT conv_id, sha256(string_agg((CASE WHEN edit = 'K' THEN role WHEN (m - opening) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || coalesce(text, ''), chr(10) ORDER BY j)) AS sha
+            FROM opened GROUP BY conv_id
+        )
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+            LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+    """,
+    "op12_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+        ), named AS (SELECT *, page_id IS NOT DISTINCT FROM first AS is_first, sha1(html) AS hex FROM payloads)
+        SELECT page_id, strlen(html) AS payload_bytes, CASE WHEN is_first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT is_first THEN first END AS refers_to,
+            array_to_string(list_transform(range(32), lambda k:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, k // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest
+        FROM named
+    """,
     "op13_periodic_runs": f"""
         WITH {CRC32_TABLE}, hashed AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {check_crc32("doc_id::VARCHAR")} AS h FROM documents, crc_steps
