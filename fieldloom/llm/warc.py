@@ -48,9 +48,12 @@ VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_RECORD, INFO_RECORD = "application/http; msgtype=response", "application/warc-fields"
 GZIP, EXTRA = b"\x1f\x8b\x08", 4
-#: Bytes read at once, the longest header, the least bytes of a planned partition and of a written file.
+#: Bytes read at once, and the longest header.
 READ_BYTES, HEADER_BYTES = 1 << 16, 1 << 20
-PARTITION_BYTES, FILE_BYTES = 128 << 20, 256 << 20
+#: Files up to so many bytes share a partition: the size that gives every core one, but from the first to the second number.
+LEAST_BYTES, PARTITION_BYTES = 4 << 20, 128 << 20
+#: Bytes after which a writer begins the next file.
+FILE_BYTES = 256 << 20
 BATCH_BYTES = 4 << 20
 LEVEL = 6
 
@@ -263,7 +266,7 @@ class WarcReader(DataSourceReader):
         if unknown:
             raise ValueError(f"no such columns in an archive: {', '.join(sorted(unknown))}")
         self.folder, self.verify = options["path"], options.get("verify", "false").lower() == "true"
-        self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.partition_bytes, self.tasks = int(options.get("partitionBytes", PARTITION_BYTES)), int(options.get("tasks", 1))
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -274,9 +277,10 @@ class WarcReader(DataSourceReader):
                 yield one
 
     def partitions(self) -> list[Files]:
-        planned, held = [], 0
-        for path, size in listed(self.folder):
-            if not planned or held + size > self.partition_bytes:
+        planned, held, found = [], 0, listed(self.folder)
+        most = min(self.partition_bytes, max(LEAST_BYTES, sum(s for _, s in found) // self.tasks))
+        for path, size in found:
+            if not planned or held + size > most:
                 planned.append(Files([]))
                 held = 0
             planned[-1].paths.append((path, size))
@@ -394,7 +398,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: path; reading: partitionBytes, verify; writing: fileBytes, compression (gzip or none), date."""
+    """Options: path; reading: partitionBytes, tasks, verify; writing: fileBytes, compression (gzip or none), date."""
 
     @classmethod
     def name(cls) -> str:
@@ -464,4 +468,5 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, **options)
 def read_archives(spark: SparkSession, folder: str, columns: str = SCHEMA, **options) -> DataFrame:
     """The records of a folder of archives. `columns` are what is decoded: without payload no payload is, but for `verify`."""
     register(spark)
+    options = {"tasks": str(spark.sparkContext.defaultParallelism), **options}
     return spark.read.format("warc").schema(columns).options(**options).load(qualified(spark, folder))
