@@ -77,20 +77,17 @@ def candidates_section(hits: Column) -> Column:
     return _section(CANDIDATES_TITLE, F.transform(hits, line))
 
 
-def context_section(entries: Column) -> Column:
-    """`entries`: array of (place, canonical_name, context) with context an array of (platform_id, column_name, ..)."""
-    block = lambda e: F.concat_ws(
-        "\n",
-        F.concat(F.lit("  "), text(e.canonical_name), F.lit(":")),
-        F.transform(
-            e.context, lambda p: F.concat(F.lit("    - "), text(p.platform_id), F.lit(': "'), text(p.column_name), F.lit('"'))
-        ),
-    )
-    return _section(CONTEXT_TITLE, F.transform(entries, block))
+def context_line(platform_id, column_name) -> Column:
+    """What one platform calls a field, as a line of its own."""
+    return F.concat(F.lit("\n    - "), text(platform_id), F.lit(': "'), text(column_name), F.lit('"'))
+
 
+def context_name(canonical_name) -> Column:
+    return F.concat(F.lit("\n  "), text(canonical_name), F.lit(":"))
 
-def assemble(column_name, platform_name, standardized, rules, similar, candidates, context) -> Column:
-    """The whole prompt; sections that are null are left out."""
+
+def opening(column_name, platform_name, standardized, rules, similar, candidates, has_context) -> Column:
+    """The prompt up to the lines of the cross-platform context; sections that are null are left out."""
     head = [F.lit(line) for line in INTRODUCTION]
     return F.concat_ws(
         "\n",
@@ -98,6 +95,9 @@ def assemble(column_name, platform_name, standardized, rules, similar, candidate
         F.concat(F.lit("PLATFORM: "), text(platform_name)),
         F.concat(F.lit('SOURCE COLUMN: "'), text(column_name), F.lit('"')),
         F.concat(F.lit('RULE-STANDARDIZED: "'), text(standardized), F.lit('"')),
-        rules, similar, candidates, context,
-        F.lit(INSTRUCTIONS),
+        rules, similar, candidates, F.when(has_context, F.lit("\n" + CONTEXT_TITLE)),
     )
+
+
+#: What ends every prompt.
+CLOSING = "\n" + INSTRUCTIONS

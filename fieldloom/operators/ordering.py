@@ -101,14 +101,36 @@ def rank_in_group(
     return cold_rows.unionByName(_sorted_rank(df.join(hot_keys, condition, "left_semi"), keys, key, rank, hot))
 
 
-def _sorted_rank(df: DataFrame, keys, key: Column, rank: str, hot: DataFrame) -> DataFrame:
-    """Rank by one distributed sort: the place in the sort order, less the place where the group begins.
+def running_sum(
+    df: DataFrame, keys, order, value: str, out: str = "running", floor: int = HOT_FLOOR, share: int = HOT_SHARE, sizes: DataFrame | None = None
+) -> DataFrame:
+    """The sum of `value` over the rows of the group up to and including each row, whatever the group's size.
+
+    `order` and `sizes` are as for `rank_in_group`; values are whole numbers that are never null.
+    """
+    keys = list(keys)
+    hot = None
+    if sizes is None or hot_groups(sizes, sizes.columns, floor, share) is not None:
+        df = materialize(df, "summed")
+        hot = hot_groups(df, keys, floor, share)
+    key = _order_key(order)
+    plain = F.sum(value).over(W.partitionBy(*keys).orderBy(key).rowsBetween(W.unboundedPreceding, 0))
+    if hot is None:
+        return df.withColumn(out, plain)
+    condition = _on_keys(keys, "_hot_")
+    hot_keys = F.broadcast(_prefixed(hot.select(*keys), keys, "_hot_"))
+    cold_rows = df.join(hot_keys, condition, "left_anti").withColumn(out, plain)
+    return cold_rows.unionByName(_sorted_sum(df.join(hot_keys, condition, "left_semi"), keys, key, value, out, hot))
+
+
+def _sorted(df: DataFrame, keys, key: Column, hot: DataFrame) -> DataFrame:
+    """Rows with their place in one distributed sort and the task they were sorted by.
 
     The sorted rows are written with their place, so a lost task cannot shift them.
     """
     tasks = hot.agg(F.sum("_slices")).first()[0]
     # The id counts on within a task and holds the task's number, tasks being in sort order, above that.
-    placed = materialize(
+    return materialize(
         df.withColumn("_order", key)
         .repartitionByRange(tasks, *keys, "_order")
         .sortWithinPartitions(*keys, "_order")
@@ -116,15 +138,34 @@ def _sorted_rank(df: DataFrame, keys, key: Column, rank: str, hot: DataFrame) ->
         .withColumn("_place", F.monotonically_increasing_id()),
         "sorted",
     ).withColumn("_task", F.shiftright("_place", 33))
-    # One row per task and hot group in it: at most the number of tasks plus that of hot groups.
-    spans = placed.groupBy(*keys, "_task").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+
+
+def _spans(placed: DataFrame, keys, amount: Column) -> DataFrame:
+    """Of every group's share of a task: its first place, and the `amount` that the tasks before hold of the group.
+
+    One row per task and hot group in it: at most the number of tasks plus that of hot groups.
+    """
+    spans = placed.groupBy(*keys, "_task").agg(F.min("_place").alias("_first"), amount.alias("_n"))
     before = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     on = [*keys, "_task"]
-    joined = placed.join(F.broadcast(_prefixed(spans, on, "_s_")), _on_keys(on, "_s_"))
+    return F.broadcast(_prefixed(spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), on, "_s_"))
+
+
+def _sorted_rank(df: DataFrame, keys, key: Column, rank: str, hot: DataFrame) -> DataFrame:
+    """Rank by one distributed sort: the place in the sort order, less the place where the group begins."""
+    placed = _sorted(df, keys, key, hot)
+    joined = placed.join(_spans(placed, keys, F.count("*")), _on_keys([*keys, "_task"], "_s_"))
     return joined.withColumn(rank, F.col("_offset") + F.col("_place") - F.col("_first") + 1).select(*df.columns, rank)
 
 
+def _sorted_sum(df: DataFrame, keys, key: Column, value: str, out: str, hot: DataFrame) -> DataFrame:
+    """Prefix sums by one distributed sort: within each task's share of a group, plus what the tasks before hold."""
+    placed = _sorted(df, keys, key, hot)
+    joined = placed.join(_spans(placed, keys, F.sum(value)), _on_keys([*keys, "_task"], "_s_"))
+    within = W.partitionBy(*keys, "_task").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    return joined.withColumn(out, F.col("_offset") + F.sum(value).over(within)).select(*df.columns, out)
+
+
 def ordered_list(value, rank: str = "rank") -> Column:
     """Aggregate: the group's values as an array in rank order."""
     pairs = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), (F.col(value) if isinstance(value, str) else value).alias("v"))))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.functions.prompt import context_line
 from fieldloom.functions.text import search_text, text
 from fieldloom.operators.bm25 import Index, bm25_search, build_index
-from fieldloom.operators.ordering import PAGE_SIZE, last_wins, ordered_pages
+from fieldloom.operators.ordering import HOT_FLOOR, HOT_SHARE, PAGE_SIZE, last_wins, ordered_list, ordered_pages, running_sum
 from fieldloom.session import materialize
 
 FIELD_COLUMNS = ["canonical_name", "data_type", "business_definition", "domain_category"]
@@ -133,12 +134,32 @@ def merge_ranked(similar: DataFrame, candidates: DataFrame, query_id: str, top:
     return first.withColumn("place", place).drop("_at")
 
 
-def retrieval_context(merged: DataFrame, context: DataFrame, query_id: str) -> DataFrame:
-    """Join whole contexts to the merged ids; ids without context drop out, of equal names the last wins
-    at the place of the first."""
-    pages = F.sort_array(F.collect_list(F.struct("page", "context")))
-    whole = context.groupBy("canonical_id").agg(F.flatten(F.transform(pages, lambda p: p.context)).alias("context"))
-    found = merged.join(whole, "canonical_id")
+def context_pieces(
+    ids: DataFrame, approved: DataFrame, source: DataFrame, piece_chars: int, floor: int = HOT_FLOOR, share: int = HOT_SHARE
+) -> DataFrame:
+    """(canonical_id, start, text, columns): what all platforms call each wanted field, one line per mapping, in pieces.
+
+    A line belongs to the piece that its first character falls into, so a piece has `piece_chars` characters and the rest
+    of its last line at most. `start` counts the field's characters before the piece.
+    """
+    wanted = approved.join(ids.select("canonical_id").distinct(), "canonical_id", "left_semi")
+    lines = links(wanted, source).select("canonical_id", "mapping_id", context_line("platform_id", "column_name").alias("line"))
+    sized = lines.withColumn("chars", F.length("line").cast("long"))
+    summed = running_sum(sized, ["canonical_id"], ["mapping_id"], "chars", "_end", floor, share, wanted.select("canonical_id"))
+    placed = summed.withColumn("_start", F.col("_end") - F.col("chars"))
+    return placed.groupBy("canonical_id", F.floor(F.col("_start") / piece_chars).alias("_piece")).agg(
+        F.min("_start").alias("start"), F.array_join(ordered_list("line", "_start"), "").alias("text"), F.count("*").alias("columns")
+    ).drop("_piece")
+
+
+def context_sizes(pieces: DataFrame) -> DataFrame:
+    """(canonical_id, columns, chars) of every field that has context."""
+    return pieces.groupBy("canonical_id").agg(F.sum("columns").alias("columns"), F.sum(F.length("text")).alias("chars"))
+
+
+def retrieval_context(merged: DataFrame, sizes: DataFrame, query_id: str) -> DataFrame:
+    """The merged ids that have context, with its size; of equal names the last wins at the place of the first."""
+    found = merged.join(sizes, "canonical_id")
     place = F.min("place").over(W.partitionBy(query_id, "canonical_name"))
     kept = last_wins(found.withColumn("_first", place), [query_id, "canonical_name"], ["place"])
     return kept.drop("place").withColumnRenamed("_first", "place")

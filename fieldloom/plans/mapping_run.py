@@ -16,7 +16,7 @@ from fieldloom.operators.intake import unmapped
 from fieldloom.operators.match import fast_match
 from fieldloom.operators.review import audit_events
 from fieldloom.operators.rules import active_abbreviations, standardize_headers
-from fieldloom.plans.prompts import SearchIndexes, build_prompts
+from fieldloom.plans.prompts import SearchIndexes, build_prompts, whole_prompts
 from fieldloom.session import drop_written, materialize, recorded
 from fieldloom.settings import Settings
 
@@ -36,7 +36,8 @@ class Run:
 
 
 def answer(prompts: DataFrame, complete: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """(column_id, raw_text): the caller's model over batches of prompts."""
+    """(column_id, raw_text): the caller's model over batches of prompts, each put together from its parts."""
+    prompts = whole_prompts(prompts)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -189,12 +189,13 @@ lists AS (SELECT canonical_id, platform_id, (n - 1) // {PAGE} AS page, string_ag
 check("cross_platform_names", LINKS + f""", {LISTS}
 SELECT canonical_id, page, CAST(platform_id AS VARCHAR) AS platform, names FROM lists""")
 
-RETRIEVED = f""",
-{ACTIVE_RULES},
-heads AS (SELECT DISTINCT column_name AS header FROM intake_columns),
-{standardized('heads', 'header', 'header', 'named')},
+def retrieved(columns: str, mappings: str, source: str, rules: bool = True) -> str:
+    """WITH entries up to `shown`: the distinct headers of `columns`, both searches, and the fields whose context is shown."""
+    return f""",
+heads AS (SELECT DISTINCT column_name AS header FROM {columns}),
+{standardized('heads', 'header', 'header', 'named', rules)},
 docs AS (SELECT mapping_id, column_name, platform_id, canonical_id, canonical_name, concat_ws(' ', column_name, canonical_name, business_definition) AS txt
-         FROM intake_approved JOIN intake_columns USING (column_id) LEFT JOIN canonical_fields USING (canonical_id)),
+         FROM {mappings} JOIN {source} USING (column_id) LEFT JOIN canonical_fields USING (canonical_id)),
 {bm25("SELECT mapping_id AS doc_id, txt FROM docs", "SELECT id AS qid, header || ' ' || std AS txt FROM named", "a_")},
 {bm25(FIELD_DOCS, "SELECT id AS qid, header || ' ' || std AS txt FROM named", "f_")},
 both_lists AS (SELECT qid, canonical_id, canonical_name, 1 AS lst, rank FROM a_hits JOIN docs ON mapping_id = doc_id WHERE rank <= 3
@@ -202,12 +203,15 @@ both_lists AS (SELECT qid, canonical_id, canonical_name, 1 AS lst, rank FROM a_h
 firsts AS (SELECT qid, canonical_id, min_by(canonical_name, lst * 10 + rank) AS canonical_name, min(lst * 10 + rank) AS spot FROM both_lists GROUP BY 1, 2),
 merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY spot) AS place FROM firsts),
 ctx AS (SELECT canonical_id, platform_id, column_name, row_number() OVER (PARTITION BY canonical_id ORDER BY mapping_id) AS n FROM docs),
-sizes AS (SELECT canonical_id, count(*) AS columns FROM ctx GROUP BY 1),
+sizes AS (SELECT canonical_id, count(*) AS columns, CAST(sum(length(platform_id || column_name) + 11) AS BIGINT) AS chars FROM ctx GROUP BY 1),
 shown AS (SELECT qid AS header, canonical_name, max_by(canonical_id, place) AS canonical_id, min(place) AS place
           FROM merged JOIN sizes USING (canonical_id) GROUP BY 1, 2)"""
 
+
+RETRIEVED = f", {ACTIVE_RULES}" + retrieved("intake_columns", "intake_approved", "intake_columns")
+
 check("retrieval_context", INTAKE + RETRIEVED + """
-SELECT header, canonical_id, canonical_name, place, columns FROM shown JOIN sizes USING (canonical_id)""")
+SELECT header, canonical_id, canonical_name, place, columns, chars FROM shown JOIN sizes USING (canonical_id)""")
 
 _HEAD = """'You are a data standardization expert at a financial services firm.' || chr(10) || chr(10) ||
  'TASK: Given a source column, recommend the best canonical field.' || chr(10) || 'Use all the context below to make your decision.' || chr(10) || chr(10) ||
@@ -220,24 +224,44 @@ def _tail() -> str:
     return "'" + INSTRUCTIONS.replace("'", "''") + "'"
 
 
-_NL = "chr(10)"
-check("build_prompts", INTAKE + RETRIEVED + f""", {UNMAPPED},
-rule_text AS (SELECT chr(10) || chr(10) || 'ACTIVE ABBREVIATION RULES:' || string_agg(chr(10) || '  ' || pattern || ' -> ' || replacement, '' ORDER BY pattern) AS t FROM active_rules),
-sim AS (SELECT qid, chr(10) || chr(10) || 'SIMILAR APPROVED MAPPINGS (from other platforms):' || string_agg(chr(10) || '  ' || rank || '. "' || column_name ||
+_HITS = """sim AS (SELECT qid, chr(10) || chr(10) || 'SIMILAR APPROVED MAPPINGS (from other platforms):' || string_agg(chr(10) || '  ' || rank || '. "' || column_name ||
           '" (' || platform_id || ') -> canonical: ' || canonical_name || ' [score: ' || printf('%.1f', score) || ']', '' ORDER BY rank) AS t
         FROM a_hits JOIN docs ON mapping_id = doc_id GROUP BY qid),
 cand AS (SELECT qid, chr(10) || chr(10) || 'CANDIDATE CANONICAL FIELDS:' || string_agg(chr(10) || '  ' || rank || '. ' || canonical_name || ' (' || data_type || ', ' ||
           domain_category || ') - "' || business_definition || '" [score: ' || printf('%.1f', score) || ']', '' ORDER BY rank) AS t
-        FROM f_hits JOIN canonical_fields ON canonical_id = doc_id GROUP BY qid),
+        FROM f_hits JOIN canonical_fields ON canonical_id = doc_id GROUP BY qid),"""
+check("build_prompts", INTAKE + RETRIEVED + f""", {UNMAPPED},
+rule_text AS (SELECT chr(10) || chr(10) || 'ACTIVE ABBREVIATION RULES:' || string_agg(chr(10) || '  ' || pattern || ' -> ' || replacement, '' ORDER BY pattern) AS t FROM active_rules),
+{_HITS}
 block AS (SELECT canonical_id, string_agg(chr(10) || '    - ' || platform_id || ': "' || column_name || '"', '' ORDER BY n) AS t FROM ctx GROUP BY 1),
 con AS (SELECT header AS qid, chr(10) || chr(10) || 'CROSS-PLATFORM CONTEXT FOR TOP CANDIDATES:' || string_agg(chr(10) || '  ' || canonical_name || ':' || t, '' ORDER BY place) AS t
         FROM shown JOIN block USING (canonical_id) GROUP BY 1),
 rows_ AS (SELECT p.column_id, p.column_name, coalesce(pl.name, CAST(p.platform_id AS VARCHAR)) AS platform_name, n.std
           FROM pending p JOIN named n ON n.header = p.column_name LEFT JOIN platforms pl ON pl.platform_id = p.platform_id)
-SELECT column_id, platform_name, std AS standardized,
+SELECT column_id, platform_name, std AS standardized, 0 AS part,
   {_HEAD} || coalesce((SELECT t FROM rule_text), '') || coalesce(sim.t, '') || coalesce(cand.t, '') || coalesce(con.t, '') || chr(10) || {_tail()} AS prompt
 FROM rows_ LEFT JOIN sim ON sim.qid = column_name LEFT JOIN cand ON cand.qid = column_name LEFT JOIN con ON con.qid = column_name""")
 
+# Lines start in pieces of 256 characters of their field, and pieces in parts of 4,096 characters of their prompt.
+check("busy_prompts", BUSY + ", " + role_sql("class_columns")[5:] + retrieved("class_columns", "busy_mappings", _LAST, False) + f""",
+{_HITS}
+lines AS (SELECT canonical_id, n, chr(10) || '    - ' || platform_id || ': "' || column_name || '"' AS line,
+            CAST(sum(length(platform_id || column_name) + 11) OVER (PARTITION BY canonical_id ORDER BY n) AS BIGINT) - length(platform_id || column_name) - 11 AS start FROM ctx),
+pieced AS (SELECT *, min(start) OVER (PARTITION BY canonical_id, start // 256) AS piece FROM lines),
+fields_ AS (SELECT *, coalesce(CAST(sum(length(canonical_name) + 4 + chars) OVER (PARTITION BY header ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS begins
+            FROM shown JOIN sizes USING (canonical_id)),
+bits AS (SELECT header, begins AS start, 0 AS n, chr(10) || '  ' || canonical_name || ':' AS t FROM fields_
+   UNION ALL SELECT header, begins + length(canonical_name) + 4 + piece, n, line FROM fields_ JOIN pieced USING (canonical_id)
+   UNION ALL SELECT header, 0, -1, CASE WHEN EXISTS (SELECT 1 FROM shown s WHERE s.header = h.header) THEN chr(10) || chr(10) || 'CROSS-PLATFORM CONTEXT FOR TOP CANDIDATES:' ELSE '' END FROM heads h
+   UNION ALL SELECT header, coalesce((SELECT sum(length(canonical_name) + 4 + chars) FROM fields_ f WHERE f.header = h.header), 0), 0, chr(10) || {_tail()} FROM heads h),
+parts AS (SELECT header, CAST(start // 4096 AS BIGINT) AS part, string_agg(t, '' ORDER BY start, n) AS body FROM bits GROUP BY 1, 2),
+rows_ AS (SELECT p.column_id, p.column_name, coalesce(pl.name, CAST(p.platform_id AS VARCHAR)) AS platform_name, n.std
+          FROM class_columns p JOIN named n ON n.header = p.column_name LEFT JOIN platforms pl ON pl.platform_id = p.platform_id),
+pages AS (SELECT qid, CAST(ceil(max(columns) / {PAGE}.0) AS BIGINT) AS n FROM merged JOIN sizes USING (canonical_id) GROUP BY 1)
+SELECT column_id, platform_name, std AS standardized, coalesce(pages.n, 0) AS context_pages, part,
+  CASE WHEN part = 0 THEN {_HEAD} || coalesce(sim.t, '') || coalesce(cand.t, '') ELSE '' END || body AS prompt
+FROM rows_ JOIN parts ON header = column_name LEFT JOIN sim ON sim.qid = column_name LEFT JOIN cand ON cand.qid = column_name LEFT JOIN pages ON pages.qid = column_name""")
+
 # ---- answers and proposals ----
 
 PARSED = """

@@ -192,8 +192,8 @@ def _retrieved(spark, folder):
 def retrieval_context(spark, folder):
     """Merged top fields of both searches that have context, per distinct header."""
     found = _retrieved(spark, folder)
-    shown = retrieval.retrieval_context(found.merged, found.context, "header")
-    return shown.select("header", "canonical_id", "canonical_name", "place", F.size("context").alias("columns"))
+    shown = retrieval.retrieval_context(found.merged, found.sizes, "header")
+    return shown.select("header", "canonical_id", "canonical_name", "place", "columns", "chars")
 
 
 @query
@@ -204,7 +204,15 @@ def build_prompts(spark, folder):
     )
     pending = intake.unmapped(source, approved, proposals)
     built = prompts.build_prompts(pending, source, approved, fields, _abbreviations(spark, folder), platforms)
-    return built.select("column_id", "platform_name", "standardized", "prompt")
+    return built.select("column_id", "platform_name", "standardized", "part", "prompt")
+
+
+@query
+def busy_prompts(spark, folder):
+    """Prompts of fields with very many mappings, in parts of 4,096 characters and a little more."""
+    columns, source, approved, fields, platforms = _roles(spark, folder, "class_columns", "repeated_columns", "busy_mappings", "canonical_fields", "platforms")
+    built = prompts.build_prompts(columns, source, approved, fields, None, platforms, part_chars=4096)
+    return built.select("column_id", "platform_name", "standardized", "context_pages", "part", "prompt")
 
 
 @query

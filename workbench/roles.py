@@ -78,6 +78,11 @@ ROLES = {
                     WHEN p_type IN ('SMALL', 'MEDIUM') THEN replace(p_name, ' ', '')
                     ELSE concat(p_brand, ' ', p_name, ' qty') END AS column_name, 'STRING' AS data_type
         FROM part""",
+    # One column per class of parts, its class for a name.
+    "class_columns": """
+        SELECT min(p_partkey) AS column_id, CAST(min(p_size) AS BIGINT) AS platform_id, 'cat.classes' AS source_table, p_type AS column_name,
+               'STRING' AS data_type
+        FROM part GROUP BY p_type""",
     "intake_approved": """
         SELECT concat('m', doc_id) AS mapping_id, doc_id AS column_id, doc_id AS canonical_id FROM labels""",
     "intake_proposals": """
