@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.similarity import name_tokens, overlap_share, sequence_ratio, similarity_bound
+from fieldloom.functions.display import format_half_even
+from fieldloom.functions.similarity import letter_counts, name_tokens, overlap_share, sequence_ratio, shared_letters, similarity_bound
 from fieldloom.operators.ordering import top_k
 from fieldloom.session import materialize
 
@@ -49,17 +50,21 @@ def _grid(left: DataFrame, right: DataFrame, limit: int) -> DataFrame | None:
 
 
 def candidate_pairs(
-    names: DataFrame, fields: DataFrame, threshold: float, name: str = "name", field: str = "canonical_name", limit: int = NAMES_PER_TASK
+    names: DataFrame, fields: DataFrame, threshold: float, name: str = "name", field: str = "canonical_name", limit: int = NAMES_PER_TASK,
+    letters: bool = False,
 ) -> DataFrame:
     """Distinct name pairs that share a token and may reach the threshold, each once.
 
     Without a shared token the score is at most 0.5, so the join on tokens loses nothing above that.
-    A pair comes up at its first shared token only and is checked against its bound inside the join.
+    A pair comes up at its first shared token only and is checked against its bound inside the join: by tokens and lengths,
+    and with `letters` also by the letters the two have in common, which leaves far fewer pairs to the sequence ratio.
     """
     if threshold <= 0.5:
         raise ValueError("the threshold must exceed 0.5")
-    left = _exploded(_distinct_names(names, name, "a"), "a")
-    right = _exploded(_distinct_names(fields, field, "b"), "b")
+    left, right = _distinct_names(names, name, "a"), _distinct_names(fields, field, "b")
+    if letters:
+        left, right = left.withColumn("a_letters", letter_counts("a")), right.withColumn("b_letters", letter_counts("b"))
+    left, right = _exploded(left, "a"), _exploded(right, "b")
     keys = ["token"]
     grid = _grid(left, right, limit)
     if grid is not None:
@@ -80,6 +85,9 @@ def candidate_pairs(
     condition = (F.get(F.array_intersect("a_tokens", "b_tokens"), F.lit(0)) == F.col("l.token")) & (
         similarity_bound(F.col("a_tokens"), F.col("b_tokens"), F.col("a_length"), F.col("b_length")) >= threshold - SLACK
     )
+    if letters:
+        shared = shared_letters(F.col("a_letters"), F.col("b_letters")) / (F.col("a_length") + F.col("b_length"))
+        condition = condition & (overlap_share(F.col("a_tokens"), F.col("b_tokens")) * 0.5 + shared >= threshold - SLACK)
     for key in keys:
         condition = condition & (F.col(f"l.{key}") == F.col(f"r.{key}"))
     return left.alias("l").join(right.alias("r"), condition).select(
@@ -91,11 +99,11 @@ def similar_fields(
     names: DataFrame, fields: DataFrame, threshold: float = 0.6, name: str = "name", field: str = "canonical_name"
 ) -> DataFrame:
     """(name, canonical name, score, fields): similar distinct names, best first, and how many fields bear the name."""
-    scored = candidate_pairs(names, fields, threshold, name, field).withColumn(
+    scored = candidate_pairs(names, fields, threshold, name, field, letters=True).withColumn(
         "_score", F.col("overlap") * 0.5 + sequence_ratio("a", "b") * 0.5
     )
     found = scored.filter(F.col("_score") >= threshold).select(
-        F.col("a").alias(name), F.col("b").alias(field), F.bround("_score", 2).alias("score"), F.col("b_rows").alias("fields")
+        F.col("a").alias(name), F.col("b").alias(field), format_half_even("_score", "0.00").cast("double").alias("score"), F.col("b_rows").alias("fields")
     )
     return found.orderBy(name, F.desc("score"), field)
 

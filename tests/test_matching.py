@@ -1,9 +1,10 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.similarity import name_similarity
+from fieldloom.functions.similarity import letter_counts, name_similarity, shared_letters
 from fieldloom.operators import similar
 from fieldloom.operators.match import exact_match, fast_match, near_match
 from fieldloom.operators.review import register_fields, register_rules
@@ -54,6 +55,39 @@ def test_similar_fields_equal_all_pairs(spark):
         similar.similar_fields(names, fields, 0.5)
 
 
+def test_letter_counts_bound_the_matching_blocks(spark):
+    rng = random.Random(4)
+    made = ["".join(rng.choice("aaabcde_1é日") for _ in range(rng.randint(1, 40))) for _ in range(150)] + ["a" * 30, "b" * 30, "_" * 12, "AaBb"]
+    pairs = spark.createDataFrame([(a, b) for a in made for b in made], "a string, b string")
+    rows = pairs.select("a", "b", shared_letters(letter_counts("a"), letter_counts("b")).alias("most")).collect()
+    for r in rows:
+        x, y = r.a.lower(), r.b.lower()
+        blocks = sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks())
+        assert blocks <= r.most <= min(len(x), len(y)), r
+    # Up to the bits of a letter the bound counts exactly.
+    assert {r.most for r in rows if r.a == "a" * 30 and r.b == "b" * 30} == {22}
+    few = [r for r in rows if all(max(map(n.lower().count, n.lower())) <= 4 for n in (r.a, r.b)) and (r.a + r.b).isascii()]
+    assert few and all(r.most == sum(min(r.a.lower().count(c), r.b.lower().count(c)) for c in set(r.a.lower())) for r in few)
+
+
+def test_letters_leave_fewer_pairs_and_the_same_names(spark):
+    rng = random.Random(8)
+    made = ["_".join(rng.sample(["fund", "name", "net", "asset", "value", "trade", "date", "owner", "zip", "quantity"], rng.randint(1, 4))) for _ in range(120)]
+    names, fields = (spark.createDataFrame([(n,) for n in part], f"{c} string") for part, c in ((made[:60], "name"), (made[60:], "canonical_name")))
+    plain, tight = (similar.candidate_pairs(names, fields, 0.6, letters=letters).select("a", "b").collect() for letters in (False, True))
+    want = {(a, b) for a in made[:60] for b in made[60:] if score(a, b) >= 0.6}
+    assert want <= set(map(tuple, tight)) <= set(map(tuple, plain)) and len(tight) < 0.6 * len(plain)
+    assert {(r.name, r.canonical_name) for r in similar.similar_fields(names, fields).collect()} == want
+
+
+def test_scores_round_like_their_binary_value(spark):
+    """Two digits as by the exact value of the number, not by its shortest decimal form."""
+    names = spark.createDataFrame([("fund_name",)], "name string")
+    fields = spark.createDataFrame([("fund_date",), ("fund_type_x",), ("name_fund",)], "canonical_name string")
+    got = {r.canonical_name: r.score for r in similar.similar_fields(names, fields, 0.51).collect()}
+    assert got == {n: round(score("fund_name", n), 2) for n in ("fund_date", "fund_type_x", "name_fund") if score("fund_name", n) >= 0.51}
+
+
 def test_common_tokens_are_joined_as_a_grid(spark):
     made = [f"fund_{w}_{i}" for i, w in enumerate(["name", "type", "date"] * 20)]
     names = spark.createDataFrame([(n,) for n in made], "name string")

@@ -302,7 +302,7 @@ check("batch_audit", INTAKE + MATCHED + """
 SELECT 'proposal' AS entity_type, 'created' AS action, 'agent_batch' AS actor,
   '{"column":' || to_json(header) || ',"confidence":' || conf || '}' AS details FROM run_rows""")
 
-# ---- similar names (the sequence ratio has no SQL form: those results are checked by the tests) ----
+# ---- similar names ----
 
 NEW_NAMES = """new_fields AS (SELECT canonical_name || '_' || lower(domain_category) AS name, data_type, business_definition, domain_category FROM canonical_fields)"""
 
@@ -313,6 +313,32 @@ p AS (SELECT name, canonical_name, len(list_intersect(a.ts, b.ts))::DOUBLE / gre
   least(length(name), length(canonical_name))::DOUBLE / (length(name) + length(canonical_name)) AS l FROM a, b)
 SELECT name, canonical_name, round(o, 6) AS overlap FROM p WHERE o > 0 AND o * 0.5::DOUBLE + l >= 0.6::DOUBLE - 1e-9""")
 
+# The longest block that two texts share, earliest in the first, then in the second; what lies before and after it in both is
+# searched again. Names are shorter than 200 characters, from which on the ratio would leave out frequent ones.
+_BLOCK = """list_filter(flatten(list_transform(range(length({x}), 0, -1), lambda k: list_transform(range(1, length({x}) - k + 2),
+  lambda i: {{'k': k, 'i': i, 'j': strpos({y}, substr({x}, i, k))}}))), lambda m: m.j > 0)[1]"""
+SIMILAR = role_sql("canonical_fields").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {NEW_NAMES},
+a AS (SELECT DISTINCT name, lower(name) AS low, list_distinct(string_split(lower(name), '_')) AS ts FROM new_fields WHERE name <> ''),
+b AS (SELECT canonical_name, lower(canonical_name) AS low, list_distinct(string_split(lower(canonical_name), '_')) AS ts, count(*) AS fields
+  FROM canonical_fields WHERE canonical_name <> '' GROUP BY canonical_name),
+pairs AS (SELECT name, canonical_name, fields, a.low AS x, b.low AS y, len(list_intersect(a.ts, b.ts))::DOUBLE / greatest(len(a.ts), len(b.ts)) AS o
+  FROM a, b WHERE len(list_intersect(a.ts, b.ts)) > 0),
+blocks AS (
+  SELECT name, canonical_name, x, y, {_BLOCK.format(x='x', y='y')} AS m FROM pairs
+  UNION ALL
+  SELECT name, canonical_name, x, y, {_BLOCK.format(x='x', y='y')}
+  FROM (SELECT name, canonical_name, unnest([substr(x, 1, m.i - 1), substr(x, m.i + m.k)]) AS x, unnest([substr(y, 1, m.j - 1), substr(y, m.j + m.k)]) AS y
+        FROM blocks WHERE m IS NOT NULL)
+  WHERE x <> '' AND y <> ''),
+ratios AS (SELECT name, canonical_name, coalesce(sum(m.k), 0) AS k FROM blocks GROUP BY 1, 2),
+scores AS (SELECT name, canonical_name, fields, o * 0.5::DOUBLE + 2.0::DOUBLE * k / (length(x) + length(y)) * 0.5::DOUBLE AS s FROM pairs JOIN ratios USING (name, canonical_name)),
+similar_ AS (SELECT name, canonical_name, CAST(printf('%.2f', s) AS DOUBLE) AS score, fields FROM scores WHERE s >= 0.6::DOUBLE)"""
+
+check("similar_names", SIMILAR + " SELECT * FROM similar_")
+check("register_fields_warnings", SIMILAR + """
+SELECT name AS new_name, canonical_name, score, fields, row_number() OVER (PARTITION BY name ORDER BY score DESC, canonical_name) AS rank
+FROM similar_ QUALIFY rank <= 5""")
+
 check("register_fields", role_sql("canonical_fields") + f""", {NEW_NAMES}
 SELECT name AS canonical_name, data_type, business_definition, domain_category, true AS is_active, 'steward' AS created_by FROM new_fields""")
 
