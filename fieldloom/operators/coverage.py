@@ -52,7 +52,10 @@ def run_kpis(source: DataFrame, proposals: DataFrame) -> DataFrame:
 def platform_profile(
     platforms: DataFrame, source: DataFrame, proposals: DataFrame, approved: DataFrame, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """Per configured platform its tables, columns, proposals and approvals."""
+    """Per configured platform its tables, columns, proposals and approvals.
+
+    A platform of over `page_size` tables goes on over further pages; its counts stand on page 0 only, so sums are right.
+    """
     owner = one_per_column(source).select("column_id", "platform_id")
     columns = source.groupBy("platform_id").agg(F.count("*").alias("columns"))
     # Pre-aggregated per column, so a column with very many rows is one row in the join.
@@ -69,7 +72,7 @@ def platform_profile(
     )
     leaves = source.select("platform_id", leaf_name("source_table").alias("leaf")).filter("leaf != ''").distinct()
     tables = ordered_pages(leaves, ["platform_id"], ["leaf"], "leaf", page_size, "tables")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    zero = lambda c: F.when(F.coalesce("page", F.lit(0)) == 0, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c)
     return (
         platforms.join(columns, "platform_id", "left").join(counts, "platform_id", "left").join(tables, "platform_id", "left")
         .select(
@@ -97,7 +100,8 @@ def batch_summary(source: DataFrame, approved: DataFrame, proposals: DataFrame)
     )
 
 
-def _matrix_links(approved: DataFrame, source: DataFrame) -> DataFrame:
+def matrix_links(approved: DataFrame, source: DataFrame) -> DataFrame:
+    """The mappings that name a field, with their columns."""
     order = [c for c in ("approved_at", "mapping_id") if c in approved.columns]
     known = approved.filter(text("canonical_id") != "")
     return links(known, source, order)
@@ -108,9 +112,10 @@ def coverage_matrix(
 ) -> DataFrame:
     """Fields against platforms; a cell lists the mapped column names, newest approval first.
 
-    A cell of over `page_size` names continues on the field's next page.
+    A cell of over `page_size` names continues on the field's next page; the coverage stands on page 0 only.
+    `reports.matrix_report` gives one row per field.
     """
-    linked = _matrix_links(approved, source)
+    linked = matrix_links(approved, source)
     pages = ordered_pages(
         linked, ["canonical_id", "platform_id"], mapping_order(approved), text("column_name"), page_size, "names",
         sizes=approved.select("canonical_id"),
@@ -133,7 +138,7 @@ def coverage_matrix(
             text("data_type").alias("type"),
             "page",
             *[text(F.col(f"`{p.id}`")).alias(p.name) for p in platforms],
-            F.concat("_covered", F.lit(f"/{len(platforms)}")).alias("coverage"),
+            F.when(F.col("page") == 0, F.concat("_covered", F.lit(f"/{len(platforms)}"))).otherwise("").alias("coverage"),
             text("canonical_name").alias("sort_name"),
         )
     )
@@ -154,7 +159,7 @@ def filter_matrix(matrix: DataFrame, platforms: list[Platform], search: str = ""
 
 def matrix_totals(approved: DataFrame, source: DataFrame, platforms: DataFrame) -> DataFrame:
     """Mapped fields, links, platforms, and the platform covering most fields (the first listed on ties)."""
-    linked = _matrix_links(approved, source).groupBy("canonical_id", "platform_id").agg(F.count("*").alias("n"))
+    linked = matrix_links(approved, source).groupBy("canonical_id", "platform_id").agg(F.count("*").alias("n"))
     # A field counts where its first platform does, so one pass over the pairs gives all figures.
     first = F.row_number().over(W.partitionBy("canonical_id").orderBy("platform_id")) == 1
     per_platform = linked.withColumn("_first", first).groupBy(F.col("platform_id").alias("_linked")).agg(

@@ -416,7 +416,7 @@ FROM source_columns s LEFT JOIN (SELECT DISTINCT column_id FROM approved_mapping
 
 _CELLS = f""", {_PIVOT}, cov AS (SELECT canonical_id, count(DISTINCT platform_id) AS k FROM links GROUP BY 1),
 m AS (SELECT canonical_id, coalesce(f.canonical_name, CAST(canonical_id AS VARCHAR)) AS canonical_field, coalesce(f.domain_category, '') AS domain,
-  coalesce(f.data_type, '') AS type, page, c.* EXCLUDE (canonical_id, page), k || '/25' AS coverage
+  coalesce(f.data_type, '') AS type, page, c.* EXCLUDE (canonical_id, page), CASE WHEN page = 0 THEN k || '/25' ELSE '' END AS coverage
   FROM cells c JOIN cov USING (canonical_id) LEFT JOIN fields f USING (canonical_id))"""
 _MATRIX = LINKS + _CELLS
 check("coverage_matrix", _MATRIX + " SELECT * FROM m")
@@ -424,6 +424,36 @@ check("busy_matrix", BUSY + _CELLS + " SELECT * FROM m")
 check("matrix_filtered", _MATRIX + " SELECT * FROM m WHERE (contains(lower(canonical_field), 'bolt') OR "
       + " OR ".join(f"contains(lower(\"{n}\"), 'bolt')" for _, n in PLATFORM_NAMES) + ") AND \"NATION_3\" <> ''")
 
+_ENTRIES = """numbered AS (SELECT *, row_number() OVER (PARTITION BY canonical_id, platform_id ORDER BY approved_at DESC, mapping_id) AS entry FROM links),
+entries AS (SELECT canonical_id, platform_id, coalesce(name, CAST(platform_id AS VARCHAR)) AS platform, entry, coalesce(column_name, '') AS column_name
+            FROM numbered LEFT JOIN platforms USING (platform_id))"""
+_HEADERS = """headers AS (SELECT canonical_id, coalesce(any_value(f.canonical_name), CAST(canonical_id AS VARCHAR)) AS canonical_field, coalesce(any_value(f.domain_category), '') AS domain,
+    coalesce(any_value(f.data_type), '') AS type, count(DISTINCT platform_id) AS covered, count(*) AS links, count(DISTINCT platform_id) || '/25' AS coverage
+  FROM links l LEFT JOIN fields f USING (canonical_id) GROUP BY canonical_id)"""
+check("matrix_headers", BUSY + f", {_HEADERS} SELECT * FROM headers")
+check("matrix_entries", BUSY + f", {_ENTRIES} SELECT * FROM entries")
+check("matrix_cells", BUSY + f", {_ENTRIES} SELECT canonical_id, platform_id, (entry - 1) // 100 AS page, count(*) AS names, string_agg(column_name, ', ' ORDER BY entry) AS cell FROM entries GROUP BY 1, 2, 3")
+check("matrix_report_filtered", LINKS + f""", {_ENTRIES}, {_HEADERS}
+SELECT * FROM headers h WHERE (contains(lower(canonical_field), 'bolt') OR EXISTS (SELECT 1 FROM entries e WHERE e.canonical_id = h.canonical_id AND contains(lower(column_name), '#000000012')))
+  AND EXISTS (SELECT 1 FROM entries e WHERE e.canonical_id = h.canonical_id AND platform_id = 3 AND column_name <> '')""")
+_SUGGESTED = "suggested AS (SELECT DISTINCT suggested_canonical_id AS canonical_id FROM mapping_proposals WHERE status = 'pending_review')"
+check("worklist_headers", LINKS + f""", {_SUGGESTED}, names AS (SELECT canonical_id, count(*) AS n FROM links GROUP BY 1)
+SELECT proposal_id, suggested_canonical_id, coalesce(f.canonical_name, suggested_canonical_name, '') AS suggested_match, upper(confidence_level[1]) || confidence_level[2:] AS confidence,
+  coalesce(s.column_name, '') AS header, coalesce(pl.name, CAST(s.platform_id AS VARCHAR), '') AS platform, coalesce(string_split(s.source_table, '.')[-1], '') AS source_table,
+  'Pending Review' AS status, coalesce(n, 0) AS names
+FROM mapping_proposals p LEFT JOIN source_columns s USING (column_id) LEFT JOIN fields f ON f.canonical_id = p.suggested_canonical_id
+  LEFT JOIN platforms pl ON pl.platform_id = s.platform_id LEFT JOIN names ON names.canonical_id = p.suggested_canonical_id
+WHERE status = 'pending_review'""")
+check("worklist_entries", LINKS + f", {_SUGGESTED}, {_ENTRIES} SELECT * FROM entries WHERE canonical_id IN (SELECT canonical_id FROM suggested)")
+check("profile_headers", LINKS + """,
+t AS (SELECT platform_id, count(DISTINCT string_split(source_table, '.')[-1]) AS tables, count(*) AS n FROM source_columns GROUP BY 1),
+p AS (SELECT platform_id, count(*) AS n FROM mapping_proposals JOIN source_columns USING (column_id) GROUP BY 1), a AS (SELECT platform_id, count(*) AS n FROM links GROUP BY 1)
+SELECT platform_id, name AS platform, description, location, coalesce(tables, 0) AS tables, coalesce(t.n, 0) AS columns, coalesce(p.n, 0) AS proposals, coalesce(a.n, 0) AS approved
+FROM platforms LEFT JOIN t USING (platform_id) LEFT JOIN p USING (platform_id) LEFT JOIN a USING (platform_id)""")
+check("profile_entries", LINKS + """
+SELECT platform_id, row_number() OVER (PARTITION BY platform_id ORDER BY string_split(source_table, '.')[-1]) AS entry, string_split(source_table, '.')[-1] AS "table", count(*) AS columns
+FROM source_columns WHERE platform_id IN (SELECT platform_id FROM platforms) GROUP BY platform_id, string_split(source_table, '.')[-1]""")
+
 check("matrix_totals", LINKS + """,
 pc AS (SELECT p.name, p.ord, count(DISTINCT l.canonical_id) AS k FROM platforms p LEFT JOIN links l USING (platform_id) GROUP BY 1, 2),
 best AS (SELECT name, k FROM pc ORDER BY k DESC, ord LIMIT 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.answers import parse_answers as read_answers
 from fieldloom.functions.display import confidence_band
 from fieldloom.functions.text import query_text, tokenize
-from fieldloom.operators import audit, bm25, conform, coverage, intake, match, retrieval, review, rules, similar, worklist
+from fieldloom.operators import audit, bm25, conform, coverage, intake, match, reports, retrieval, review, rules, similar, worklist
 from fieldloom.plans import mapping_run, prompts
 from fieldloom.settings import Platform
 from fieldloom.sources import discovery
@@ -406,6 +406,70 @@ def matrix_filtered(spark, folder):
     return coverage.filter_matrix(matrix, platforms, "Bolt", platforms[3].name).drop("sort_name")
 
 
+def _matrix_report(spark, folder, mappings="busy_mappings", columns="repeated_columns"):
+    approved, source, fields, platforms = _roles(spark, folder, mappings, columns, "canonical_fields", "platforms")
+    return reports.matrix_report(approved, source, coverage.active_fields(fields), platforms)
+
+
+@query
+def matrix_headers(spark, folder):
+    """A4: one row per field, though each has very many mappings."""
+    return _matrix_report(spark, folder).headers.drop("sort_name")
+
+
+@query
+def matrix_entries(spark, folder):
+    """The cells of the same fields, one numbered row per name."""
+    return _matrix_report(spark, folder).entries
+
+
+@query
+def matrix_cells(spark, folder):
+    """The same cells as texts of 100 names."""
+    return reports.cell_pages(_matrix_report(spark, folder).entries, ["canonical_id", "platform_id"], "column_name", 100)
+
+
+@query
+def matrix_report_filtered(spark, folder):
+    """P6 on the long form."""
+    found = reports.filter_matrix_report(_matrix_report(spark, folder, "approved_mappings", "source_columns"), "bolt", 3)
+    more = reports.filter_matrix_report(_matrix_report(spark, folder, "approved_mappings", "source_columns"), "#000000012", 3)
+    return found.headers.unionByName(more.headers).distinct().drop("sort_name")
+
+
+def _worklist_report(spark, folder):
+    approved, source, labels = _roles(spark, folder, "approved_mappings", "source_columns", "platforms")
+    return reports.worklist_report(worklist.filter_worklist(_worklist_rows(spark, folder), "pending_review"), approved, source, labels)
+
+
+@query
+def worklist_headers(spark, folder):
+    """One row per open proposal."""
+    return _worklist_report(spark, folder).headers
+
+
+@query
+def worklist_entries(spark, folder):
+    """What the platforms call the fields that open proposals suggest."""
+    return _worklist_report(spark, folder).entries
+
+
+def _profile_report(spark, folder):
+    return reports.profile_report(*_roles(spark, folder, "platforms", "source_columns", "mapping_proposals", "approved_mappings"))
+
+
+@query
+def profile_headers(spark, folder):
+    """A2: one row per platform."""
+    return _profile_report(spark, folder).headers
+
+
+@query
+def profile_entries(spark, folder):
+    """A2: the tables of every platform by name."""
+    return _profile_report(spark, folder).entries
+
+
 @query
 def matrix_totals(spark, folder):
     """A5."""
