@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,11 @@ from fieldloom.functions.display import leaf_name
 from fieldloom.functions.text import text
 from fieldloom.operators.coverage import with_label
 from fieldloom.operators.ordering import PAGE_SIZE, ordered_pages, top_k
-from fieldloom.operators.retrieval import links, mapping_order
+from fieldloom.operators.retrieval import links, mapping_order, one_per_field
+from fieldloom.session import materialize
 
-# Renames of one table are schema metadata; more than this is an error, not data to collect.
-MAX_RENAMES = 10_000
+# Tables are conformed in batches of so many renames, or one by one where a table has more: what is read of the plan at once.
+BATCH_RENAMES = 50_000
 
 
 def quoted(name: str) -> str:
@@ -50,7 +52,7 @@ def conform_plan(
     linked = _table_links(approved, source)
     order = mapping_order(approved)
     counts = _dated(linked, approved).groupBy("source_table").agg(F.count("*").alias("mapped_columns"), _owner())
-    first = top_k(linked, ["source_table"], order, shown, "_r").join(fields.select("canonical_id", "canonical_name"), "canonical_id", "left")
+    first = top_k(linked, ["source_table"], order, shown, "_r").join(one_per_field(fields), "canonical_id", "left")
     pair = F.concat(text("column_name"), F.lit(" -> "), F.coalesce("canonical_name", F.lit("?")))
     renames = first.groupBy("source_table").agg(F.sort_array(F.collect_list(F.struct("_r", pair.alias("t")))).alias("_p"))
     renames = renames.select("source_table", F.array_join(F.transform("_p", lambda p: p.t), ", ").alias("_text"))
@@ -62,8 +64,8 @@ def conform_plan(
 
 
 def rename_pairs(approved: DataFrame, source: DataFrame, fields: DataFrame) -> DataFrame:
-    """One row per mapping that renames a column of a table."""
-    named = fields.filter(text("canonical_name") != "").select("canonical_id", "canonical_name")
+    """One row per mapping that renames a column of a table; of a repeated field id the last name counts."""
+    named = one_per_field(fields).filter(text("canonical_name") != "")
     return _table_links(approved, source).filter(text("column_name") != "").join(named, "canonical_id")
 
 
@@ -95,50 +97,76 @@ def rename_text(
     )
 
 
-def _collect_renames(pairs: DataFrame, tables: dict[str, list[str]]) -> dict[str, list[tuple[str, str]] | None]:
-    """Distinct renames of the given tables' own columns, in column order; None for a table with over MAX_RENAMES."""
-    spark = pairs.sparkSession
-    rows = [(t, c, i) for t, columns in tables.items() for i, c in enumerate(columns)]
-    known = spark.createDataFrame(rows, "source_table string, column_name string, _i int")
-    wanted = pairs.select("source_table", "column_name", "canonical_name").distinct().join(known, ["source_table", "column_name"])
-    # One table over the limit is that table's error; nothing of it is collected.
-    counts = wanted.groupBy("source_table").agg(F.count("*").alias("_n"))
-    over = {r[0] for r in counts.where(F.col("_n") > MAX_RENAMES).select("source_table").collect()}
-    found = wanted.join(counts.where(F.col("_n") <= MAX_RENAMES), "source_table", "left_semi").collect()
-    result: dict[str, list[tuple[str, str]] | None] = {t: None if t in over else [] for t in tables}
-    for r in sorted(found, key=lambda r: (r["_i"], r.canonical_name)):
-        result[r.source_table].append((r.column_name, r.canonical_name))
-    return result
-
-
-def _select(df: DataFrame, source_table: str, renames: list[tuple[str, str]] | None) -> DataFrame | None:
-    if renames is None:
-        raise ValueError(f"{source_table}: over {MAX_RENAMES} renames")
-    taken: dict[str, str] = {}
-    for column, name in renames:
-        if name in taken:
-            raise ValueError(f"{source_table}: {taken[name]} and {column} both map to {name}")
-        taken[name] = column
-    if not renames:
-        return None
-    return df.select(*[F.col(quoted(column)).alias(name) for column, name in renames])
+def rename_plan(pairs: DataFrame) -> DataFrame:
+    """(source_table, column_name, canonical_name, mappings, columns, first_column): every rename of every table once.
+
+    `columns` tells how many columns of the table are to bear the name, `first_column` the least of them: over one is a
+    clash, which cannot be published. Both are counted over renames, not mappings, and no table's plan is gathered.
+    """
+    renames = pairs.groupBy("source_table", "column_name", "canonical_name").agg(F.count("*").alias("mappings"))
+    named = renames.groupBy("source_table", "canonical_name").agg(F.count("*").alias("columns"), F.min("column_name").alias("first_column"))
+    return renames.join(named, ["source_table", "canonical_name"]).select("source_table", "column_name", "canonical_name", "mappings", "columns", "first_column")
+
+
+def _known_renames(pairs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """The distinct renames of columns that the given tables have, with the place of the column in its table."""
+    rows = [(t, c, i) for t, df in tables.items() for i, c in enumerate(df.columns)]
+    known = pairs.sparkSession.createDataFrame(rows, "source_table string, column_name string, _i int")
+    return pairs.select("source_table", "column_name", "canonical_name").distinct().join(known, ["source_table", "column_name"])
+
+
+def _clashes(renames: DataFrame) -> dict[str, str]:
+    """The first clash of every table that has one, found by Spark; one row a table is read."""
+    two = top_k(renames, ["source_table", "canonical_name"], ["_i"], 2, "_r")
+    both = two.groupBy("source_table", "canonical_name").agg(F.count("*").alias("_n"), F.min(F.struct("_i", "column_name")).alias("a"), F.max(F.struct("_i", "column_name")).alias("b"))
+    first = both.filter("_n > 1").groupBy("source_table").agg(F.min(F.struct("b._i", "canonical_name", F.col("a.column_name").alias("a"), F.col("b.column_name").alias("b"))).alias("c"))
+    return {r.source_table: f"{r.source_table}: {r.c.a} and {r.c.b} both map to {r.c.canonical_name}" for r in first.collect()}
+
+
+def _batched(counts: dict[str, int], size: int) -> Iterator[list[str]]:
+    """Tables in their order, together at most `size` renames, or one table."""
+    held, total = [], 0
+    for table, n in counts.items():
+        if held and total + n > size:
+            yield held
+            held, total = [], 0
+        held.append(table)
+        total += n
+    if held:
+        yield held
+
+
+def conform_each(tables: dict[str, DataFrame], pairs: DataFrame, batch: int = BATCH_RENAMES) -> Iterator[Conformed]:
+    """Conform tables that have mapped columns, batch by batch, so that a publisher need not hold the plan of them all.
+
+    Clashes are found before anything of the plan is read; a table that has one is an error of its own and does not stop the
+    others. A table's renames are as many as the columns of its view, which the driver has to name in any case.
+    """
+    renames = materialize(_known_renames(pairs, tables), "renames")
+    clashes = _clashes(renames)
+    sizes = {r[0]: r[1] for r in renames.groupBy("source_table").count().collect()}
+    counts = {t: 0 if t in clashes else sizes[t] for t in tables if t in sizes}
+    for names in _batched(counts, batch):
+        found: dict[str, list] = {t: [] for t in names}
+        for r in renames.filter(F.col("source_table").isin([t for t in names if t not in clashes])).collect():
+            found[r.source_table].append((r["_i"], r.canonical_name, r.column_name))
+        for table in names:
+            if table in clashes:
+                yield Conformed(table, error=clashes[table])
+                continue
+            listed = tuple((column, name) for _, name, column in sorted(found[table]))
+            yield Conformed(table, tables[table].select(*[F.col(quoted(c)).alias(n) for c, n in listed]), listed)
 
 
 def conform(df: DataFrame, source_table: str, pairs: DataFrame) -> DataFrame | None:
     """The mapped columns of one table under their canonical names; None when none is mapped."""
-    return _select(df, source_table, _collect_renames(pairs, {source_table: df.columns})[source_table])
+    for done in conform_each({source_table: df}, pairs):
+        if done.error:
+            raise ValueError(done.error)
+        return done.frame
+    return None
 
 
-def conform_all(tables: dict[str, DataFrame], pairs: DataFrame) -> list[Conformed]:
+def conform_all(tables: dict[str, DataFrame], pairs: DataFrame, batch: int = BATCH_RENAMES) -> list[Conformed]:
     """Conform every table that has mapped columns; a table that fails does not stop the others."""
-    renames = _collect_renames(pairs, {name: df.columns for name, df in tables.items()})
-    results = []
-    for name, df in tables.items():
-        try:
-            frame = _select(df, name, renames[name])
-        except ValueError as exc:
-            results.append(Conformed(name, error=str(exc)))
-        else:
-            if frame is not None:
-                results.append(Conformed(name, frame, tuple(renames[name])))
-    return results
+    return list(conform_each(tables, pairs, batch))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +72,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def publish(
-    spark: SparkSession, conformed: list[Conformed], owners: dict[str, object], gold: str | None = None
+    spark: SparkSession, conformed: Iterable[Conformed], owners: dict[str, object], gold: str | None = None
 ) -> tuple[int, dict[str, str]]:
     """Publish conformed tables as views `<platform>__<table>`: in schema `gold` over the catalog's own
     tables, or as temporary views of the frames without one. No rows are copied.

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from fieldloom.operators import audit, coverage
-from fieldloom.operators.conform import conform, conform_all, conform_plan, rename_pairs, rename_text
+from fieldloom.operators.conform import conform, conform_all, conform_each, conform_plan, rename_pairs, rename_plan, rename_text
 
 PROPOSALS = "proposal_id string, column_id string, suggested_canonical_id string, confidence_level string, status string"
 
@@ -156,3 +156,34 @@ def test_run_kpis_with_null_and_repeated_ids(spark):
     )
     assert tuple(coverage.run_kpis(source, proposals).first()) == (4, 2, 2, 2)
     assert tuple(coverage.run_kpis(source.limit(0), proposals.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_repeated_field_ids_rename_once(spark, columns, approved, vocabulary):
+    fields = vocabulary.select("canonical_id", "canonical_name").union(spark.createDataFrame([("cf_001", "an_older_name"), ("cf_001", "fund_identifier"), ("cf_005", None)], "a string, b string"))
+    pairs = rename_pairs(approved, columns, fields)
+    assert sorted((r.source_table, r.column_name, r.canonical_name) for r in pairs.collect()) == [
+        ("main.books.investors", "fund_id", "fund_identifier"), ("main.ledger.positions", "FND_ID", "fund_identifier"), ("main.ledger.positions", "NAV_AMT", "net_asset_value")]
+    positions = spark.createDataFrame([("F1", 1.5, "x")], "FND_ID string, NAV_AMT double, OTHER string")
+    assert conform(positions, "main.ledger.positions", pairs).columns == ["fund_identifier", "net_asset_value"]
+    text = [r.text for r in rename_text(approved, columns, fields).filter("source_table = 'main.ledger.positions'").collect()]
+    assert len(text) == 1 and text[0].count("`FND_ID`") == 1
+
+
+def test_rename_plan_names_clashes(spark):
+    rows = [("t", "a", "x", 1), ("t", "a", "x", 2), ("t", "b", "x", 3), ("t", "c", "y", 4), ("u", "a", "x", 5)]
+    plan = rename_plan(spark.createDataFrame(rows, "source_table string, column_name string, canonical_name string, mapping_id int")).collect()
+    assert sorted((r.source_table, r.column_name, r.canonical_name, r.mappings, r["columns"], r.first_column) for r in plan) == [
+        ("t", "a", "x", 2, 2, "a"), ("t", "b", "x", 1, 2, "a"), ("t", "c", "y", 1, 1, "c"), ("u", "a", "x", 1, 1, "a")]
+
+
+def test_tables_are_conformed_in_batches_without_a_cap(spark):
+    wide = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(1200)])
+    tables = {"wide": wide, **{f"t{i}": spark.range(2).toDF("a") for i in range(5)}, "odd": spark.range(1).select(F.lit(1).alias("a"), F.lit(2).alias("b"))}
+    rows = [("wide", f"c{i}", f"n{i:04d}") for i in range(1200)] + [(f"t{i}", "a", "id") for i in range(5)] + [("odd", "a", "id"), ("odd", "b", "id"), ("none", "a", "id")]
+    pairs = spark.createDataFrame(rows, "source_table string, column_name string, canonical_name string")
+    for batch in (1, 3, 50_000):
+        done = {c.source_table: c for c in conform_all(tables, pairs, batch)}
+        assert set(done) == set(tables) and len(done["wide"].renames) == 1200 and done["wide"].frame.columns[7] == "n0007"
+        assert done["odd"].error == "odd: a and b both map to id" and done["t3"].frame.columns == ["id"]
+    steps = conform_each(tables, pairs, 3)
+    assert next(steps).source_table == "wide"

@@ -65,6 +65,12 @@ def bm25(docs: str, queries: str, p: str, k: int = 5) -> str:
 {p}hits AS (SELECT qid, doc_id, score, rank FROM {p}ask JOIN {p}one USING (txt) JOIN {p}top USING (q))"""
 
 
+def stable_id(*exprs: str) -> str:
+    """The id of a row by its key columns; null counts as a character of its own."""
+    parts = ", ".join(f"coalesce(CAST({e} AS VARCHAR), chr(0))" for e in exprs)
+    return f"substr(sha256(concat_ws(chr(1), {parts})), 1, 32)"
+
+
 def cells(expr: str) -> str:
     return ", ".join(f"coalesce(max({expr}) FILTER (platform_id = {i}), '') AS \"{n}\"" for i, n in PLATFORM_NAMES)
 
@@ -116,7 +122,10 @@ _TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBL
                "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>"}
 _TYPE_CASE = "CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPE_NAMES.items()) + " ELSE column_type END"
 check("discover_columns", " UNION ALL ".join(
-    f"SELECT 'given' AS platform_id, '{t}' AS source_table, column_name, {_TYPE_CASE} AS data_type FROM (DESCRIBE {t})" for t in TABLES))
+    f"""SELECT 'given' AS platform_id, '{t}' AS source_table, column_name, {_TYPE_CASE} AS data_type, rows, nulls, distinct_values
+FROM (DESCRIBE {t}) JOIN (SELECT column_name, count(*) AS rows, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_values
+  FROM (SELECT COLUMNS(*)::VARCHAR FROM {t}) UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(*))) GROUP BY column_name) USING (column_name)"""
+    for t in TABLES))
 
 check("discover_new_columns", role_sql("intake_columns", "source_columns", "intake_approved") + """
 SELECT DISTINCT platform_id, source_table, column_name, data_type
@@ -290,7 +299,7 @@ by_fast AS (SELECT column_id, header, cid, cname, CAST(conf AS BIGINT) AS conf,
 run_rows AS (SELECT column_id, header, cid, cname, conf, rationale, 'deterministic' AS model FROM by_fast
   UNION ALL SELECT column_id, header, cid, cname, conf, rationale, 'model' FROM by_model
   WHERE NOT failed AND column_id NOT IN (SELECT column_id FROM by_fast))"""
-_PROPOSAL = """column_id, cid AS suggested_canonical_id, cname AS suggested_canonical_name, CAST(conf AS DOUBLE) AS confidence,
+_PROPOSAL = f"""{stable_id("'b1'", 'column_id')} AS proposal_id, column_id, cid AS suggested_canonical_id, cname AS suggested_canonical_name, CAST(conf AS DOUBLE) AS confidence,
   CASE WHEN conf >= 85 THEN 'high' WHEN conf >= 60 THEN 'medium' ELSE 'low' END AS confidence_level,
   substr(coalesce(rationale, ''), 1, 500) AS reasoning"""
 
@@ -340,12 +349,14 @@ SELECT name AS new_name, canonical_name, score, fields, row_number() OVER (PARTI
 FROM similar_ QUALIFY rank <= 5""")
 
 check("register_fields", role_sql("canonical_fields") + f""", {NEW_NAMES}
-SELECT name AS canonical_name, data_type, business_definition, domain_category, true AS is_active, 'steward' AS created_by FROM new_fields""")
+SELECT {stable_id('name', 'data_type', 'business_definition', 'domain_category', 'row_number() OVER (PARTITION BY name, data_type, business_definition, domain_category)')} AS canonical_id,
+  name AS canonical_name, data_type, business_definition, domain_category, true AS is_active, 'steward' AS created_by FROM new_fields""")
 
 check("register_rules", """
 WITH n AS (SELECT lower(p_brand) AS pattern, lower(p_type) AS replacement, p_name AS description FROM part),
 c AS (SELECT pattern, replacement, count(*) AS k FROM n GROUP BY 1, 2)
-SELECT 'abbreviation' AS rule_type, pattern, replacement, description, true AS is_active,
+SELECT """ + stable_id("'abbreviation'", "pattern", "replacement", "description", "row_number() OVER (PARTITION BY pattern, replacement, description)") + """ AS rule_id,
+  'abbreviation' AS rule_type, pattern, replacement, description, true AS is_active,
   '{"pattern":"' || pattern || '","replacement":"' || replacement || '"}' AS details, k AS audit_rows
 FROM n JOIN c USING (pattern, replacement)""")
 
@@ -383,9 +394,11 @@ SELECT p.proposal_id, CASE WHEN c.action IN ('approve', 'reassign') THEN 'approv
   CASE WHEN c.action IN ('approve', 'reassign', 'reject') THEN c.actor ELSE p.reviewed_by END AS reviewed_by
 FROM mapping_proposals p LEFT JOIN chosen c USING (proposal_id)""")
 check("decided_mappings", _DECIDED + """
-SELECT column_id, cid AS canonical_id, proposal_id, actor AS approved_by, decided_at AS approved_at FROM chosen WHERE cid IS NOT NULL""")
+SELECT """ + stable_id("proposal_id", "decision_id") + """ AS mapping_id, column_id, cid AS canonical_id, proposal_id, actor AS approved_by, decided_at AS approved_at
+FROM chosen WHERE cid IS NOT NULL""")
 check("decision_audit", _DECIDED + """
 SELECT CASE WHEN cid IS NOT NULL THEN 'mapping' ELSE 'proposal' END AS entity_type,
+  CASE WHEN cid IS NOT NULL THEN """ + stable_id("proposal_id", "decision_id") + """ ELSE CAST(proposal_id AS VARCHAR) END AS entity_id,
   CASE WHEN cid IS NOT NULL THEN 'approved' WHEN action = 'flag' THEN 'flagged' ELSE 'rejected' END AS action, actor,
   CASE action WHEN 'approve' THEN '{"canonical_id":' || cid || ',"column_id":' || column_id || '}'
     WHEN 'reassign' THEN '{"canonical_id":' || cid || ',"reassigned":' || CASE WHEN cid IS DISTINCT FROM suggested THEN 'true' ELSE 'false' END || '}' END AS details,
@@ -526,6 +539,16 @@ SELECT source_table, page, CASE WHEN page = 0 THEN 'CREATE OR REPLACE VIEW gold.
     ELSE '' END || body || CASE WHEN page = last THEN chr(10) || 'FROM ' || source_table ELSE ',' || chr(10) END AS text
 FROM g JOIN e USING (source_table) JOIN w USING (source_table)""")
 
+# Of a repeated field id the last name counts.
+_REPEATED = role_sql("source_columns", "approved_mappings", "repeated_fields", "platforms") + """,
+fields AS (SELECT canonical_id, max(canonical_name) AS canonical_name FROM repeated_fields GROUP BY 1),
+links AS (SELECT a.*, s.platform_id, s.column_name, s.source_table FROM approved_mappings a JOIN source_columns s USING (column_id))"""
+check("rename_plan", _REPEATED + """,
+r AS (SELECT source_table, column_name, canonical_name, count(*) AS mappings FROM links JOIN fields USING (canonical_id) GROUP BY 1, 2, 3)
+SELECT *, count(*) OVER w AS columns, min(column_name) OVER w AS first_column FROM r WINDOW w AS (PARTITION BY source_table, canonical_name)""")
+check("repeated_conform_plan", _REPEATED + CHECKS["conform_plan"].split("WHERE coalesce(is_active, true))", 1)[1])
+check("repeated_rename_text", _REPEATED + CHECKS["rename_text"].split("WHERE coalesce(is_active, true))", 1)[1].replace("canonical_fields", "fields"))
+
 check("conform_table", """
 SELECT c_custkey AS party_id, c_name AS party_name, c_acctbal AS balance, 'cat.crm.customer' AS source_table FROM customer
 UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'cat.buy.supplier' FROM supplier""")

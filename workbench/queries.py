@@ -91,9 +91,9 @@ def near_matches(spark, folder):
 
 @query
 def discover_columns(spark, folder):
-    """S3: the columns of all test tables as rows."""
+    """S3: the columns of all test tables as rows, with figures from their data."""
     given = Platform("given", "Given tables")
-    return discovery.discover_columns(spark, {(given, t): spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES})
+    return discovery.profile_columns(spark, {(given, t): spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES})
 
 
 @query
@@ -236,7 +236,7 @@ def _batch(spark, folder, **options):
     return run
 
 
-PROPOSAL = ["column_id", "suggested_canonical_id", "suggested_canonical_name", "confidence", "confidence_level", "reasoning",
+PROPOSAL = ["proposal_id", "column_id", "suggested_canonical_id", "suggested_canonical_name", "confidence", "confidence_level", "reasoning",
             "agent_model", "batch_id", "status"]
 
 
@@ -288,7 +288,7 @@ def name_overlap(spark, folder):
 def register_fields(spark, folder):
     """New vocabulary rows."""
     created, _, _ = review.register_fields(_new_fields(spark, folder), role(spark, folder, "canonical_fields"), "steward")
-    return created.select("canonical_name", "data_type", "business_definition", "domain_category", "is_active", "created_by")
+    return created.select("canonical_id", "canonical_name", "data_type", "business_definition", "domain_category", "is_active", "created_by")
 
 
 @query
@@ -304,7 +304,7 @@ def register_rules(spark, folder):
         F.lower("p_brand").alias("pattern"), F.lower("p_type").alias("replacement"), F.col("p_name").alias("description")
     )
     created, log = review.register_rules(new, "steward")
-    return created.drop("rule_id").join(
+    return created.join(
         log.groupBy("details").agg(F.count("*").alias("audit_rows")),
         F.to_json(F.struct("pattern", "replacement")) == F.col("details"),
     )
@@ -349,13 +349,13 @@ def apply_decisions(spark, folder):
 @query
 def decided_mappings(spark, folder):
     """Mappings the decisions approve."""
-    return _decided(spark, folder)[1].drop("mapping_id")
+    return _decided(spark, folder)[1]
 
 
 @query
 def decision_audit(spark, folder):
     """Audit rows of the decisions."""
-    return _decided(spark, folder)[2].select("entity_type", "action", "actor", "details", "created_at")
+    return _decided(spark, folder)[2].select("entity_type", "entity_id", "action", "actor", "details", "created_at")
 
 
 # ---- coverage ----
@@ -541,9 +541,34 @@ def rename_text(spark, folder):
     return conform.rename_text(approved, source, fields)
 
 
+def _repeated_pairs(spark, folder):
+    approved, source, fields = _roles(spark, folder, "approved_mappings", "source_columns", "repeated_fields")
+    return conform.rename_pairs(approved, source, fields)
+
+
+@query
+def rename_plan(spark, folder):
+    """Every rename once, with the columns that clash; field ids repeat."""
+    return conform.rename_plan(_repeated_pairs(spark, folder))
+
+
+@query
+def repeated_conform_plan(spark, folder):
+    """A11 over field ids that repeat."""
+    approved, source, fields, platforms = _roles(spark, folder, "approved_mappings", "source_columns", "repeated_fields", "platforms")
+    return conform.conform_plan(approved, source, fields, platforms)
+
+
+@query
+def repeated_rename_text(spark, folder):
+    """F11 over field ids that repeat."""
+    approved, source, fields = _roles(spark, folder, "approved_mappings", "source_columns", "repeated_fields")
+    return conform.rename_text(approved, source, fields)
+
+
 @query
 def conform_table(spark, folder):
-    """Three tables conformed by one mapping table, their rows counted by name."""
+    """Two tables conformed by one mapping table."""
     renames = [
         ("cat.crm.customer", "c_custkey", "party_id"), ("cat.crm.customer", "c_name", "party_name"),
         ("cat.crm.customer", "c_acctbal", "balance"), ("cat.buy.supplier", "s_suppkey", "party_id"),

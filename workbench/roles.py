@@ -24,6 +24,10 @@ ROLES = {
                concat(p_type, ' ', p_name, ' by ', p_brand) AS business_definition, p_type AS domain_category,
                CASE WHEN p_size > 40 THEN false WHEN p_size > 20 THEN true END AS is_active
         FROM part""",
+    # Fields whose ids repeat: an older name stands beside the one that counts, which is the last in order.
+    "repeated_fields": """
+        SELECT p_partkey AS canonical_id, replace(p_name, ' ', '_') AS canonical_name, p_type AS domain_category FROM part
+        UNION ALL SELECT p_partkey, concat(lower(p_type), '_', p_partkey % 10), p_type FROM part WHERE p_partkey % 3 = 0""",
     "approved_mappings": """
         SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(l_quantity AS BIGINT), '-',
                       CAST(CAST(l_shipdate AS DATE) AS STRING)) AS mapping_id, o_custkey AS column_id,
