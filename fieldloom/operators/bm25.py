@@ -51,14 +51,14 @@ class Index:
         drop_written(self.terms.sparkSession, self.written)
 
 
-def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, content, tokens): the tokens of every text and a digest that equal bags of tokens share."""
     tokens = df.select(F.col(id_col), F.sort_array(tokenize(text_col)).alias("tokens"))
     # Tokens hold no blank, so the joined text tells bags apart.
     return tokens.select(id_col, F.sha2(F.array_join("tokens", " "), 256).alias("content"), "tokens")
 
 
-def _sizes(tokens: DataFrame, id_col: str) -> tuple[int, int]:
+def sizes_of(tokens: DataFrame, id_col: str) -> tuple[int, int]:
     """Rows and tokens in all; the ids name rows and must not repeat."""
     rows, ids, total = tokens.agg(F.count("*"), F.count_distinct(id_col), F.sum(F.size("tokens"))).first()
     if rows != ids:
@@ -79,13 +79,13 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
 
 
 def _written_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
-    tokens = materialize(_tokens(docs, doc_id, text_col), "bm25-tokens")
+    tokens = materialize(tokens_of(docs, doc_id, text_col), "bm25-tokens")
     named = _distinct_bags(tokens, doc_id, "bag")
     members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content")
     members = materialize(members.select("bag", "doc_id"), "bm25-members")
     bags = tokens.select(F.col(doc_id).alias("bag"), "tokens").join(named.select("bag", "copies"), "bag")
     length = F.size("tokens")
-    n_docs, n_tokens = _sizes(tokens, doc_id)
+    n_docs, n_tokens = sizes_of(tokens, doc_id)
     norm = K1 * (1 - B + B * length / F.lit((n_tokens or 1) / (n_docs or 1)))
     counts = (
         bags.select("bag", "copies", norm.alias("norm"), F.explode("tokens").alias("term"))
@@ -98,11 +98,16 @@ def _written_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     found = postings.groupBy("term").agg(
         F.sum("copies").alias("documents"), F.count("*").alias("bags"), F.max("impact").alias("peak")
     )
+    return Index(members, postings.select("bag", "term", "impact"), weighted_terms(found, n_docs))
+
+
+def weighted_terms(found: DataFrame, n_docs: int) -> DataFrame:
+    """(term, bags, peak, idf) of terms with their numbers of documents; a negative idf becomes a share of the mean."""
     raw_idf = F.log(F.lit(float(n_docs or 0)) - F.col("documents") + 0.5) - F.log(F.col("documents") + 0.5)
     terms = materialize(found.withColumn("raw_idf", raw_idf), "bm25-terms")
     mean_idf = terms.agg(F.avg("raw_idf")).first()[0] or 0.0
     idf = F.when(F.col("raw_idf") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw_idf"))
-    return Index(members, postings.select("bag", "term", "impact"), terms.select("term", "bags", "peak", idf.alias("idf")))
+    return terms.select("term", "bags", "peak", idf.alias("idf"))
 
 
 def _split_terms(queries: DataFrame, index: Index, postings_per_task: int, queries_per_task: int) -> DataFrame | None:
@@ -241,9 +246,9 @@ def bm25_search(queries: DataFrame, query_id: str, query_col: str, index: Index,
 
     Scores are ranked at 9 decimals and given at 4; documents scoring 0 or less are no hits.
     """
-    asked = _tokens(queries.select(query_id, query_col), query_id, query_col).filter(F.size("tokens") > 0)
+    asked = tokens_of(queries.select(query_id, query_col), query_id, query_col).filter(F.size("tokens") > 0)
     asked = materialize(asked, "bm25-asked")
-    _sizes(asked, query_id)
+    sizes_of(asked, query_id)
     named = _distinct_bags(asked, query_id, "query")
     once = asked.withColumnRenamed(query_id, "query").join(named.select("query"), "query", "left_semi")
     scored = search_bags(once.select("query", "tokens"), index, k, direct_reads)

@@ -9,13 +9,17 @@ COLUMN_KEY = ["platform_id", "source_table", "column_name"]
 OPEN_STATUSES = ("pending_review", "approved")
 
 
-def new_columns(discovered: DataFrame, known: DataFrame) -> DataFrame:
-    """Discovered columns not yet known, each once."""
+def one_per_key(discovered: DataFrame) -> DataFrame:
+    """Discovered columns, each once with the least of its other values."""
     rest = [c for c in discovered.columns if c not in COLUMN_KEY]
-    if rest:
-        once = discovered.groupBy(*COLUMN_KEY).agg(F.min(F.struct(*rest)).alias("_r")).select(*COLUMN_KEY, "_r.*")
-    else:
-        once = discovered.distinct()
+    if not rest:
+        return discovered.distinct()
+    return discovered.groupBy(*COLUMN_KEY).agg(F.min(F.struct(*rest)).alias("_r")).select(*COLUMN_KEY, "_r.*")
+
+
+def new_columns(discovered: DataFrame, known: DataFrame) -> DataFrame:
+    """Discovered columns not yet known, each once. `key_filter.new_columns_filtered` gives the same against a huge registry."""
+    once = one_per_key(discovered)
     condition = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in COLUMN_KEY]
     return once.alias("n").join(known.select(*COLUMN_KEY).alias("k"), condition, "left_anti").select(*discovered.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -16,7 +16,8 @@ from fieldloom.operators.intake import unmapped
 from fieldloom.operators.match import fast_match
 from fieldloom.operators.review import audit_events
 from fieldloom.operators.rules import active_abbreviations, standardize_headers
-from fieldloom.plans.prompts import SearchIndexes, build_prompts, whole_prompts
+from fieldloom.plans.model_calls import answer
+from fieldloom.plans.prompts import SearchIndexes, build_prompts
 from fieldloom.session import drop_written, materialize, recorded
 from fieldloom.settings import Settings
 
@@ -35,18 +36,6 @@ class Run:
         drop_written(self.proposals.sparkSession, self.written)
 
 
-def answer(prompts: DataFrame, complete: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """(column_id, raw_text): the caller's model over batches of prompts, each put together from its parts."""
-    prompts = whole_prompts(prompts)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"column_id": frame["column_id"], "raw_text": complete(frame["prompt"])})
-
-    id_type = prompts.schema["column_id"].dataType.simpleString()
-    return prompts.select("column_id", "prompt").mapInPandas(batches, f"column_id {id_type}, raw_text string")
-
-
 def join_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     """Answers back to their prompts; answers to unknown columns are skipped, of several to one column the greatest text counts."""
     return prompts.join(responses.groupBy("column_id").agg(F.max("raw_text").alias("raw_text")), "column_id")
@@ -110,25 +99,26 @@ def run_mapping(
     source: DataFrame, approved: DataFrame, fields: DataFrame, rules: DataFrame | None, proposals: DataFrame, platforms: DataFrame,
     batch_id: str, responses: DataFrame | None = None, complete: Callable[[pd.Series], pd.Series] | None = None,
     settings: Settings = Settings(), use_fast_path: bool = True, keep_errors: bool = False, order: str = "canonical_id",
-    indexes: SearchIndexes | None = None, k: int = 5,
+    indexes: SearchIndexes | None = None, k: int = 5, kept: str | None = None,
 ) -> Run:
     """Propose a field for every unmapped column: by name where possible, else from the model's answer.
 
     Answers come as a table `responses` (column_id, raw_text) or from `complete`, which maps a series
     of prompts to a series of texts. With a table at hand no prompts are built. With neither, the run
-    proposes the name matches and returns the prompts. A column without answer stays unmapped.
+    proposes the name matches and returns the prompts. A column without answer stays unmapped. `kept` names a folder of
+    the model's finished answers: those are not asked for again.
     """
     with recorded() as written:
         run = _mapped(
             source, approved, fields, rules, proposals, platforms, batch_id, responses, complete, settings, use_fast_path,
-            keep_errors, order, indexes, k,
+            keep_errors, order, indexes, k, kept,
         )
     return replace(run, written=tuple(written))
 
 
 def _mapped(
     source, approved, fields, rules, proposals, platforms, batch_id, responses, complete, settings, use_fast_path, keep_errors,
-    order, indexes, k,
+    order, indexes, k, kept,
 ) -> Run:
     abbreviations = active_abbreviations(rules) if rules is not None else None
     pending = unmapped(source, approved, proposals)
@@ -146,7 +136,7 @@ def _mapped(
         if complete is not None:
             prompts = materialize(prompts, "prompts")
             # Written once: a model is neither free nor sure to answer the same twice.
-            responses = materialize(answer(prompts, complete), "responses")
+            responses = materialize(answer(prompts, complete, kept, settings.max_calls, settings.attempts), "responses")
     if responses is not None:
         answers = parse_answers(join_responses(open_columns.select("column_id", "column_name"), responses))
         found = answer_matches(typed_answers(answers, fields.schema["canonical_id"].dataType), settings, keep_errors)

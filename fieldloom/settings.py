@@ -33,6 +33,8 @@ class Settings:
     near_confidence: int = 90
     rationale_length: int = 500
     model: str = "model"
+    max_calls: int = 8
+    attempts: int = 3
 
     def platform_frame(self, spark: SparkSession) -> DataFrame:
         return platform_frame(spark, self.platforms, self.catalog)
@@ -78,6 +80,8 @@ def settings_from_dict(cfg: dict, main_section: str = "main") -> Settings:
         exact_confidence=agent.get("deterministic_exact_confidence", base.exact_confidence),
         near_confidence=agent.get("deterministic_near_confidence", base.near_confidence),
         rationale_length=agent.get("max_rationale_length", base.rationale_length),
+        max_calls=agent.get("max_concurrent_llm_calls", base.max_calls),
+        attempts=agent.get("llm_attempts", base.attempts),
         model=(cfg.get("llm") or {}).get("endpoint", base.model),
     )
 

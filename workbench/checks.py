@@ -133,6 +133,12 @@ FROM (SELECT * EXCLUDE (column_id) FROM intake_columns UNION ALL SELECT * EXCLUD
 WHERE NOT EXISTS (SELECT 1 FROM intake_columns c JOIN intake_approved a USING (column_id)
   WHERE c.platform_id = d.platform_id AND c.source_table = d.source_table AND c.column_name = d.column_name)""")
 
+check("new_columns_filtered", role_sql("intake_columns", "source_columns", "repeated_columns") + """,
+known AS (SELECT platform_id, source_table, column_name FROM source_columns UNION ALL SELECT platform_id, source_table, column_name FROM intake_columns WHERE source_table LIKE '%SMALL')
+SELECT DISTINCT platform_id, source_table, column_name, data_type
+FROM (SELECT * EXCLUDE (column_id) FROM intake_columns UNION ALL SELECT * EXCLUDE (column_id) FROM repeated_columns) d
+WHERE NOT EXISTS (SELECT 1 FROM known c WHERE c.platform_id = d.platform_id AND c.source_table = d.source_table AND c.column_name = d.column_name)""")
+
 UNMAPPED = """pending AS (SELECT * FROM intake_columns c
   WHERE NOT EXISTS (SELECT 1 FROM intake_approved a WHERE a.column_id = c.column_id)
     AND NOT EXISTS (SELECT 1 FROM intake_proposals p WHERE p.column_id = c.column_id AND p.status IN ('pending_review', 'approved')))"""
@@ -148,6 +154,8 @@ check("bm25_documents", "WITH " + bm25(
     "SELECT doc_id, text AS txt FROM documents", "SELECT item_id AS qid, text AS txt FROM benchmark", "b_"
 ) + " SELECT qid AS item_id, doc_id, score, rank FROM b_hits")
 
+CHECKS["bm25_segments"] = CHECKS["bm25_documents"]
+
 FIELD_DOCS = "SELECT canonical_id AS doc_id, concat_ws(' ', canonical_name, business_definition, domain_category) AS txt FROM canonical_fields"
 
 check("bm25_fields", INTAKE + f""",
@@ -239,17 +247,18 @@ _HITS = """sim AS (SELECT qid, chr(10) || chr(10) || 'SIMILAR APPROVED MAPPINGS
 cand AS (SELECT qid, chr(10) || chr(10) || 'CANDIDATE CANONICAL FIELDS:' || string_agg(chr(10) || '  ' || rank || '. ' || canonical_name || ' (' || data_type || ', ' ||
           domain_category || ') - "' || business_definition || '" [score: ' || printf('%.1f', score) || ']', '' ORDER BY rank) AS t
         FROM f_hits JOIN canonical_fields ON canonical_id = doc_id GROUP BY qid),"""
-check("build_prompts", INTAKE + RETRIEVED + f""", {UNMAPPED},
+INTAKE_PROMPTS = INTAKE + RETRIEVED + f""", {UNMAPPED},
 rule_text AS (SELECT chr(10) || chr(10) || 'ACTIVE ABBREVIATION RULES:' || string_agg(chr(10) || '  ' || pattern || ' -> ' || replacement, '' ORDER BY pattern) AS t FROM active_rules),
 {_HITS}
 block AS (SELECT canonical_id, string_agg(chr(10) || '    - ' || platform_id || ': "' || column_name || '"', '' ORDER BY n) AS t FROM ctx GROUP BY 1),
 con AS (SELECT header AS qid, chr(10) || chr(10) || 'CROSS-PLATFORM CONTEXT FOR TOP CANDIDATES:' || string_agg(chr(10) || '  ' || canonical_name || ':' || t, '' ORDER BY place) AS t
         FROM shown JOIN block USING (canonical_id) GROUP BY 1),
 rows_ AS (SELECT p.column_id, p.column_name, coalesce(pl.name, CAST(p.platform_id AS VARCHAR)) AS platform_name, n.std
-          FROM pending p JOIN named n ON n.header = p.column_name LEFT JOIN platforms pl ON pl.platform_id = p.platform_id)
-SELECT column_id, platform_name, std AS standardized, 0 AS part,
+          FROM pending p JOIN named n ON n.header = p.column_name LEFT JOIN platforms pl ON pl.platform_id = p.platform_id),
+prompts AS (SELECT column_id, platform_name, std AS standardized, 0 AS part,
   {_HEAD} || coalesce((SELECT t FROM rule_text), '') || coalesce(sim.t, '') || coalesce(cand.t, '') || coalesce(con.t, '') || chr(10) || {_tail()} AS prompt
-FROM rows_ LEFT JOIN sim ON sim.qid = column_name LEFT JOIN cand ON cand.qid = column_name LEFT JOIN con ON con.qid = column_name""")
+FROM rows_ LEFT JOIN sim ON sim.qid = column_name LEFT JOIN cand ON cand.qid = column_name LEFT JOIN con ON con.qid = column_name)"""
+check("build_prompts", INTAKE_PROMPTS + " SELECT * FROM prompts")
 
 # Lines start in pieces of 256 characters of their field, and pieces in parts of 4,096 characters of their prompt.
 check("busy_prompts", BUSY + ", " + role_sql("class_columns")[5:] + retrieved("class_columns", "busy_mappings", _LAST, False) + f""",
@@ -307,6 +316,11 @@ check("batch_proposals", INTAKE + MATCHED + f"""
 SELECT {_PROPOSAL}, model AS agent_model, 'b1' AS batch_id, 'pending_review' AS status FROM run_rows""")
 check("batch_proposals_with_errors", INTAKE + MATCHED + f"""
 SELECT {_PROPOSAL}, 'model' AS agent_model, 'b1' AS batch_id, 'pending_review' AS status FROM by_model""")
+check("model_proposals", INTAKE_PROMPTS + """
+SELECT column_id, CAST(length(prompt) % 101 AS DOUBLE) AS confidence,
+  CASE WHEN length(prompt) % 101 >= 85 THEN 'high' WHEN length(prompt) % 101 >= 60 THEN 'medium' ELSE 'low' END AS confidence_level,
+  substr(replace(column_name, '"', chr(39)), 1, 500) AS reasoning, 'model' AS agent_model, 'pending_review' AS status
+FROM prompts JOIN intake_columns USING (column_id)""")
 check("batch_audit", INTAKE + MATCHED + """
 SELECT 'proposal' AS entity_type, 'created' AS action, 'agent_batch' AS actor,
   '{"column":' || to_json(header) || ',"confidence":' || conf || '}' AS details FROM run_rows""")
@@ -564,3 +578,27 @@ SELECT event_id, details, created_at FROM audit_log WHERE entity_type = 'mapping
 check("audit_facets", role_sql("audit_log") + """
 SELECT DISTINCT facet, value FROM (SELECT unnest([{'facet': 'entity_type', 'value': entity_type}, {'facet': 'action', 'value': action},
   {'facet': 'actor', 'value': actor}], recursive := true) FROM audit_log) WHERE coalesce(value, '') <> ''""")
+
+# ---- stored tables ----
+
+_REGISTRY = LINKS + """,
+report AS (SELECT canonical_id, canonical_name, data_type, domain_category AS domain, business_definition AS definition,
+    (SELECT count(DISTINCT platform_id) FROM links l WHERE l.canonical_id = c.canonical_id) AS platforms_covered, (SELECT count(*) FROM links l WHERE l.canonical_id = c.canonical_id) AS total_mappings
+  FROM canonical_fields c)"""
+check("ordered_registry", _REGISTRY + """
+SELECT canonical_id, canonical_name, total_mappings, row_number() OVER (ORDER BY canonical_name, canonical_id) - 1 AS ordinal FROM report""")
+check("exported_registry", _REGISTRY + " SELECT * FROM report")
+check("ordered_audit_page", role_sql("audit_log") + """
+SELECT event_id, action, actor, created_at, row_number() OVER (ORDER BY created_at DESC, event_id) - 1 AS ordinal FROM audit_log QUALIFY ordinal >= 200 AND ordinal < 300""")
+check("seeded_fields", role_sql("canonical_fields") + """
+SELECT CAST(canonical_id AS VARCHAR) AS canonical_id, canonical_name, data_type, business_definition, domain_category, is_active, 'seed' AS created_by
+FROM canonical_fields WHERE coalesce(is_active, true)""")
+check("seeded_platforms", " UNION ALL ".join(
+    CHECKS["discover_columns"].split(" UNION ALL ")[TABLES.index(t)].replace("'given' AS platform_id", f"'{p}' AS platform_id").replace(f"'{t}' AS source_table", f"'harmonised.{p}.{t}' AS source_table")
+    for p, t in (("crm", "customer"), ("buy", "supplier"))))
+check("stored_proposals", role_sql("mapping_proposals") + """
+SELECT CAST(proposal_id AS VARCHAR) AS proposal_id, CAST(column_id AS VARCHAR) AS column_id, CAST(suggested_canonical_id AS VARCHAR) AS suggested_canonical_id, round(confidence, 6) AS confidence,
+  confidence_level, status, CAST(NULL AS VARCHAR) AS assigned_to FROM mapping_proposals""")
+check("published_views", """
+SELECT c_custkey AS party_id, c_name AS party_name, 'crm' AS view FROM customer UNION ALL SELECT s_suppkey, s_name, 'buy' FROM supplier
+UNION ALL SELECT 1, '{"count":2}', 'event'""")

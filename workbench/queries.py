@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom import schemas
 from fieldloom.functions.answers import parse_answers as read_answers
 from fieldloom.functions.display import confidence_band
 from fieldloom.functions.text import query_text, tokenize
-from fieldloom.operators import audit, bm25, conform, coverage, intake, match, reports, retrieval, review, rules, similar, worklist
+from fieldloom.operators import audit, bm25, conform, coverage, intake, key_filter, match, reports, retrieval, review, rules, segments, similar, worklist
 from fieldloom.plans import mapping_run, prompts
+from fieldloom.session import shared_folder
 from fieldloom.settings import Platform
-from fieldloom.sources import discovery
+from fieldloom.sources import discovery, ordered, seed, tables
 from workbench.roles import TABLES, platform_list, role, table
 
 QUERIES = {}
@@ -104,6 +108,14 @@ def discover_new_columns(spark, folder):
     return intake.new_columns(found, columns.join(approved.select("column_id"), "column_id", "left_semi"))
 
 
+@query
+def new_columns_filtered(spark, folder):
+    """J2 with filters of the keys on both sides: columns of three systems against the columns of two."""
+    columns, source, repeated = _roles(spark, folder, "intake_columns", "source_columns", "repeated_columns")
+    found = columns.unionByName(repeated).drop("column_id")
+    return key_filter.new_columns_filtered(found, source.unionByName(columns.filter("data_type = 'STRING' and source_table like '%SMALL'")))
+
+
 @query
 def unmapped_columns(spark, folder):
     """J3."""
@@ -127,6 +139,17 @@ def bm25_documents(spark, folder):
     return bm25.bm25_search(table(spark, folder, "benchmark"), "item_id", "text", index)
 
 
+@query
+def bm25_segments(spark, folder):
+    """The same documents, indexed in two goes."""
+    docs = table(spark, folder, "documents")
+    growing = segments.GrowingIndex(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for some in (docs.where(english), docs.where(~english)):
+        growing.add(some, "doc_id", "text")
+    return bm25.bm25_search(table(spark, folder, "benchmark"), "item_id", "text", growing.index())
+
+
 def _asked(spark, folder, name):
     named = rules.standardize_headers(role(spark, folder, name), "column_name", _abbreviations(spark, folder))
     return named.select("column_id", query_text("column_name", "standardized").alias("query_text"))
@@ -252,6 +275,22 @@ def batch_proposals_with_errors(spark, folder):
     return _batch(spark, folder, use_fast_path=False, keep_errors=True).proposals.select(*PROPOSAL)
 
 
+def counting_model(asked):
+    """A stand-in for a model: its confidence is the length of the prompt, its rationale the name of the column."""
+    named = asked.str.extract(r'SOURCE COLUMN: "(.*)"', expand=False).str.replace('"', "'")
+    return '{"confidence": ' + (asked.str.len() % 101).astype(str) + ', "rationale": "' + named + '"}'
+
+
+@query
+def model_proposals(spark, folder):
+    """Prompts of all unmapped columns answered by a caller's function, as proposals."""
+    source, approved, fields, rule_rows, proposals, platforms = _roles(
+        spark, folder, "intake_columns", "intake_approved", "canonical_fields", "rules", "intake_proposals", "platforms"
+    )
+    run = mapping_run.run_mapping(source, approved, fields, rule_rows, proposals, platforms, "b1", complete=counting_model, use_fast_path=False)
+    return run.proposals.select("column_id", "confidence", "confidence_level", "reasoning", "agent_model", "status")
+
+
 @query
 def batch_audit(spark, folder):
     """The audit rows of a run."""
@@ -607,3 +646,89 @@ def audit_filtered(spark, folder):
 def audit_facets(spark, folder):
     """A13."""
     return audit.facets(role(spark, folder, "audit_log"), ["entity_type", "action", "actor"])
+
+
+# ---- stored tables ----
+
+
+def _place(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def ordered_registry(spark, folder):
+    """The registry report written in order and read again, with each row's ordinal."""
+    fields, approved, source = _roles(spark, folder, "canonical_fields", "approved_mappings", "source_columns")
+    place = _place(spark, "registry")
+    ordered.write_ordered(coverage.registry_report(fields, approved, source), place, ["canonical_name", "canonical_id"])
+    return ordered.read_ordered(spark, place).select("canonical_id", "canonical_name", "total_mappings", "ordinal")
+
+
+@query
+def ordered_audit_page(spark, folder):
+    """The third hundred of the audit log, newest first, out of the whole log as written."""
+    place = _place(spark, "audit")
+    ordered.write_ordered(role(spark, folder, "audit_log"), place, [F.desc("created_at"), F.asc("event_id")])
+    return ordered.read_ordered(spark, place, 200, 300).select("event_id", "action", "actor", "created_at", "ordinal")
+
+
+@query
+def exported_registry(spark, folder):
+    """The registry report as CSV files in order, read back."""
+    fields, approved, source = _roles(spark, folder, "canonical_fields", "approved_mappings", "source_columns")
+    place = _place(spark, "export")
+    ordered.write_ordered_report(coverage.registry_report(fields, approved, source), place, ["canonical_name", "canonical_id"])
+    kinds = "canonical_id long, canonical_name string, data_type string, domain string, definition string, platforms_covered long, total_mappings long"
+    return seed.read_seed(spark, place, kinds)
+
+
+@query
+def seeded_fields(spark, folder):
+    """The vocabulary as a seed file, loaded: its lock flag is the active flag."""
+    place = _place(spark, "seed")
+    rows = role(spark, folder, "canonical_fields").select("canonical_id", "canonical_name", "data_type", "business_definition", "domain_category", F.col("is_active").alias("is_locked"), F.lit("seed").alias("created_by"))
+    tables.write_report(rows, place)
+    return coverage.active_fields(seed.read_fields(spark, place)).drop("created_at", "updated_at")
+
+
+@query
+def seeded_platforms(spark, folder):
+    """Two platforms' tables as seed files, their columns counted; a platform without file is skipped."""
+    place = _place(spark, "platforms")
+    tables.write_report(table(spark, folder, "customer"), f"{place}/crm.csv")
+    table(spark, folder, "supplier").write.parquet(f"{place}/buy.parquet")
+    listed = [Platform("crm", "CRM", seed_file="crm.csv", seed_table="customer"), Platform("buy", "Buying", seed_file="buy.parquet", seed_table="supplier"),
+              Platform("none", "None", seed_file="none.csv", seed_table="x")]
+    kinds = {"crm": table(spark, folder, "customer").schema}
+    return discovery.profile_columns(spark, seed.read_platforms(spark, listed, place, kinds))
+
+
+@query
+def stored_proposals(spark, folder):
+    """Proposals appended to a table in two goes, the table read back; a table that is reset holds what came after."""
+    schema = f"stored_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{_place(spark, 'stored')}'")
+    tables.create_tables(spark, schema)
+    kinds = {f.name: f.dataType for f in schemas.MAPPING_PROPOSALS.fields}
+    rows = role(spark, folder, "mapping_proposals")
+    rows = rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns if c in kinds])
+    tables.append(rows.limit(10), f"{schema}.mapping_proposals")
+    tables.reset(spark, schema)
+    for some in (rows.where("status = 'approved'"), rows.where("status <> 'approved'")):
+        tables.append(some, f"{schema}.mapping_proposals")
+    stored = tables.load_metadata(spark, schema, "mapping_proposals")
+    return stored.select("proposal_id", "column_id", "suggested_canonical_id", F.round("confidence", 6).alias("confidence"), "confidence_level", "status", "assigned_to")
+
+
+@query
+def published_views(spark, folder):
+    """Two tables published as views under one vocabulary, read back, with the number of views published."""
+    pairs = spark.createDataFrame(
+        [("cat.crm.customer", "c_custkey", "party_id"), ("cat.crm.customer", "c_name", "party_name"), ("cat.buy.supplier", "s_suppkey", "party_id"), ("cat.buy.supplier", "s_name", "party_name"),
+         ("cat.ops.nation", "n_name", "name"), ("cat.ops.nation", "n_nationkey", "name")], "source_table string, column_name string, canonical_name string")
+    given = {"cat.crm.customer": table(spark, folder, "customer"), "cat.buy.supplier": table(spark, folder, "supplier"), "cat.ops.nation": table(spark, folder, "nation")}
+    run = uuid.uuid4().hex
+    done, errors = tables.publish(spark, conform.conform_each(given, pairs), {"cat.crm.customer": f"crm_{run}", "cat.buy.supplier": f"buy_{run}", "cat.ops.nation": run})
+    event = tables.publication_event(spark, done, "ann").select(F.col("details").alias("party_name"), F.lit(len(errors)).cast("bigint").alias("party_id"), F.lit("event").alias("view"))
+    views = [spark.table(f"{name}_{run}__{leaf}").withColumn("view", F.lit(name)) for name, leaf in (("crm", "customer"), ("buy", "supplier"))]
+    return views[0].unionByName(views[1]).unionByName(event)
