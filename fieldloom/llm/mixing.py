@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.ranks import spread_rank
+from fieldloom.llm.ranks import rank_by_share, spread_rank
 
 #: Passes of a row that are made at once.
 PASSES = 1024
@@ -71,7 +71,7 @@ def demand(counts: dict, parts: dict, block_rows: int) -> tuple[int, int]:
 
 def mix_passes(
     docs: DataFrame, parts: dict[str, int], block_rows: int, rest_parts: int = 1, id_column: str = "doc_id", source_column: str = "source",
-    also: tuple[str, ...] = (),
+    also: tuple[str, ...] = (), order: tuple[str, str] | None = None,
 ) -> DataFrame:
     """The mix at its target weights to the end.
 
@@ -82,11 +82,12 @@ def mix_passes(
     period, and after any row in the order of (slot, place) each source is less than one block from its target. Blocks
     hold `block_rows` rows at most, and all hold equally many. Rows of all other sources, also of null, count as one
     source of `rest_parts` parts; sources without rows get no slots. Within a source rows are taken in the order of
-    md5(doc_id), then of doc_id and `also`. An empty table gives no rows.
+    md5(doc_id), then of doc_id and `also`; or, if given, in the `order` of two columns, the first of which parts the rows
+    into shares of bounded size. An empty table gives no rows.
     """
     spark, rest = docs.sparkSession, len(parts)
     number = {s: i for i, s in enumerate(sorted(parts))}
-    listed = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), *also)
+    listed = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), *also, *(order or ()))
     known = spark.sql(f"SELECT * FROM VALUES {', '.join(f'({_text(s)}, {i})' for s, i in number.items())} AS t(_of, _known)") if parts else None
     grouped = listed.withColumn("_group", F.lit(rest))
     if parts:
@@ -96,7 +97,10 @@ def mix_passes(
     weights = {i: parts[s] for s, i in number.items() if i in counts} | ({rest: rest_parts} if rest in counts else {})
     total = sum(weights.values())
     periods, size = demand(counts, weights, block_rows) if counts else (1, 1)
-    ranked = spread_rank(grouped, ["_group"], F.col("doc_id"), ["doc_id", *also], sum(counts.values()), "_rank")
+    if order is None:
+        ranked = spread_rank(grouped, ["_group"], F.col("doc_id"), ["doc_id", *also], sum(counts.values()), "_rank")
+    else:
+        ranked = rank_by_share(grouped, ["_group"], order[0], [order[1]], "_rank")
     shares = ", ".join(f"({g}, {n}L, {weights[g]}L, {periods * weights[g] * size}L)" for g, n in counts.items()) or "(-1, 1L, 1L, 0L)"
     sized = ranked.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {shares} AS t(_g, _n, _parts, _quota)")), F.col("_group") == F.col("_g"))
     sized = sized.withColumn("_last", F.expr("(_quota - _rank - 1) div _n"))

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,27 +70,46 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix whose scarce sources go round again, so that the target weights hold to its end."""
+    return mixing.mix_passes(table(spark, folder, "documents"), PARTS, BLOCK_ROWS)
+
+
+def mixing_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix that sends every row once; its weights hold until the first source has run out."""
     docs = table(spark, folder, "documents")
     return mixing.mix(docs, PARTS, BLOCK_ROWS, docs.count())
 
 
-def op4_mixing_passes(spark: SparkSession, folder: str) -> DataFrame:
-    """The mix whose scarce sources go round again, at the target weights to its end."""
-    return mixing.mix_passes(table(spark, folder, "documents"), PARTS, BLOCK_ROWS)
+def with_places(docs: DataFrame) -> DataFrame:
+    """The documents with the file and the row they were read from (_file, _line), files in the order they were written.
+
+    Rows of a frame that is read from no files are numbered as they come.
+    """
+    try:
+        name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        # Task numbers are padded, so that they sort as numbers whatever their length.
+        number = F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 10, "0")
+        return docs.select("*", F.concat(number, name).alias("_file"), row.alias("_line"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        numbered = docs.withColumn("_at", at)
+        return numbered.select(*docs.columns, F.lpad(F.shiftright("_at", 33).cast("string"), 10, "0").alias("_file"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_line"))
 
 
 def mixed_sequences(docs: DataFrame) -> DataFrame:
-    """The pieces of the mix in its order, each period of the schedule packed by itself: its sequences have the target weights.
+    """The pieces of the documents as their order mixes them, each period of the schedule packed by itself.
 
-    One row per piece and pass; slot and place are those of its document.
+    Sources take turns by their target weights, each sends its documents in the order of `docs`, and scarce sources go round
+    again: so the sequences of every period have the target weights. One row per piece and pass; slot and place are those of
+    its document.
     """
-    numbered = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("_text_row"))
-    pieces = packing.token_pieces(numbered, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, PACK_END, also=("source", "_text_row"))
-    pieces = materialize(pieces.select("_text_row", "doc_id", "source", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "digest")
+    numbered = with_places(docs).select("doc_id", "source", "text", "_file", "_line")
+    pieces = packing.token_pieces(numbered, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, PACK_END, also=("source", "_file", "_line"))
+    pieces = materialize(pieces.select("_file", "_line", "doc_id", "source", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "digest")
     # Each row of docs has one piece 0; from here on no text is read.
-    order = mixing.mix_passes(pieces.where("piece = 0"), PARTS, BLOCK_ROWS, also=("_text_row",))
-    order = order.select(F.col("_text_row").alias("_of"), "pass", "period", "slot", "place")
-    runs = pieces.join(order, F.col("_text_row") == F.col("_of")).drop("_text_row", "_of")
+    order = mixing.mix_passes(pieces.where("piece = 0"), PARTS, BLOCK_ROWS, also=("_file", "_line"), order=("_file", "_line"))
+    order = order.select(F.col("_file").alias("_of"), F.col("_line").alias("_at"), "pass", "period", "slot", "place")
+    runs = pieces.join(order, (F.col("_file") == F.col("_of")) & (F.col("_line") == F.col("_at"))).drop("_file", "_line", "_of", "_at")
     packed = packing.pack_runs(runs, CAPACITY, "period", ("slot", "place", "piece"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "source", "pass", "slot", "place")
 
@@ -191,8 +211,8 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_quality, op3_packing, op4_mixing, op4_mixing_passes, op5_token_files, op6_license_scan, op7_simhash, op8_line_rules,
-        op9_exact_dedup, op10_toxicity, op11_conversation_repair, op12_warc, op13_periodic_runs,
+        op1_url_filter, op2_quality, op3_packing, op4_mixing, op5_token_files, op6_license_scan, op7_simhash, op8_line_rules,
+        op9_exact_dedup, op10_toxicity, op11_conversation_repair, op12_warc, op13_periodic_runs, mixing_once,
     )
 }
 
@@ -231,6 +251,32 @@ CHECKS: dict[str, str] = {
         FROM ruled
     """,
     "op4_mixing": """
+        WITH RECURSIVE parts AS (
+            SELECT 'src' || n AS source, CASE WHEN n = 0 THEN 6 ELSE 1 END AS parts, row_number() OVER (ORDER BY 'src' || n) - 1 AS g FROM range(20) t(n)
+        ), grouped AS (SELECT doc_id, d.source, coalesce(g, 20) AS g, coalesce(parts, 1) AS parts FROM documents d LEFT JOIN parts p ON p.source = d.source), counts AS (
+            SELECT g, any_value(parts) AS parts, count(*) AS n FROM grouped GROUP BY g
+        ), demand AS (SELECT max((n + 64 * parts - 1) // (64 * parts)) AS periods, sum(parts)::BIGINT AS total FROM counts), sizes AS (
+            SELECT periods, total, max((n + periods * parts - 1) // (periods * parts)) AS size FROM counts, demand GROUP BY periods, total
+        ), windows AS (
+            SELECT row_number() OVER (ORDER BY (total * (k + 1) + parts - 1) // parts, g, k) AS urgency, g, k, total * k // parts AS release
+            FROM counts, sizes, range(6) t(k) WHERE k < parts
+        ), period AS (
+            SELECT 0 AS slot, (SELECT min(urgency) FROM windows WHERE release <= 0) AS urgency, [(SELECT min(urgency) FROM windows WHERE release <= 0)] AS sent
+            UNION ALL
+            SELECT slot + 1, next, list_append(sent, next) FROM (
+                SELECT p.slot, p.sent, min(w.urgency) AS next FROM period p, windows w, sizes
+                WHERE p.slot < total - 1 AND w.release <= p.slot + 1 AND NOT list_contains(p.sent, w.urgency) GROUP BY p.slot, p.sent
+            )
+        ), ranked AS (
+            SELECT doc_id, source, g, parts, row_number() OVER (PARTITION BY g ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM grouped
+        ), passed AS (
+            SELECT doc_id, source, g, r.parts, r, n, unnest(range((periods * r.parts * size - r - 1) // n + 1)) AS pass, total, size FROM ranked r JOIN counts c USING (g), sizes
+        ), blocked AS (SELECT *, (r + pass * n) // size AS block, (r + pass * n) % size AS place FROM passed)
+        SELECT doc_id, source, pass, block, block // parts AS period, block * total // parts AS release, ((block + 1) * total + parts - 1) // parts AS deadline,
+            block // parts * total + slot AS slot, place
+        FROM blocked b JOIN (windows JOIN period USING (urgency)) w ON w.g = b.g AND w.k = b.block % b.parts
+    """,
+    "mixing_once": """
         WITH RECURSIVE parts AS (
             SELECT 'src' || n AS source, CASE WHEN n = 0 THEN 6 ELSE 1 END AS parts FROM range(20) t(n)
         ), windows AS (

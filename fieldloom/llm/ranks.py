@@ -23,12 +23,20 @@ def spread_rank(df: DataFrame, groups: list[str], key: Column, ties: list[str],
     keyed = df.withColumn("_md5", F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))).withColumn(
         "_share", F.substring("_md5", 1, digits)
     )
-    counts = keyed.groupBy(*groups, "_share").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*groups, "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*groups, "_share").orderBy("_md5", *ties)
-    ranked = keyed.withColumn("_row", F.row_number().over(within))
-    same = [ranked[c].eqNullSafe(starts[c]) for c in [*groups, "_share"]]
+    return rank_by_share(keyed, groups, "_share", ["_md5", *ties], name).select(*df.columns, name)
+
+
+def rank_by_share(df: DataFrame, groups: list[str], share: str, order: list[str], name: str) -> DataFrame:
+    """Add `name`: the rank from 0 of each row within its group, in the order of `share`, then of `order`.
+
+    A task ranks one share of one group; shares must be of bounded size. `df` is read twice. No column may be named `_row`.
+    """
+    counts = df.groupBy(*groups, share).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy(share).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, share, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*groups, share).orderBy(*order)
+    ranked = df.withColumn("_row", F.row_number().over(within))
+    same = [ranked[c].eqNullSafe(starts[c]) for c in [*groups, share]]
     on = same[0]
     for one in same[1:]:
         on = on & one

@@ -48,11 +48,12 @@ def test_weights_hold_after_every_row(spark, sizes, passes, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(entry_points.SMALL), reason="needs the test tables")
-def test_packed_rows_follow_the_schedule(spark, monkeypatch):
+def test_packed_rows_follow_the_schedule(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(queries, "BLOCK_ROWS", 2)
     docs = queries.table(spark, entry_points.SMALL, "documents")
     odd = [(None, None, None, None, None), (None, None, None, None, None), (3, "an id that is there", "en", "src1", 0)]
-    docs = docs.union(spark.createDataFrame(odd, docs.schema)).localCheckpoint()
+    docs.union(spark.createDataFrame(odd, docs.schema)).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     got = corpus_pipeline.packed_documents(spark, docs, entry_points.SMALL).collect()
     weights = queries.PARTS | {None: 1}
     total = sum(weights.values())
@@ -74,3 +75,51 @@ def test_packed_rows_follow_the_schedule(spark, monkeypatch):
     assert once == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in want)
     firsts = [min((r.slot, r.place) for r in sequences[i]) for i in range(len(sequences))]
     assert firsts == sorted(firsts)
+
+
+def test_packing_takes_each_source_in_the_order_of_its_files(spark, tmp_path):
+    rows = [(n * 37 % 500, f"text {n}", "en", f"src{n % 3}", 9) for n in range(500)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, order in (("up", "doc_id"), ("down", "-doc_id")):
+        spark.createDataFrame(rows, schema).selectExpr("*", f"{order} AS o").repartitionByRange(12, "o").sortWithinPartitions("o").drop("o").write.parquet(str(tmp_path / name))
+    found = {}
+    for name in ("up", "down"):
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = queries.mixed_sequences(docs).where("pass = 0").collect()
+        found[name] = sorted(map(str, got))
+        for source in {r.source for r in got}:
+            sent = [r.doc_id for r in sorted((r for r in got if r.source == source), key=lambda r: (r.slot, r.place))]
+            assert sent == sorted(sent, reverse=name == "down")
+    assert found["up"] != found["down"]
+
+
+@pytest.mark.skipif(not os.path.isdir(entry_points.SMALL), reason="needs the test tables")
+def test_every_stage_changes_the_rows(spark, tmp_path):
+    docs = queries.table(spark, entry_points.SMALL, "documents")
+    long = docs.where("n_chars > 900 and n_chars < 4000").orderBy("doc_id").limit(4).collect()
+    more = [(10_000 + i, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(long)] + [(20_000 + i, r.text + " ", r.lang, r.source, r.n_chars) for i, r in enumerate(long)]
+    docs.union(spark.createDataFrame(more, docs.schema)).write.parquet(str(tmp_path / "start"))
+
+    def through(names, at):
+        for name in names:
+            frame = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(at), entry_points.SMALL)
+            at = f"{at}-{name}"
+            if not os.path.isdir(at):
+                frame.write.parquet(at)
+        return at
+
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    rows = lambda at: sorted(str(r) for r in spark.read.parquet(at).drop("sequence_id").collect())
+    whole = rows(through(names, str(tmp_path / "start")))
+    for left_out in names[:-1]:
+        assert rows(through([n for n in names if n != left_out], str(tmp_path / "start"))) != whole, left_out
+
+
+def test_exact_copies_leave_one_row(spark):
+    rows = [(1, "a", "en", "s", 1), (1, "a", "de", "t", 1), (2, "a", "en", "s", 1), (2, "a", "en", "s", 1), (None, "b", "en", "s", 1), (None, "b", "en", "s", 1),
+            (3, None, "en", "s", 0), (3, "", "fr", "s", 0), (4, "c", "en", "s", 1), (4, "d", "en", "s", 1), (None, "c", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.distinct_documents(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "b"), (2, "a"), (3, ""), (4, "c"), (4, "d")]
+    assert corpus_pipeline.distinct_documents(spark, docs.limit(0), "").count() == 0
