@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from fieldloom.llm import conversation_repair, exact_dedup, license_scan, line_rules, mixing, packing, periodic_runs, quality_model, simhash, token_files, toxicity, url_filter, warc
 from fieldloom.session import materialize, shared_folder
 
-#: Fixed: rules of hosts and paths, and hosts listed as spam.
+#: Fixed: rules of hosts and paths. Names listed as spam, each under all the endings listed.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-SPAM = ["casino-win.example.net/", "casino-win.example.com/", "spam-farm.example.org/", "spam-farm.example.net/"]
+SPAM_NAMES = ["casino-win", "spam-farm", "free-bets", "cheap-pills", "ads-track", "adult-x"]
+ENDINGS = ["com", "net", "org", "info", "biz"]
+SPAM = [f"{name}.example.{ending}/" for name in SPAM_NAMES for ending in ENDINGS]
 #: Tokens of a sequence, and the ids that end a document.
 CAPACITY, PACK_END, FILE_END = 2048, 0, 1
 #: Scores from which a text counts as good, and as toxic.
@@ -236,8 +238,7 @@ CHECKS: dict[str, str] = {
                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
             FROM pages
         ), dotted AS (SELECT *, '.' || host AS h FROM cut), ruled AS (
-            SELECT page_id, host, path, ends_with(h, '.casino-win.example.net') OR ends_with(h, '.casino-win.example.com')
-                    OR ends_with(h, '.spam-farm.example.org') OR ends_with(h, '.spam-farm.example.net') AS spam,
+            SELECT page_id, host, path, regexp_matches(h, '\\.(casino-win|spam-farm|free-bets|cheap-pills|ads-track|adult-x)\\.example\\.(com|net|org|info|biz)\\z') AS spam,
                 CASE WHEN ends_with(h, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
                     WHEN ends_with(h, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
                     WHEN ends_with(h, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'

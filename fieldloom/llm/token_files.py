@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.places import opened, qualified
 from fieldloom.llm.tokens import encoder, packed
 
 #: Ids of a frame at most, but for a single document's rest: 1 MB.
@@ -35,10 +36,8 @@ FRAME_IDS = 1 << 18
 #: Fixed: magic numbers of the zstandard seekable format, the descriptor for checksums, and a skippable frame's.
 SEEK_FRAME, SEEK_MAGIC, CHECKSUMS, INDEX_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x80, 0x184D2A50
 LEVEL = 3
-
-
-def _place(folder: str) -> tuple[arrow_fs.FileSystem, str]:
-    return arrow_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (arrow_fs.LocalFileSystem(), folder)
+#: Characters of a text by which rows of one id are dealt over tasks.
+PREFIX = 64
 
 
 def _skippable(magic: int, payload: bytes) -> bytes:
@@ -134,15 +133,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Encode all documents and write them in ascending id order; (file number, documents, ids) of each file, in order.
 
     Null ids come first; rows of one id are ordered by text. Null text counts as empty, and each document ends with
-    `end_id`. Texts are encoded whole. Other columns are not read. An empty table writes no file.
+    `end_id`. Texts are encoded whole. Other columns are not read. An empty table writes no file. The folder is a new one;
+    what lost attempts of a task leave there is removed in the end.
     """
-    end = packed([end_id])
+    spark, end = docs.sparkSession, packed([end_id])
+    folder = qualified(spark, folder)
 
     def write(batches):
         encode, place, shard = encoder(tokenizer).encode, None, TaskContext.get().partitionId()
         for batch in batches:
             if place is None and batch.num_rows:
-                files, path = _place(folder)
+                files, path = opened(folder)
                 files.create_dir(path, recursive=True)
                 place = f"{path}/.{uuid.uuid4().hex}"
                 out = files.open_output_stream(place, compression=None)
@@ -161,13 +162,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in row], ["file", "documents", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(tuple(r) for r in ordered.mapInArrow(write, "file long, documents long, ids long").collect())
+    # Texts that begin alike go on beside each other, so that many rows of one id, or without id, are dealt over tasks.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
+    written = sorted(tuple(r) for r in ordered.mapInArrow(write, "file long, documents long, ids long").collect())
+    files, path = opened(folder)
+    for left in files.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True)):
+        if left.base_name.startswith("."):
+            files.delete_file(left.path)
+    return written
 
 
 def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, int, int]], wanted: set[int] | None = None) -> DataFrame:
     """(doc_id, start, ids) of all documents, or of the wanted ones; start is the number of ids before, in all files."""
-    before, listed = 0, []
+    before, listed, folder = 0, [], qualified(spark, folder)
     for number, _, ids in files:
         listed.append((number, before))
         before += ids
@@ -175,7 +182,7 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, in
     def read(batches):
         for batch in batches:
             for number, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place, path = _place(folder)
+                place, path = opened(folder)
                 with place.open_input_file(f"{path}/{number:08d}.ids.zst") as source:
                     rows, size = [], 0
                     for _, doc_id, start, ids in FrameReader(source).read(wanted):
@@ -187,7 +194,7 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, in
                     yield _batch(rows)
 
     table = spark.createDataFrame(listed, "file long, before long")
-    return table.repartition(max(1, len(listed)), "file").mapInArrow(read, "doc_id long, start long, ids binary")
+    return table.repartitionByRange(max(1, len(listed)), "file").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

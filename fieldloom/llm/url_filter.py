@@ -49,10 +49,12 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.groupBy(F.expr(_block("entry", blocks)).alias("_block")).agg(*bits)
 
 
-def candidates(sites: DataFrame, lengths: list[int]) -> DataFrame:
-    """All entries that may fit each (host, path), for lists whose paths have these lengths."""
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(sites: DataFrame, lengths: list[int], labels: int) -> DataFrame:
+    """All entries that may fit each (host, path), for lists whose paths have these lengths and whose hosts at most so many labels.
+
+    So a host has at most `labels` suffixes, however many labels it has itself.
+    """
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i)))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("path"))
     hosts = sites.where("host != ''").withColumn("_suffix", F.explode(suffixes))
     return hosts.withColumn("_size", F.explode(sizes)).select("host", "path", F.expr("concat(_suffix, substr(path, 1, _size))").alias("_candidate"))
@@ -69,7 +71,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", id_c
     listed = listed.where("entry is not null and instr(entry, '/') > 1").groupBy("entry").agg(F.min(F.struct("kind", "verdict")).alias("_v"))
     listed = materialize(listed.select("entry", "_v.kind", "_v.verdict"), "listed")
     n = listed.count()
-    lengths = [r[0] for r in listed.select(F.expr("char_length(entry) - instr(entry, '/') + 1").alias("n")).distinct().collect()]
+    # One row per length that paths of the list have.
+    shapes = listed.select(F.expr("char_length(entry) - instr(entry, '/') + 1").alias("n"), F.size(F.split(F.substring_index("entry", "/", 1), r"\.", -1)).alias("labels"))
+    found = shapes.groupBy("n").agg(F.max("labels")).collect()
+    lengths, labels = [r[0] for r in found], max((r[1] for r in found), default=1)
     host, path = host_and_path(F.col(url_column))
     judged = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
     sites = judged.select("host", "path").distinct()
@@ -77,7 +82,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", id_c
     bloom = bloom_blocks(listed, blocks)
     if blocks <= FILTER_BLOCKS:
         bloom = F.broadcast(bloom)
-    tried = candidates(sites, sorted(lengths) or [1])
+    tried = candidates(sites, sorted(lengths) or [1], labels)
     hit = F.expr(f"_block = {_block('_candidate', blocks)}")
     for word in range(4):
         hit = hit & F.expr(f"(_w{word} & {_bit('_candidate', word)}) != 0")

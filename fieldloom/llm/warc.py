@@ -34,6 +34,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from fieldloom.llm.places import opened, qualified
 from fieldloom.session import materialize
 
 #: Columns read from a record's own header, with the fixed names of its fields.
@@ -58,18 +59,6 @@ BATCH_BYTES = 4 << 20
 LEVEL = 6
 
 
-def opened(folder: str) -> tuple[arrow_fs.FileSystem, str]:
-    """The file system and the path on it; `folder` has a scheme."""
-    return arrow_fs.FileSystem.from_uri(folder)
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder as Spark resolves it, with the scheme of its file system, so that executors and Spark mean one place."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
-    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
-
-
 # ---- reading ----
 
 
