@@ -1,6 +1,8 @@
 """Every query of the workbench on the smallest tables against its check SQL."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -34,3 +36,10 @@ def test_query(spark, database, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 200
+
+
+def test_core_is_registered_without_the_optional_packages():
+    """In a process of its own, where a package that only the optional part needs cannot be imported."""
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), sorted(set(e.queries()) ^ set(e.oracle_sql())))"
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry_points.__file__), check=True)
+    assert done.stdout.strip() == f"{len(QUERIES)} []"
