@@ -49,6 +49,19 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.groupBy(F.expr(_block("entry", blocks)).alias("_block")).agg(*bits)
 
 
+def may_be_listed(df: DataFrame, column: str, listed: DataFrame, out: str) -> DataFrame:
+    """Add `out`: whether the filter may hold the value of a column that is never null; false for sure where it is not listed.
+
+    The filter has FILTER_BLOCKS blocks at most and is broadcast: with more entries than those are made for more rows pass.
+    """
+    blocks = max(1, min(FILTER_BLOCKS, -(-listed.count() // BLOCK_ENTRIES)))
+    hit = F.expr(f"_block = {_block(column, blocks)}")
+    for word in range(4):
+        hit = hit & F.expr(f"(_w{word} & {_bit(column, word)}) != 0")
+    bloom = materialize(bloom_blocks(listed, blocks), "filter")
+    return df.join(F.broadcast(bloom), hit, "left").select(*[df[c] for c in df.columns], F.col("_block").isNotNull().alias(out))
+
+
 def candidates(sites: DataFrame, lengths: list[int], labels: int) -> DataFrame:
     """All entries that may fit each (host, path), for lists whose paths have these lengths and whose hosts at most so many labels.
 
