@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ def discover_columns(spark: SparkSession, tables: dict[tuple[Platform, str], Dat
 
 #: Tables whose figures one plan works out.
 TABLES_PER_PLAN = 40
+#: What a job that reads a broken table raises.
+FAILURES = (PySparkException, Py4JJavaError)
 
 
 def _value(name: str, kind: str) -> Column:
@@ -70,12 +73,12 @@ def profile_columns(spark: SparkSession, tables: dict[tuple[Platform, str], Data
         group = items[at : at + TABLES_PER_PLAN]
         try:
             done.append(materialize(reduce(DataFrame.unionByName, [_figures(p, n, df) for (p, n), df in group]), "columns"))
-        except PySparkException:
+        except FAILURES:
             for (platform, name), df in group:
                 try:
                     done.append(materialize(_figures(platform, name, df), "columns"))
-                except PySparkException as exc:
-                    log.warning("skipping %s of %s: %s", name, platform.id, exc)
+                except FAILURES as exc:
+                    log.warning("skipping %s of %s: %s", name, platform.id, str(exc).partition("\n")[0])
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], empty)
 
 

@@ -129,11 +129,13 @@ def test_written_frames_can_be_dropped(spark):
     assert not any(p.exists() for p in paths)
 
 
-def test_columns_with_figures(spark, seeds):
+def test_columns_with_figures(spark, seeds, tmp_path):
     a, b = Platform("a", "A"), Platform("b", "B")
     odd = spark.createDataFrame([(1, "x", [1.5], None), (1, "y", [1.5], None), (None, "", None, None)], "`n``1` int, s string, l array<double>, e string")
     gone = spark.range(1).withColumn("x", F.expr("raise_error('unreadable')").cast("string"))
-    found = discovery.profile_columns(spark, {(a, "odd"): odd, (a, "empty"): odd.limit(0), (b, "gone"): gone})
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 no table PAR1")
+    broken = spark.read.schema("x int").parquet(str(tmp_path / "broken.parquet"))
+    found = discovery.profile_columns(spark, {(a, "odd"): odd, (a, "empty"): odd.limit(0), (b, "gone"): gone, (b, "broken"): broken})
     got = {(r.source_table, r.column_name): (r.platform_id, r.data_type, r.rows, r.nulls, r.distinct_values) for r in found.collect()}
     assert got == {
         ("odd", "n`1"): ("a", "int", 3, 1, 1), ("odd", "s"): ("a", "string", 3, 0, 3), ("odd", "l"): ("a", "array<double>", 3, 1, 1),
