@@ -63,10 +63,14 @@ def conform_plan(
     )
 
 
+def _named(linked: DataFrame, fields: DataFrame) -> DataFrame:
+    named = one_per_field(fields).filter(text("canonical_name") != "")
+    return linked.filter(text("column_name") != "").join(named, "canonical_id")
+
+
 def rename_pairs(approved: DataFrame, source: DataFrame, fields: DataFrame) -> DataFrame:
     """One row per mapping that renames a column of a table; of a repeated field id the last name counts."""
-    named = one_per_field(fields).filter(text("canonical_name") != "")
-    return _table_links(approved, source).filter(text("column_name") != "").join(named, "canonical_id")
+    return _named(_table_links(approved, source), fields)
 
 
 def rename_text(
@@ -76,11 +80,13 @@ def rename_text(
 
     Preview only: publishing selects columns and runs no such text.
     """
-    pairs = rename_pairs(approved, source, fields)
+    linked = _dated(_table_links(approved, source), approved)
+    linked = materialize(linked.select("canonical_id", "mapping_id", "_newest", "platform_id", "source_table", "column_name"), "links")
+    pairs = _named(linked, fields)
     item = F.concat(F.lit("    `"), "column_name", F.lit("` AS `"), "canonical_name", F.lit("`"))
-    pages = ordered_pages(pairs, ["source_table"], mapping_order(approved), item, page_size, "items")
+    pages = ordered_pages(pairs, ["source_table"], ["_newest", "mapping_id"], item, page_size, "items", sizes=linked.select("source_table"))
     ends = pages.groupBy("source_table").agg(F.max("page").alias("last"))
-    owner = _dated(_table_links(approved, source), approved).groupBy("source_table").agg(_owner())
+    owner = linked.groupBy("source_table").agg(_owner())
     view = F.concat(F.lit(f"{gold}."), F.col("platform_id").cast("string"), F.lit("__"), leaf_name("source_table"))
     head = F.concat(F.lit("CREATE OR REPLACE VIEW "), view, F.lit(" AS\nSELECT\n"))
     tail = F.concat(F.lit("\nFROM "), "source_table")
