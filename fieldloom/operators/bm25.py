@@ -55,20 +55,37 @@ def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, content, tokens): the tokens of every text and a digest that equal bags of tokens share."""
     tokens = df.select(F.col(id_col), F.sort_array(tokenize(text_col)).alias("tokens"))
     # Tokens hold no blank, so the joined text tells bags apart.
-    return tokens.select(id_col, F.sha2(F.array_join("tokens", " "), 256).alias("content"), "tokens")
+    return tokens.select(id_col, F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("content"), "tokens")
 
 
 def sizes_of(tokens: DataFrame, id_col: str) -> tuple[int, int]:
     """Rows and tokens in all; the ids name rows and must not repeat."""
-    rows, ids, total = tokens.agg(F.count("*"), F.count_distinct(id_col), F.sum(F.size("tokens"))).first()
+    hashed = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    rows, ids, total = tokens.agg(F.count("*"), F.count_distinct(hashed), F.sum(F.size("tokens"))).first()
+    # Hashes are shuffled instead of ids; where two are equal the ids decide.
+    if rows != ids:
+        ids = tokens.agg(F.count_distinct(id_col)).first()[0]
     if rows != ids:
         raise ValueError(f"{id_col} is not unique: {rows} rows, {ids} ids")
     return rows, total or 0
 
 
-def _distinct_bags(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
-    """(content, name, copies): each bag of tokens once, named by the smallest id that has it."""
-    return tokens.groupBy("content").agg(F.min(id_col).alias(name), F.count("*").alias("copies"))
+def distinct_bags(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
+    """(content, name, copies, tokens): each bag of tokens once, named by the smallest id that has it."""
+    return tokens.groupBy("content").agg(F.min(id_col).alias(name), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
+
+
+def term_counts(bags: DataFrame, *columns) -> DataFrame:
+    """(columns, term, tf): how often each row's tokens, which are in order, hold each term.
+
+    Counted within the row, so that nothing is gathered or shuffled: a term's tokens run from one start to the next.
+    """
+    # The tokens and the starts are bound once by a transform over one element.
+    starts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: ~F.get(t, i).eqNullSafe(F.get(t, i - 1)))
+    found = lambda b: F.transform(b.starts, lambda s, n: F.struct(
+        F.get(b.tokens, s).alias("term"), (F.coalesce(F.get(b.starts, n + 1), F.size(b.tokens)) - s).cast("long").alias("tf")))
+    started = F.transform(F.array("tokens"), lambda t: F.struct(t.alias("tokens"), starts(t).alias("starts")))
+    return bags.filter(F.size("tokens") > 0).select(*columns, F.inline(F.flatten(F.transform(started, found))))
 
 
 def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
@@ -80,18 +97,13 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
 
 def _written_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     tokens = materialize(tokens_of(docs, doc_id, text_col), "bm25-tokens")
-    named = _distinct_bags(tokens, doc_id, "bag")
-    members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content")
-    members = materialize(members.select("bag", "doc_id"), "bm25-members")
-    bags = tokens.select(F.col(doc_id).alias("bag"), "tokens").join(named.select("bag", "copies"), "bag")
+    named = materialize(distinct_bags(tokens, doc_id, "bag"), "bm25-bags")
+    # Joined where a search asks for the members of some bags, not here for all.
+    members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content").select("bag", "doc_id")
     length = F.size("tokens")
     n_docs, n_tokens = sizes_of(tokens, doc_id)
     norm = K1 * (1 - B + B * length / F.lit((n_tokens or 1) / (n_docs or 1)))
-    counts = (
-        bags.select("bag", "copies", norm.alias("norm"), F.explode("tokens").alias("term"))
-        .groupBy("bag", "term", "copies", "norm")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = term_counts(named, "bag", "copies", norm.alias("norm"))
     postings = materialize(
         counts.select("bag", "term", "copies", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("impact")), "bm25-postings"
     )
@@ -165,7 +177,7 @@ def search_bags(queries: DataFrame, index: Index, k: int, direct_reads: int = DI
 
     `queries` has (query, tokens), each query once.
     """
-    counts = queries.select("query", F.explode("tokens").alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    counts = term_counts(queries, "query").withColumnRenamed("tf", "qtf")
     weight = F.col("qtf") * F.col("idf") * (K1 + 1)
     weighted = materialize(
         counts.join(index.terms, "term").select(
@@ -249,9 +261,8 @@ def bm25_search(queries: DataFrame, query_id: str, query_col: str, index: Index,
     asked = tokens_of(queries.select(query_id, query_col), query_id, query_col).filter(F.size("tokens") > 0)
     asked = materialize(asked, "bm25-asked")
     sizes_of(asked, query_id)
-    named = _distinct_bags(asked, query_id, "query")
-    once = asked.withColumnRenamed(query_id, "query").join(named.select("query"), "query", "left_semi")
-    scored = search_bags(once.select("query", "tokens"), index, k, direct_reads)
+    named = materialize(distinct_bags(asked, query_id, "query"), "bm25-distinct")
+    scored = search_bags(named.select("query", "tokens"), index, k, direct_reads)
     scored = scored.withColumn("_score", F.round("score", 9)).filter("_score > 0")
     # The k best bags, ties by their first document, hold the k best documents.
     best = materialize(top_k(scored, ["query"], [F.desc("_score"), F.asc("bag")], k, "_place"), "bm25-best")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.bm25 import B, K1, Index, sizes_of, tokens_of, weighted_terms
+from fieldloom.operators.bm25 import B, K1, Index, distinct_bags, sizes_of, term_counts, tokens_of, weighted_terms
 from fieldloom.session import materialize
 
 PARTS = ("members", "postings", "terms", "sizes")
@@ -45,12 +45,10 @@ class GrowingIndex:
             again = self._read("members").join(tokens.select("doc_id"), "doc_id", "left_semi").count()
             if again:
                 raise ValueError(f"{again} documents are indexed already")
-        named = tokens.groupBy("content").agg(F.min("doc_id").alias("bag"), F.count("*").alias("copies"))
+        named = materialize(distinct_bags(tokens, "doc_id", "bag"), "segment-bags")
         place = f"{self.folder}/segment-{len(self.segments()):06d}-{uuid.uuid4().hex}"
         tokens.select("content", "doc_id").join(named.select("content", "bag"), "content").select("bag", "doc_id").write.parquet(f"{place}/members")
-        bags = tokens.select(F.col("doc_id").alias("bag"), "tokens").join(named.select("bag", "copies"), "bag")
-        counts = bags.select("bag", "copies", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("bag", "term", "copies", "length")
-        counts.agg(F.count("*").alias("tf")).write.parquet(f"{place}/postings")
+        term_counts(named, "bag", "copies", F.size("tokens").alias("length")).write.parquet(f"{place}/postings")
         found = self.spark.read.parquet(f"{place}/postings").groupBy("term")
         found.agg(
             F.sum("copies").alias("documents"), F.count("*").alias("bags"), F.max("tf").alias("most"), F.min("length").alias("shortest")
