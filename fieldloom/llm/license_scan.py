@@ -73,6 +73,20 @@ def _key(id_column: str, text_column: str) -> list[Column]:
     return [F.col(id_column).alias("doc_id"), F.xxhash64(F.coalesce(text_column, F.lit(""))).alias("text_hash")]
 
 
+def scanned(docs: DataFrame, grams: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Each row's doc_id, text_hash, number of words and hits: the places whose rolling hash is that of a template's gram.
+
+    Written, so that the words are cut and hashed once, for counts and spans alike.
+    """
+    listed = [r[0] for r in grams.select("_hash").distinct().collect()]
+    # The words are bound once by a transform over one element.
+    hit = lambda w, i: F.xxhash64(*[F.get(w, i + n) for n in range(K)]).isin(listed)
+    rolling = lambda w: F.when(F.size(w) >= K, F.filter(F.sequence(F.lit(0), F.size(w) - K), lambda i: hit(w, i)))
+    gram = lambda w: F.transform(rolling(w), lambda i: F.struct(i.alias("_pos"), F.slice(w, i + 1, K).alias("_gram")))
+    found = F.transform(F.array(words_of(F.col(text_column))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), gram(w).alias("hits")))
+    return materialize(docs.select(*_key(id_column, text_column), F.inline(found)), "scanned")
+
+
 def license_spans(docs: DataFrame, templates: list[Template] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The verified spans of each text: doc_id, text_hash, label, base, first_word, last_word, covered.
 
@@ -81,18 +95,20 @@ def license_spans(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col
     spans. A row of `docs` that is repeated has its spans once. Whole texts are scanned, at any length.
     """
     grams = template_grams(docs.sparkSession, templates)
-    hashes = "xxhash64(" + ", ".join(f"_words[i + {n}]" for n in range(K)) + ")"
-    texts = docs.select(*_key(id_column, text_column), words_of(F.col(text_column)).alias("_words"))
-    rolling = F.expr(f"CASE WHEN size(_words) >= {K} THEN transform(sequence(0, size(_words) - {K}), i -> {hashes}) END")
-    placed = texts.select("*", F.posexplode(rolling).alias("_pos", "_hash"))
-    found = placed.join(F.broadcast(grams), "_hash").where(F.expr(f"slice(_words, _pos + 1, {K}) = _gram"))
+    return _spans(scanned(docs, grams, id_column, text_column), grams, templates)
+
+
+def _spans(scan: DataFrame, grams: DataFrame, templates: list[Template]) -> DataFrame:
+    placed = scan.select("doc_id", "text_hash", F.inline("hits"))
+    # The hash has found the places, the words decide.
+    found = placed.join(F.broadcast(grams.drop("_hash")), "_gram")
     votes = found.groupBy("doc_id", "text_hash", "_template", (F.col("_pos") - F.col("_at")).alias("_diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, _at)")).alias("_mask"), F.min("_pos").alias("_first"), F.max("_pos").alias("_last")
     )
-    # Written, as two searches read it and the words should be hashed once.
+    # Written, as two searches read it.
     votes = materialize(votes, "votes")
     facts = ", ".join(f"({n}, '{t.label}', {str(t.base).lower()}, {len(t.words.split()) - K + 1})" for n, t in enumerate(templates))
-    listed = docs.sparkSession.sql(f"SELECT * FROM VALUES {facts} AS t(_template, label, base, _grams)")
+    listed = scan.sparkSession.sql(f"SELECT * FROM VALUES {facts} AS t(_template, label, base, _grams)")
     votes = votes.join(F.broadcast(listed), "_template")
     base = votes.where("base and bit_count(_mask) = _grams")
     in_order = Window.partitionBy("doc_id", "text_hash", "_template").orderBy("_diagonal")
@@ -112,7 +128,9 @@ def license_report(docs: DataFrame, templates: list[Template] = TEMPLATES, id_co
     score is the largest covered share of a span, 0 without one. Rows with null ids, repeated rows and texts without
     words are reported like any other; columns besides the two are not read.
     """
-    spans = license_spans(docs, templates, id_column, text_column)
+    grams = template_grams(docs.sparkSession, templates)
+    counted = scanned(docs, grams, id_column, text_column)
+    spans = _spans(counted, grams, templates)
     only = lambda c: F.when(F.col("base"), F.col(c))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy("doc_id", "text_hash").agg(
@@ -120,7 +138,6 @@ def license_report(docs: DataFrame, templates: list[Template] = TEMPLATES, id_co
         F.max(only("first_word")).alias("last_word"), joined(only("label")).alias("base_labels"),
         joined(F.col("label")).alias("labels"), F.max("covered").alias("score"),
     )
-    counted = docs.select(*_key(id_column, text_column), F.size(words_of(F.col(text_column))).cast("long").alias("n_words"))
     on = counted.doc_id.eqNullSafe(found.doc_id) & (counted.text_hash == found.text_hash)
     return counted.join(found, on, "left").select(
         counted.doc_id, "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
