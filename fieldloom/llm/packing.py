@@ -135,39 +135,42 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", key: Column |
 def pack_runs(pieces: DataFrame, capacity: int, run: str, order: tuple[str, ...]) -> DataFrame:
     """Pack the pieces of each run by themselves; sequences are numbered run after run, from 0 without gaps.
 
-    Within a run this is best fit as in `pack`, with pieces of equal length taken in `order`, and its sequences are
-    numbered in the order of their first piece. A run is packed by one task, so runs must be of bounded size, whatever
-    their number; `run` is a whole number from 0. A piece without tokens, or longer than `capacity`, is an error. An
-    empty input gives no rows. Adds `sequence_id` and `offset`; the other columns come along.
+    Within a run the steps are those of `pack`: the lengths are counted, the supersteps sweep over the counts, each run's in
+    a task that sees no piece, pieces of equal length are ranked in `order`, and the rank says which piece gets which gap.
+    A run's sequences are numbered in the order of their first piece; `order` tells the pieces of a run apart. `run` is a
+    whole number from 0. A piece without tokens, or longer than `capacity`, is an error. An empty input gives no rows. Adds
+    `sequence_id` and `offset`; the other columns come along.
     """
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*kept).schema) + ", _sequence long, offset long"
+    pieces = materialize(pieces.select(*kept), "pieces")
+    counts = pieces.groupBy(F.col(run).cast("long").alias("_run"), F.col("length").cast("long").alias("_length")).agg(F.count("*").alias("_n"))
 
-    def place(frame: pa.Table) -> pa.Table:
-        lengths = frame.column("length").to_pylist()
-        if min(lengths) < 1 or max(lengths) > capacity:
+    def sweep(lengths: pa.Table) -> pa.Table:
+        by = dict(zip(lengths.column("_length").to_pylist(), lengths.column("_n").to_pylist(), strict=True))
+        if min(by) < 1 or max(by) > capacity:
             raise ValueError(f"a piece without tokens or longer than {capacity}")
-        rows = frame.append_column("_row", pa.array(range(len(lengths)), pa.int64())).sort_by([(c, "ascending") for c in order])
-        by: dict[int, list[int]] = {}
-        rank = rows.column("_row").to_pylist()
-        for row in rank:
-            by.setdefault(lengths[row], []).append(row)
-        sequence, offset = [0] * len(lengths), [0] * len(lengths)
-        for p in best_fit({n: len(v) for n, v in by.items()}, capacity):
-            for i in range(p.pieces):
-                row = by[p.length][p.rank + i]
-                sequence[row], offset[row] = p.sequence + i // p.each, p.offset + i % p.each * p.length
-        first: dict[int, int] = {}
-        for row in rank:
-            first.setdefault(sequence[row], len(first))
-        return frame.append_column("_sequence", pa.array([first[s] for s in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-
-    local = materialize(pieces.select(*kept).groupBy(run).applyInArrow(place, schema), "runs")
+        placed = best_fit(by, capacity)
+        made = [pa.array([lengths.column("_run")[0].as_py()] * len(placed), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*placed, strict=True))]
+        return pa.Table.from_arrays(made, ["_run", "_length", "_first", "_pieces", "_sequence", "_each", "_offset"])
+
+    placements = counts.groupBy("_run").applyInArrow(sweep, "_run long, _length long, _first long, _pieces long, _sequence long, _each long, _offset long")
+    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy(run, "length").orderBy(*order)) - 1)
+    place = F.col("_rank") - F.col("_first")
+    on = (F.col(run) == F.col("_run")) & (F.col("length") == F.col("_length")) & (place >= 0) & (place < F.col("_pieces"))
+    local = ranked.join(placements, on).select(
+        *kept, (F.col("_sequence") + F.floor(place / F.col("_each"))).alias("_local"),
+        (F.col("_offset") + place % F.col("_each") * F.col("length")).cast("long").alias("offset"),
+    )
+    local = materialize(local, "runs")
+    # The sequences of a run by their first piece.
+    opened = local.groupBy(F.col(run).alias("_run"), F.col("_local").alias("_as")).agg(F.min(F.struct(*order)).alias("_at"))
+    opened = opened.select("_run", "_as", (F.row_number().over(Window.partitionBy("_run").orderBy("_at")) - 1).cast("long").alias("_number"))
     # Sums over lots of runs first, so that no task goes through all runs.
-    used = local.groupBy(F.col(run).alias("_run")).agg((F.max("_sequence") + 1).alias("_used")).withColumn("_lot", F.expr(f"_run div {LOT_RUNS}"))
+    used = opened.groupBy("_run").agg(F.count("*").alias("_used")).withColumn("_lot", F.expr(f"_run div {LOT_RUNS}"))
     lots = used.groupBy(F.col("_lot").alias("_of")).agg(F.sum("_used").alias("_all"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     lots = lots.select("_of", F.coalesce(F.sum("_all").over(before(Window.orderBy("_of"))), F.lit(0)).alias("_from"))
     within = F.coalesce(F.sum("_used").over(before(Window.partitionBy("_lot").orderBy("_run"))), F.lit(0))
-    starts = used.withColumn("_in", within).join(lots, F.col("_lot") == F.col("_of")).select("_run", (F.col("_from") + F.col("_in")).alias("_start"))
-    return local.join(starts, F.col(run) == F.col("_run")).select(*kept, (F.col("_start") + F.col("_sequence")).alias("sequence_id"), "offset")
+    starts = used.withColumn("_in", within).join(lots, F.col("_lot") == F.col("_of")).select(F.col("_run").alias("_in_run"), (F.col("_from") + F.col("_in")).alias("_start"))
+    numbered = opened.join(starts, F.col("_run") == F.col("_in_run")).select("_run", "_as", (F.col("_start") + F.col("_number")).alias("sequence_id"))
+    return local.join(numbered, (F.col(run) == F.col("_run")) & (F.col("_local") == F.col("_as"))).select(*kept, "sequence_id", "offset")
