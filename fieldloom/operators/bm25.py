@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ SPLIT_TERMS = 100_000
 # Query terms up to this many rows are sent to every task; the postings are then spread by document.
 BROADCAST_ROWS = 200_000
 READS_PER_TASK = 2_000_000
+# Bags up to this many are sent to every task to find their members.
+FEW_BAGS = 20_000
 # Terms per query that seed the lower bound.
 SEED_TERMS = 3
 # Posting reads up to which a search scores outright, without bounds; never less than twice the index.
@@ -45,6 +47,15 @@ class Index:
     postings: DataFrame  # bag, term, impact: the term's share of its highest possible weight there
     terms: DataFrame  # term, bags, idf, peak
     written: tuple[str, ...] = ()  # the folders of the frames above
+    documents: DataFrame | None = None  # doc_id and what names its bag in `bags`, where `members` is the join of the two
+    bags: DataFrame | None = None  # bag and what names it
+
+    def members_of(self, wanted: DataFrame, few_bags: int = FEW_BAGS) -> DataFrame:
+        """The members of the wanted bags, of which each comes once; few of them are looked up without moving the documents."""
+        few = F.broadcast if wanted.count() <= few_bags else lambda df: df
+        if self.bags is None:
+            return self.members.join(few(wanted), "bag", "left_semi")
+        return _members(self.documents, few(self.bags.join(few(wanted), "bag", "left_semi")))
 
     def drop(self) -> None:
         """Remove the written index; neither it nor results of its searches can be read afterwards."""
@@ -58,10 +69,23 @@ def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.select(id_col, F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("content"), "tokens")
 
 
+def _members(documents: DataFrame, bags: DataFrame) -> DataFrame:
+    """(bag, doc_id): documents joined to bags on the columns that name a bag, any of which may be null."""
+    keys = [c for c in bags.columns if c != "bag"]
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return documents.join(bags.withColumnsRenamed({k: f"_{k}" for k in keys}), same).select("bag", "doc_id")
+
+
 def sizes_of(tokens: DataFrame, id_col: str) -> tuple[int, int]:
     """Rows and tokens in all; the ids name rows and must not repeat."""
+    return _unique_rows(tokens, id_col, F.sum(F.size("tokens")))
+
+
+def _unique_rows(tokens: DataFrame, id_col: str, amount: Column) -> tuple[int, int]:
     hashed = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
-    rows, ids, total = tokens.agg(F.count("*"), F.count_distinct(hashed), F.sum(F.size("tokens"))).first()
+    rows, ids, total = tokens.agg(F.count("*"), F.count_distinct(hashed), amount).first()
     # Hashes are shuffled instead of ids; where two are equal the ids decide.
     if rows != ids:
         ids = tokens.agg(F.count_distinct(id_col)).first()[0]
@@ -75,8 +99,8 @@ def distinct_bags(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
     return tokens.groupBy("content").agg(F.min(id_col).alias(name), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
 
 
-def term_counts(bags: DataFrame, *columns) -> DataFrame:
-    """(columns, term, tf): how often each row's tokens, which are in order, hold each term.
+def counted(tokens: str) -> Column:
+    """How often tokens, which are in order and not empty, hold each term: an array of (term, tf).
 
     Counted within the row, so that nothing is gathered or shuffled: a term's tokens run from one start to the next.
     """
@@ -84,8 +108,13 @@ def term_counts(bags: DataFrame, *columns) -> DataFrame:
     starts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: ~F.get(t, i).eqNullSafe(F.get(t, i - 1)))
     found = lambda b: F.transform(b.starts, lambda s, n: F.struct(
         F.get(b.tokens, s).alias("term"), (F.coalesce(F.get(b.starts, n + 1), F.size(b.tokens)) - s).cast("long").alias("tf")))
-    started = F.transform(F.array("tokens"), lambda t: F.struct(t.alias("tokens"), starts(t).alias("starts")))
-    return bags.filter(F.size("tokens") > 0).select(*columns, F.inline(F.flatten(F.transform(started, found))))
+    started = F.transform(F.array(tokens), lambda t: F.struct(t.alias("tokens"), starts(t).alias("starts")))
+    return F.flatten(F.transform(started, found))
+
+
+def term_counts(bags: DataFrame, *columns) -> DataFrame:
+    """(columns, term, tf): how often each row's tokens, which are in order, hold each term."""
+    return bags.filter(F.size("tokens") > 0).select(*columns, F.inline(counted("tokens")))
 
 
 def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
@@ -98,19 +127,69 @@ def build_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
 def _written_index(docs: DataFrame, doc_id: str, text_col: str) -> Index:
     tokens = materialize(tokens_of(docs, doc_id, text_col), "bm25-tokens")
     named = materialize(distinct_bags(tokens, doc_id, "bag"), "bm25-bags")
-    # Joined where a search asks for the members of some bags, not here for all.
-    members = tokens.select("content", F.col(doc_id).alias("doc_id")).join(named.select("content", "bag"), "content").select("bag", "doc_id")
-    length = F.size("tokens")
-    n_docs, n_tokens = sizes_of(tokens, doc_id)
-    norm = K1 * (1 - B + B * length / F.lit((n_tokens or 1) / (n_docs or 1)))
-    counts = term_counts(named, "bag", "copies", norm.alias("norm"))
-    postings = materialize(
-        counts.select("bag", "term", "copies", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("impact")), "bm25-postings"
-    )
+    documents = tokens.select("content", F.col(doc_id).alias("doc_id"))
+    counts = term_counts(named, "bag", "copies", F.size("tokens").alias("length"))
+    return _weighed(documents, named.select("bag", "content"), counts, *sizes_of(tokens, doc_id))
+
+
+def build_pair_index(docs: DataFrame, doc_id: str, first: str, second: str, first_texts: DataFrame, second_texts: DataFrame) -> Index:
+    """Index documents of two texts each, cutting every text into tokens once however many documents have it.
+
+    `docs` names the texts by their ids `first` and `second`; the texts' frames have such an id, each once, and `text`.
+    A document without first text is left out, one without second text has the first only. All columns of `docs` are written.
+    """
+    with recorded() as written:
+        first_keys, first_tokens = _parts(first_texts, first, "first")
+        second_keys, second_tokens = _parts(second_texts, second, "second")
+        pairs = docs.withColumnRenamed(doc_id, "doc_id").join(first_keys, first).join(second_keys, second, "left")
+        documents = materialize(pairs, "bm25-pairs")
+        n_docs, _ = _unique_rows(documents, "doc_id", F.lit(0))
+        # Pairs that differ may have the same tokens in all; as bags of their own they have the same score.
+        named = documents.groupBy("first", "second").agg(F.min("doc_id").alias("bag"), F.count("*").alias("copies"))
+        joined = named.join(first_tokens, "first").join(second_tokens, "second", "left")
+        # Terms are counted anew only where both texts have some in common.
+        shared = F.coalesce(F.arrays_overlap("first_tokens", "second_tokens"), F.lit(False))
+        length = F.size("first_tokens") + F.coalesce(F.size("second_tokens"), F.lit(0))
+        bags = materialize(
+            joined.select(
+                "first", "second", "bag", "copies", length.alias("length"),
+                F.when(shared, F.sort_array(F.concat("first_tokens", "second_tokens"))).alias("tokens"),
+                F.when(~shared, F.concat("first_counts", F.coalesce("second_counts", F.slice("first_counts", 1, 0)))).alias("counts"),
+            ),
+            "bm25-bags",
+        )
+        n_tokens = bags.agg(F.sum(F.col("copies") * F.col("length"))).first()[0]
+        columns = ["bag", "copies", "length"]
+        apart = bags.filter("counts is not null").select(*columns, F.inline("counts"))
+        together = term_counts(bags.filter("tokens is not null"), *columns)
+        built = _weighed(documents, bags.select("bag", "first", "second"), apart.unionByName(together), n_docs, n_tokens)
+    return replace(built, written=tuple(written))
+
+
+def _parts(texts: DataFrame, key: str, part: str) -> tuple[DataFrame, DataFrame]:
+    """(key, part) and (part, its tokens, its counts): texts of equal tokens are one part, named by its smallest key."""
+    tokens = tokens_of(texts, key, "text")
+    named = distinct_bags(tokens, key, part)
+    some = F.size("tokens") > 0
+    counts = F.coalesce(F.when(some, counted("tokens")), F.array().cast("array<struct<term:string,tf:bigint>>"))
+    named = materialize(named.select("content", part, F.col("tokens").alias(f"{part}_tokens"), counts.alias(f"{part}_counts")), f"bm25-{part}")
+    keys = materialize(tokens.select(key, "content").join(named.select("content", part), "content").select(key, part), f"bm25-{part}-keys")
+    return keys, named.drop("content")
+
+
+def _weighed(documents: DataFrame, bags: DataFrame, counts: DataFrame, n_docs: int, n_tokens: int) -> Index:
+    """The index of documents, the bags' (bag, what names it) and (bag, copies, length, term, tf).
+
+    Members are joined where a search asks for some bags, not here for all.
+    """
+    norm = K1 * (1 - B + B * F.col("length") / F.lit((n_tokens or 1) / (n_docs or 1)))
+    postings = materialize(counts.select("bag", "term", "copies", (F.col("tf") / (F.col("tf") + norm)).alias("impact")), "bm25-postings")
     found = postings.groupBy("term").agg(
         F.sum("copies").alias("documents"), F.count("*").alias("bags"), F.max("impact").alias("peak")
     )
-    return Index(members, postings.select("bag", "term", "impact"), weighted_terms(found, n_docs))
+    return Index(
+        _members(documents, bags), postings.select("bag", "term", "impact"), weighted_terms(found, n_docs), documents=documents, bags=bags
+    )
 
 
 def weighted_terms(found: DataFrame, n_docs: int) -> DataFrame:
@@ -266,8 +345,7 @@ def bm25_search(queries: DataFrame, query_id: str, query_col: str, index: Index,
     scored = scored.withColumn("_score", F.round("score", 9)).filter("_score > 0")
     # The k best bags, ties by their first document, hold the k best documents.
     best = materialize(top_k(scored, ["query"], [F.desc("_score"), F.asc("bag")], k, "_place"), "bm25-best")
-    wanted = best.select("bag").distinct()
-    copies = top_k(index.members.join(wanted, "bag", "left_semi"), ["bag"], [F.asc("doc_id")], k, "_copy")
+    copies = top_k(index.members_of(best.select("bag").distinct()), ["bag"], [F.asc("doc_id")], k, "_copy")
     hits = top_k(best.join(copies, "bag"), ["query"], [F.desc("_score"), F.asc("doc_id")], k)
     hits = hits.select("query", "doc_id", F.round("score", 4).alias("score"), "rank")
     names = named.select("content", "query")
