@@ -14,10 +14,11 @@ from fieldloom.operators.bm25 import Index, build_index
 from fieldloom.operators.coverage import with_label
 from fieldloom.operators.ordering import PAGE_SIZE, ordered_list
 from fieldloom.operators.retrieval import (
-    approved_documents,
+    approved_index,
     context_pieces,
     context_sizes,
     field_documents,
+    links,
     merge_ranked,
     retrieval_context,
     search_approved,
@@ -39,8 +40,14 @@ class SearchIndexes:
 
 
 def prepare_indexes(source: DataFrame, approved: DataFrame, fields: DataFrame) -> SearchIndexes:
+    return _indexes(source, approved, approved, fields)
+
+
+def _indexes(source: DataFrame, mappings: DataFrame, approved: DataFrame, fields: DataFrame, *kept: str) -> SearchIndexes:
+    # Of the vocabulary only mapped fields are texts of mappings.
+    mapped = fields.join(materialize(approved.select("canonical_id").distinct(), "mapped"), "canonical_id", "left_semi")
     return SearchIndexes(
-        build_index(approved_documents(source, approved, fields), "doc_id", "search_text"),
+        approved_index(source, mappings, mapped, *kept),
         build_index(field_documents(fields), "canonical_id", "search_text"),
     )
 
@@ -63,14 +70,20 @@ def retrieve(
     distinct = headers.select(F.coalesce("column_name", F.lit("")).alias("header")).distinct()
     named = standardize_headers(distinct, "header", abbreviations)
     asked = materialize(named.withColumn("query_text", query_text("header", "standardized")), "headers")
-    indexes = indexes or prepare_indexes(source, approved, fields)
+    # Index, hits and context read the mappings' links as they are written once.
+    linked = links(approved, source).drop("source_table")
+    if indexes:
+        linked = materialize(linked, "linked")
+    else:
+        indexes = _indexes(source, linked, approved, fields, "platform_id", "column_name")
+        linked = indexes.approved.documents.withColumnRenamed("doc_id", "mapping_id")
     similar = materialize(
-        search_approved(asked, "header", "query_text", source, approved, fields, k, indexes.approved), "similar"
+        search_approved(asked, "header", "query_text", source, linked, fields, k, indexes.approved), "similar"
     )
     candidates = materialize(search_fields(asked, "header", "query_text", fields, k, indexes.fields), "candidates")
     merged = materialize(merge_ranked(similar, candidates, "header"), "merged")
     # Each field's context is cut once, however many headers show it.
-    pieces = materialize(context_pieces(merged, approved, source, piece_chars), "context")
+    pieces = materialize(context_pieces(merged, approved, source, piece_chars, linked=linked), "context")
     return Retrieval(asked, similar, candidates, merged, pieces, materialize(context_sizes(pieces), "context-sizes"))
 
 
