@@ -1,7 +1,5 @@
 """What the searches and the context of prompts read, write and send."""
 
-from pyspark.sql import functions as F
-
 from fieldloom.operators import bm25, retrieval
 from fieldloom.plans import prompts
 
@@ -19,7 +17,7 @@ def test_links_are_made_once_for_index_and_context(spark, monkeypatch, columns,
     monkeypatch.setattr(bm25, "materialize", lambda df, name: written.setdefault(name, df.columns) and real_write(df, name))
     found = prompts.retrieve(columns, columns, approved, vocabulary)
     assert len(made) == 1
-    assert sorted(written["bm25-pairs"]) == ["canonical_id", "column_id", "column_name", "doc_id", "first", "mapping_id", "platform_id", "second"][:5] + ["first", "platform_id", "second"]
+    assert sorted(written["bm25-pairs"]) == ["canonical_id", "column_id", "column_name", "doc_id", "first", "platform_id", "second"]
     assert {r.canonical_id: (r.text, r.columns) for r in found.pieces.collect()} == {
         "cf_001": ('\n    - ledger: "FND_ID"\n    - books: "fund_id"', 2), "cf_005": ('\n    - ledger: "NAV_AMT"', 1)}
 
