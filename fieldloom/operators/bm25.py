@@ -10,6 +10,7 @@ other terms brought up.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,6 +40,8 @@ SEED_TERMS = 3
 DIRECT_READS = 20_000_000
 # Slack for sums taken in another order.
 SLACK = 1e-7
+# Documents to a pair of texts, on average, from which on pairs are gathered to bags; with fewer every document is a bag.
+GATHER_COPIES = 4
 
 
 @dataclass(frozen=True)
@@ -49,10 +52,15 @@ class Index:
     written: tuple[str, ...] = ()  # the folders of the frames above
     documents: DataFrame | None = None  # doc_id and what names its bag in `bags`, where `members` is the join of the two
     bags: DataFrame | None = None  # bag and what names it
+    pairs: Pairs | None = None  # of documents of two texts, whose postings are not written
 
     def members_of(self, wanted: DataFrame, few_bags: int = FEW_BAGS) -> DataFrame:
         """The members of the wanted bags, of which each comes once; few of them are looked up without moving the documents."""
+        if self.pairs and not self.pairs.gathered:
+            return wanted.select("bag", "bag.*")
         few = F.broadcast if wanted.count() <= few_bags else lambda df: df
+        if self.pairs:
+            return self.pairs.members(self.documents, few(wanted))
         if self.bags is None:
             return self.members.join(few(wanted), "bag", "left_semi")
         return _members(self.documents, few(self.bags.join(few(wanted), "bag", "left_semi")))
@@ -62,6 +70,86 @@ class Index:
         drop_written(self.terms.sparkSession, self.written)
 
 
+@dataclass(frozen=True)
+class Pairs:
+    """Bags of documents of two texts, and the terms of either text: what a bag's postings follow from.
+
+    A bag is a struct that begins with the id of its first document. It goes on with the ids of both texts where every document is
+    a bag of its own, with the keys of both parts where the documents of a pair of parts are gathered.
+    """
+
+    bags: DataFrame  # bag, copies, first, second, length
+    first: DataFrame  # first, term, tf
+    second: DataFrame  # second, term, tf
+    average: float  # length
+    gathered: bool
+    ids: tuple[str, str]  # the documents' columns that name the texts
+    shared: DataFrame | None  # term: those in a first and in a second text, be it of different documents; None without any
+
+    def sides(self) -> list[tuple[str, DataFrame]]:
+        return [("first", self.first), ("second", self.second)]
+
+    def members(self, documents: DataFrame, bags: DataFrame) -> DataFrame:
+        """(bag, doc_id, ids): the documents of bags that are gathered."""
+        named = documents.select("doc_id", *self.ids, F.col("first.key").alias("first"), F.col("second.key").alias("second"))
+        return _members(named, bags.select("bag", "bag.first", "bag.second"), *self.ids)
+
+    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(bag, term, impact), of the wanted terms if given; a term of both texts is one posting."""
+        some = lambda terms: terms if wanted is None else terms.join(wanted, "term", "left_semi")
+        rows = [self.bags.join(some(terms), part).select("bag", "length", "term", "tf") for part, terms in self.sides()]
+        rows = rows[0].unionByName(rows[1])
+        if self.shared is not None:
+            rows = rows.groupBy("bag", "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+        return rows.select("bag", "term", _impact("tf", "length", self.average).alias("impact"))
+
+    def terms(self, n_docs: int) -> DataFrame:
+        """The weighted terms. A peak is that of a term's highest frequency in its shortest document."""
+        rows, none = [], F.lit(None).cast("int")
+        for part, terms in self.sides():
+            counts = self.bags.groupBy(part).agg(F.sum("copies").alias("documents"), F.count("*").alias("bags"), F.min("length").alias("shortest"))
+            tf = [F.when(F.lit(part == p), F.col("tf")).alias(f"{p}_tf") for p, _ in self.sides()]
+            rows.append(terms.join(counts, part).select("term", "documents", "bags", "shortest", *tf))
+        if self.shared is not None:
+            # Bags with a term in both texts were counted twice.
+            left, right = (terms.join(self.shared, "term", "left_semi").select(part, "term") for part, terms in self.sides())
+            held = self.bags.join(left, "first").groupBy("second", "term").agg(F.sum("copies").alias("documents"), F.count("*").alias("bags"))
+            rows.append(held.join(right, ["second", "term"]).select(
+                "term", (-F.col("documents")).alias("documents"), (-F.col("bags")).alias("bags"), none.alias("shortest"),
+                none.cast("long").alias("first_tf"), none.cast("long").alias("second_tf")))
+        most = F.coalesce(F.max("first_tf"), F.lit(0)) + F.coalesce(F.max("second_tf"), F.lit(0))
+        found = reduce(DataFrame.unionByName, rows).groupBy("term").agg(
+            F.sum("documents").alias("documents"), F.sum("bags").alias("bags"), most.alias("most"), F.min("shortest").alias("shortest")
+        )
+        return weighted_terms(found.select("term", "documents", "bags", _impact("most", "shortest", self.average).alias("peak")), n_docs)
+
+    def score_by_one_part(self, queries: DataFrame) -> DataFrame | None:
+        """(query, bag, score) where the terms of all queries are in first texts only, or in second texts only; else None.
+
+        `queries` has (query, term, weight). A part's query terms are gathered first, so that a bag is scored within its row.
+        """
+        reads = {}
+        for part, terms in self.sides():
+            counts = terms.groupBy("term").agg(F.count("*").alias("bags"))
+            if amount := queries.join(counts, "term").agg(F.sum("bags")).first()[0]:
+                reads[part] = amount, Index(self.bags, terms.withColumnRenamed(part, "bag"), counts)
+        if len(reads) != 1:
+            return None
+        [(part, (amount, index))] = reads.items()
+        asked = join_postings(queries, index, amount).groupBy("query", F.col("bag").alias(part)).agg(
+            F.collect_list(F.struct("weight", "tf")).alias("asked")
+        )
+        rows = self.bags.join(materialize(asked, f"bm25-asked-{part}"), part)
+        add = lambda sum_, a: sum_ + a.weight * _impact(a.tf, "length", self.average)
+        return rows.select("query", "bag", F.aggregate("asked", F.lit(0.0), add).alias("score"))
+
+
+def _impact(tf, length, average: float) -> Column:
+    """A term's share of its highest possible weight in a bag."""
+    tf, length = (F.col(c) if isinstance(c, str) else c for c in (tf, length))
+    return tf / (tf + K1 * (1 - B + B * length / F.lit(average)))
+
+
 def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, content, tokens): the tokens of every text and a digest that equal bags of tokens share."""
     tokens = df.select(F.col(id_col), F.sort_array(tokenize(text_col)).alias("tokens"))
@@ -69,13 +157,13 @@ def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.select(id_col, F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("content"), "tokens")
 
 
-def _members(documents: DataFrame, bags: DataFrame) -> DataFrame:
-    """(bag, doc_id): documents joined to bags on the columns that name a bag, any of which may be null."""
+def _members(documents: DataFrame, bags: DataFrame, *kept: str) -> DataFrame:
+    """(bag, doc_id, kept columns): documents joined to bags on the columns that name a bag, any of which may be null."""
     keys = [c for c in bags.columns if c != "bag"]
     same = F.lit(True)
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
-    return documents.join(bags.withColumnsRenamed({k: f"_{k}" for k in keys}), same).select("bag", "doc_id")
+    return documents.join(bags.withColumnsRenamed({k: f"_{k}" for k in keys}), same).select("bag", "doc_id", *kept)
 
 
 def sizes_of(tokens: DataFrame, id_col: str) -> tuple[int, int]:
@@ -137,44 +225,40 @@ def build_pair_index(docs: DataFrame, doc_id: str, first: str, second: str, firs
 
     `docs` names the texts by their ids `first` and `second`; the texts' frames have such an id, each once, and `text`.
     A document without first text is left out, one without second text has the first only. All columns of `docs` are written.
+    Of the documents no postings are written: a search makes those of its terms.
     """
     with recorded() as written:
-        first_keys, first_tokens = _parts(first_texts, first, "first")
-        second_keys, second_tokens = _parts(second_texts, second, "second")
-        pairs = docs.withColumnRenamed(doc_id, "doc_id").join(first_keys, first).join(second_keys, second, "left")
-        documents = materialize(pairs, "bm25-pairs")
-        n_docs, _ = _unique_rows(documents, "doc_id", F.lit(0))
-        # Pairs that differ may have the same tokens in all; as bags of their own they have the same score.
-        named = documents.groupBy("first", "second").agg(F.min("doc_id").alias("bag"), F.count("*").alias("copies"))
-        joined = named.join(first_tokens, "first").join(second_tokens, "second", "left")
-        # Terms are counted anew only where both texts have some in common.
-        shared = F.coalesce(F.arrays_overlap("first_tokens", "second_tokens"), F.lit(False))
-        length = F.size("first_tokens") + F.coalesce(F.size("second_tokens"), F.lit(0))
-        bags = materialize(
-            joined.select(
-                "first", "second", "bag", "copies", length.alias("length"),
-                F.when(shared, F.sort_array(F.concat("first_tokens", "second_tokens"))).alias("tokens"),
-                F.when(~shared, F.concat("first_counts", F.coalesce("second_counts", F.slice("first_counts", 1, 0)))).alias("counts"),
-            ),
-            "bm25-bags",
-        )
-        n_tokens = bags.agg(F.sum(F.col("copies") * F.col("length"))).first()[0]
-        columns = ["bag", "copies", "length"]
-        apart = bags.filter("counts is not null").select(*columns, F.inline("counts"))
-        together = term_counts(bags.filter("tokens is not null"), *columns)
-        built = _weighed(documents, bags.select("bag", "first", "second"), apart.unionByName(together), n_docs, n_tokens)
+        first_keys, first_terms = _parts(first_texts, first, "first")
+        second_keys, second_terms = _parts(second_texts, second, "second")
+        found = docs.withColumnRenamed(doc_id, "doc_id").join(second_keys, second, "left").join(first_keys, first)
+        documents = materialize(found, "bm25-pairs")
+        length = F.col("first.size") + F.coalesce("second.size", F.lit(0))
+        n_docs, n_tokens = _unique_rows(documents, "doc_id", F.sum(length))
+        columns = [F.col("first.key").alias("first"), F.col("second.key").alias("second"), length.alias("length")]
+        gathered = documents.agg(F.approx_count_distinct(F.xxhash64("first", "second"))).first()[0] * GATHER_COPIES <= n_docs
+        if gathered:
+            # Pairs that differ may have the same tokens in all; as bags of their own they have the same score.
+            bags = documents.select("doc_id", *columns).groupBy("first", "second").agg(
+                F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("length").alias("length")
+            )
+            bags = materialize(bags, "bm25-bags").withColumn("bag", F.struct("doc_id", "first", "second")).drop("doc_id")
+        else:
+            bags = documents.select(F.struct("doc_id", first, second).alias("bag"), F.lit(1).cast("long").alias("copies"), *columns)
+        shared = materialize(first_terms.select("term").distinct().join(second_terms.select("term"), "term", "left_semi"), "bm25-shared")
+        shared = None if shared.isEmpty() else shared
+        pairs = Pairs(bags, first_terms, second_terms, (n_tokens or 1) / (n_docs or 1), gathered, (first, second), shared)
+        members = pairs.members(documents, bags) if gathered else bags.select("bag", "bag.*")
+        built = Index(members, pairs.postings(), pairs.terms(n_docs), documents=documents, pairs=pairs)
     return replace(built, written=tuple(written))
 
 
 def _parts(texts: DataFrame, key: str, part: str) -> tuple[DataFrame, DataFrame]:
-    """(key, part) and (part, its tokens, its counts): texts of equal tokens are one part, named by its smallest key."""
+    """(key, part) and (part's key, term, tf): texts of equal tokens are one part, a struct of its smallest key and its size in tokens."""
     tokens = tokens_of(texts, key, "text")
-    named = distinct_bags(tokens, key, part)
-    some = F.size("tokens") > 0
-    counts = F.coalesce(F.when(some, counted("tokens")), F.array().cast("array<struct<term:string,tf:bigint>>"))
-    named = materialize(named.select("content", part, F.col("tokens").alias(f"{part}_tokens"), counts.alias(f"{part}_counts")), f"bm25-{part}")
+    named = distinct_bags(tokens, key, "key").select("content", F.struct("key", F.size("tokens").alias("size")).alias(part), "tokens")
+    named = materialize(named, f"bm25-{part}")
     keys = materialize(tokens.select(key, "content").join(named.select("content", part), "content").select(key, part), f"bm25-{part}-keys")
-    return keys, named.drop("content")
+    return keys, materialize(term_counts(named, F.col(f"{part}.key").alias(part)), f"bm25-{part}-terms")
 
 
 def _weighed(documents: DataFrame, bags: DataFrame, counts: DataFrame, n_docs: int, n_tokens: int) -> Index:
@@ -182,8 +266,8 @@ def _weighed(documents: DataFrame, bags: DataFrame, counts: DataFrame, n_docs: i
 
     Members are joined where a search asks for some bags, not here for all.
     """
-    norm = K1 * (1 - B + B * F.col("length") / F.lit((n_tokens or 1) / (n_docs or 1)))
-    postings = materialize(counts.select("bag", "term", "copies", (F.col("tf") / (F.col("tf") + norm)).alias("impact")), "bm25-postings")
+    impact = _impact("tf", "length", (n_tokens or 1) / (n_docs or 1))
+    postings = materialize(counts.select("bag", "term", "copies", impact.alias("impact")), "bm25-postings")
     found = postings.groupBy("term").agg(
         F.sum("copies").alias("documents"), F.count("*").alias("bags"), F.max("impact").alias("peak")
     )
@@ -265,7 +349,15 @@ def search_bags(queries: DataFrame, index: Index, k: int, direct_reads: int = DI
         "bm25-queries",
     )
     reads = weighted.agg(F.sum("bags")).first()[0] or 0
-    if reads <= (max(direct_reads, 2 * index.postings.count()) if direct_reads else 0):
+    # The terms' bags in all are the postings.
+    direct = reads <= (max(direct_reads, 2 * (index.terms.agg(F.sum("bags")).first()[0] or 0)) if direct_reads else 0)
+    if index.pairs:
+        scored = index.pairs.score_by_one_part(weighted.select("query", "term", "weight")) if direct else None
+        if scored is not None:
+            return scored
+        wanted = index.pairs.postings(weighted.select("term").distinct())
+        index = replace(index, postings=wanted if direct else materialize(wanted, "bm25-wanted"))
+    if direct:
         return (
             join_postings(weighted.select("query", "term", "weight"), index, reads)
             .groupBy("query", "bag")
@@ -332,10 +424,13 @@ def search_bags(queries: DataFrame, index: Index, k: int, direct_reads: int = DI
     )
 
 
-def bm25_search(queries: DataFrame, query_id: str, query_col: str, index: Index, k: int = 5, direct_reads: int = DIRECT_READS) -> DataFrame:
+def bm25_search(
+    queries: DataFrame, query_id: str, query_col: str, index: Index, k: int = 5, direct_reads: int = DIRECT_READS, kept: tuple[str, ...] = ()
+) -> DataFrame:
     """(query id, doc_id, score, rank): the k best documents of every query, ties by doc_id. Query ids are unique.
 
-    Scores are ranked at 9 decimals and given at 4; documents scoring 0 or less are no hits.
+    Scores are ranked at 9 decimals and given at 4; documents scoring 0 or less are no hits. An index of pairs may have the ids
+    of both texts `kept` as further columns.
     """
     asked = tokens_of(queries.select(query_id, query_col), query_id, query_col).filter(F.size("tokens") > 0)
     asked = materialize(asked, "bm25-asked")
@@ -345,8 +440,11 @@ def bm25_search(queries: DataFrame, query_id: str, query_col: str, index: Index,
     scored = scored.withColumn("_score", F.round("score", 9)).filter("_score > 0")
     # The k best bags, ties by their first document, hold the k best documents.
     best = materialize(top_k(scored, ["query"], [F.desc("_score"), F.asc("bag")], k, "_place"), "bm25-best")
-    copies = top_k(index.members_of(best.select("bag").distinct()), ["bag"], [F.asc("doc_id")], k, "_copy")
-    hits = top_k(best.join(copies, "bag"), ["query"], [F.desc("_score"), F.asc("doc_id")], k)
-    hits = hits.select("query", "doc_id", F.round("score", 4).alias("score"), "rank")
+    if index.pairs and not index.pairs.gathered:
+        hits = best.select("*", "bag.*").withColumnRenamed("_place", "rank")
+    else:
+        copies = top_k(index.members_of(best.select("bag").distinct()), ["bag"], [F.asc("doc_id")], k, "_copy")
+        hits = top_k(best.join(copies, "bag"), ["query"], [F.desc("_score"), F.asc("doc_id")], k)
+    hits = hits.select("query", "doc_id", F.round("score", 4).alias("score"), "rank", *kept)
     names = named.select("content", "query")
-    return asked.select(query_id, "content").join(names, "content").join(hits, "query").select(query_id, "doc_id", "score", "rank")
+    return asked.select(query_id, "content").join(names, "content").join(hits, "query").select(query_id, "doc_id", "score", "rank", *kept)
